@@ -32,18 +32,23 @@ def gather(spark: SparkSession, base_dir: str, targets: Sequence[str] = TARGETS,
            model_folders: Mapping[str, str] = MODEL_FOLDERS) -> DataFrame:
     """(model, target, metric, set, value) of every conforming metric file.
 
-    A file counts when its name holds ``metric`` and a target and its header names
-    ``train`` and ``val``.  Files are read as text, because their column order may
-    differ: each file's header line is joined to its own lines.  Unreadable, empty
-    or non-conforming files are skipped, as are missing folders.
+    A file counts when its name below the model folder holds ``metric`` and a target
+    and its header names ``train`` and ``val``; a folder of part files written by
+    Spark counts like a file.  Files are read whole, because the column order may
+    differ from file to file and the header belongs to its own lines; a metric file
+    has four lines.  Unreadable or non-conforming files and missing folders are
+    skipped.
     """
     out = spark.createDataFrame([], SCHEMA)
     for model, folder in model_folders.items():
         try:
+            path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
             lines = (spark.read.option("pathGlobFilter", "*.csv")
+                     .option("recursiveFileLookup", True)
                      .option("ignoreCorruptFiles", True).option("wholetext", True)
                      .text(f"{base_dir}/{folder}")
-                     .select(F.url_decode(F.col("_metadata.file_name")).alias("name"), "value"))
+                     .select(F.substring_index(path, F.lit(f"/{folder}/"), -1).alias("name"),
+                             "value"))
         except AnalysisException:
             continue
         out = out.unionByName(_parse(lines, targets).select(F.lit(model).alias("model"), "*"))
@@ -51,7 +56,7 @@ def gather(spark: SparkSession, base_dir: str, targets: Sequence[str] = TARGETS,
 
 
 def _parse(files: DataFrame, targets: Sequence[str]) -> DataFrame:
-    """Rows of metric files; a metric file has a handful of lines by nature."""
+    """Long rows of the conforming files."""
     target = target_of(F.col("name"), targets)
     rows = F.filter(F.split(F.col("value"), "\r?\n"), lambda s: F.length(F.trim(s)) > 0)
     wanted = (files.where(F.contains(F.lower("name"), F.lit("metric")) & target.isNotNull())
