@@ -46,21 +46,21 @@ def spearman(df: DataFrame, targets: Sequence[str], features: Sequence[str],
              nulls: str = "skip", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Pearson on average ranks.
 
-    Ranks are a small-by-distinct-values lookup joined per column, so equal values
-    are ranked once.  Columns without missing values share one rank per column; a
+    Equal values are ranked once and joined back per column.  Columns without missing values share one rank per column; a
     pair with missing values is ranked on its complete rows.
     """
     _check(nulls)
     names = list(dict.fromkeys([*targets, *features]))
     num = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in names])
-    gaps = num.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in names]).first().asDict()
+    gaps = num.agg(F.count(F.lit(1)).alias("_n"), *[
+        F.count_if(F.col(c).isNull()).alias(c) for c in names]).first().asDict()
     pairs = [(t, f) for t in targets for f in features]
     full = [c for c in names if not gaps[c]]
     clean = [(t, f) for t, f in pairs if t in full and f in full]
     out = None
     if clean:
         used = [c for c in names if any(c in p for p in clean)]
-        out = _ranked_pearson(num.select(*used), clean, rows_per_bucket)
+        out = _ranked_pearson(num.select(*used), clean, gaps["_n"], rows_per_bucket)
     for t, f in pairs:
         if (t, f) in clean:
             continue
@@ -70,29 +70,32 @@ def spearman(df: DataFrame, targets: Sequence[str], features: Sequence[str],
                 F.lit(None).cast("double").alias("r"))
         else:
             cols = list(dict.fromkeys((t, f)))
-            part = _ranked_pearson(num.select(*cols).dropna(), [(t, f)], rows_per_bucket)
+            part = _ranked_pearson(num.select(*cols).dropna(), [(t, f)], gaps["_n"],
+                                   rows_per_bucket)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _ranked_pearson(num: DataFrame, pairs, rows_per_bucket: int) -> DataFrame:
-    ranked = num.groupBy(*num.columns).agg(F.count(F.lit(1)).alias("_w"))
+def _ranked_pearson(num: DataFrame, pairs, n: int, rows_per_bucket: int) -> DataFrame:
+    """Pearson of the ranks of complete rows; ``n`` bounds the row count.
+
+    The rank table of a column is unique by value and small when values repeat, so
+    Spark broadcasts it at run time by its measured size; otherwise the join is a
+    plain shuffle whose hot values the adaptive skew join splits.
+    """
+    ranked = num
     for c in num.columns:
-        ranks = average_ranks(num.select(F.col(c).alias("val")), [], "val", rows_per_bucket)
-        ranked = ranked.join(
-            ranks.select(F.col("val").alias(c), F.col("rank").alias(f"_rank_{c}")), c)
-    n = F.sum("_w")
-
-    def weighted(x: Column, y: Column) -> Column:
-        # ranks are exact halves; centring by (n+1)/2 keeps the sums small
-        return F.sum(F.col("_w") * x * y)
-
-    total = num.count()
-    mid = (total + 1) / 2.0
-    dev = {c: F.col(f"_rank_{c}") - F.lit(mid) for c in num.columns}
-    aggs = [F.try_divide(weighted(dev[t], dev[f]),
-                         F.sqrt(weighted(dev[t], dev[t]) * weighted(dev[f], dev[f])))
-            .alias(f"r{i}") for i, (t, f) in enumerate(pairs)]
+        ranks = average_ranks(num.select(F.col(c).alias("val")), [], n, "val", rows_per_bucket)
+        # centring by (n+1)/2 keeps the sums of products small and exact
+        ranked = ranked.join(ranks.select(
+            F.col("val").alias(c),
+            (F.col("rank") - (F.col("total") + 1) / 2.0).alias(f"_rank_{c}")), c)
+
+    def product(a: str, b: str) -> Column:
+        return F.sum(F.col(f"_rank_{a}") * F.col(f"_rank_{b}"))
+
+    aggs = [F.try_divide(product(t, f), F.sqrt(product(t, t) * product(f, f))).alias(f"r{i}")
+            for i, (t, f) in enumerate(pairs)]
     return _long(ranked.agg(*aggs), pairs)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdara.operators.prep import Scaling, fit_scaling
+from verdara.operators.reuse import held
 
 FEATURES = "_features"
 
@@ -58,12 +59,14 @@ def fit(train: DataFrame, target: str, features: Sequence[str], model_type: str
         alpha: float = 1.0, scaling: Scaling | None = None) -> PipelineModel:
     """Fitted pipeline: imputation and scaling, vector assembly, regression."""
     estimator(model_type, alpha, 1.0, 1, target)
-    scaling = scaling or fit_scaling(train, features)
-    rows = train.where(F.col(target).isNotNull())
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(target).alias("s")).first()
-    prepare, pack = scaling_stage(scaling), assembler(features)
-    ready = pack.transform(prepare.transform(rows)).select(FEATURES, F.col(target).cast("double"))
-    model = estimator(model_type, alpha, size["s"] or 0.0, size["n"], target).fit(ready)
+    with held(train.select(*dict.fromkeys([*features, target]))) as kept:
+        scaling = scaling or fit_scaling(kept, features)
+        rows = kept.where(F.col(target).isNotNull())
+        size = rows.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(target).alias("s")).first()
+        prepare, pack = scaling_stage(scaling), assembler(features)
+        ready = pack.transform(prepare.transform(rows)).select(
+            FEATURES, F.col(target).cast("double"))
+        model = estimator(model_type, alpha, size["s"] or 0.0, size["n"], target).fit(ready)
     return PipelineModel([prepare, pack, model])
 
 

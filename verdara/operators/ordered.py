@@ -30,17 +30,17 @@ def value_counts(rows: DataFrame, keys: Sequence[str], val: str = "val") -> Data
             .groupBy(*keys, val).agg(F.count(F.lit(1)).alias("n")))
 
 
-def bucket_edges(rows: DataFrame, val: str = "val",
+def bucket_edges(rows: DataFrame, n: int, val: str = "val",
                  rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
-    """Strictly increasing inner edges; empty when the rows fit one bucket.
+    """Strictly increasing inner edges; empty when ``n`` rows fit one bucket.
 
-    The edges only balance the work; results do not depend on them.
+    ``n`` is an upper bound of the row count, so a plain table can be counted from
+    its file footers.  The edges only balance the work; results do not depend on them.
     """
-    ok = rows.where(F.col(val).isNotNull() & ~F.isnan(val))
-    n = ok.count()
     buckets = min(MAX_BUCKETS, -(-n // rows_per_bucket)) if n else 1
     if buckets <= 1:
         return []
+    ok = rows.where(F.col(val).isNotNull() & ~F.isnan(val))
     at = [i / buckets for i in range(1, buckets)]
     edges = ok.agg(F.percentile_approx(val, at, 10 * MAX_BUCKETS)).first()[0] or []
     return sorted({float(e) for e in edges})
@@ -72,24 +72,28 @@ def with_running_count(counts: DataFrame, keys: Sequence[str], edges: Sequence[f
             .drop("_b", "_before"))
 
 
-def average_ranks(rows: DataFrame, keys: Sequence[str], val: str = "val",
+def average_ranks(rows: DataFrame, keys: Sequence[str], n: int, val: str = "val",
                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """(keys, val, n, total, rank): ranks from 1, ties share their average rank."""
-    edges = bucket_edges(rows, val, rows_per_bucket)
+    edges = bucket_edges(rows, n, val, rows_per_bucket)
     return (with_running_count(value_counts(rows, keys, val), keys, edges, val)
             .withColumn("rank", F.col("upto") - (F.col("n") - 1) / 2.0)
             .drop("upto"))
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
-                    probs: Sequence[float],
-                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Exact linearly interpolated quantiles: (keys, var, q0, q1, …) per column."""
+                    probs: Sequence[float], rows_per_bucket: int = ROWS_PER_BUCKET,
+                    n: int | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles: (keys, var, q0, q1, …) per column.
+
+    ``n`` is the row count of ``df`` if the caller knows it.
+    """
     keys = list(keys)
     rows = melt(df, keys, cols)
     group = [*keys, "var"]
+    bound = (df.count() if n is None else n) * len(cols)
     running = with_running_count(
-        value_counts(rows, group), group, bucket_edges(rows, "val", rows_per_bucket))
+        value_counts(rows, group), group, bucket_edges(rows, bound, "val", rows_per_bucket))
     picks, out = [], []
     for i, p in enumerate(probs):
         spot = F.lit(float(p)) * (F.col("total") - 1)
@@ -104,19 +108,20 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
             .select(*group, *out))
 
 
-def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+def medians(df: DataFrame, cols: Sequence[str], n: int | None = None) -> dict[str, float]:
     """Exact median per column, as driver scalars (one per column)."""
-    return {r["var"]: r["q0"] for r in group_quantiles(df, [], cols, [0.5]).collect()}
+    found = group_quantiles(df, [], cols, [0.5], n=n).collect()
+    return {r["var"]: r["q0"] for r in found}
 
 
-def smallest_rank_value(df: DataFrame, col: str, ranks: Sequence[int],
+def smallest_rank_value(df: DataFrame, col: str, ranks: Sequence[int], n: int,
                         rows_per_bucket: int = ROWS_PER_BUCKET) -> list[float]:
     """Values at the given 1-based positions of ``col`` in ascending order."""
     if not ranks:
         return []
     rows = df.select(F.col(col).cast("double").alias("val"))
     running = with_running_count(value_counts(rows, []), [],
-                                 bucket_edges(rows, "val", rows_per_bucket))
+                                 bucket_edges(rows, n, "val", rows_per_bucket))
     hits = [F.max(F.when((F.col("upto") - F.col("n") < r) & (F.lit(r) <= F.col("upto")),
                          F.col("val"))) for r in ranks]
     return list(running.agg(*hits).first())

@@ -6,11 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdara.operators.prep import Scaling
+from verdara.operators.reuse import held
 
 
 @dataclass(frozen=True)
@@ -43,17 +43,16 @@ def fit(df: DataFrame, cols: Sequence[str], k: int | None = None) -> Components:
     """Fit on complete rows.  Every component's largest loading is made positive."""
     cols = list(cols)
     k = k or len(cols)
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    row = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
-                   *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
-    mean = {c: row[f"m_{c}"] for c in cols}
-    std = {c: row[f"s_{c}"] or 1.0 for c in cols}
-    scaling = Scaling({c: mean[c] for c in cols}, mean, std)
-    z = rows.select(*[((F.col(c) - F.lit(mean[c])) / F.lit(std[c])).alias(c) for c in cols])
-    vectors = VectorAssembler(inputCols=cols, outputCol="v").transform(z).select("v")
-    model = PCA(k=k, inputCol="v", outputCol="p").fit(vectors)
-    pc: DenseMatrix = model.pc
-    table = pc.toArray()
+    with held(df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()) as rows:
+        row = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
+                       *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
+        mean = {c: row[f"m_{c}"] for c in cols}
+        std = {c: row[f"s_{c}"] or 1.0 for c in cols}
+        z = rows.select(*[((F.col(c) - F.lit(mean[c])) / F.lit(std[c])).alias(c) for c in cols])
+        vectors = VectorAssembler(inputCols=cols, outputCol="v").transform(z).select("v")
+        model = PCA(k=k, inputCol="v", outputCol="p").fit(vectors)
+    scaling = Scaling(mean, mean, std)
+    table = model.pc.toArray().copy()
     for j in range(table.shape[1]):
         top = abs(table[:, j]).argmax()
         if table[top, j] < 0:

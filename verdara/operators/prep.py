@@ -46,22 +46,29 @@ class Scaling:
             for c in self.median})
 
 
-def _filled(col: str, median: float):
+def _filled(col: str, median: float | None):
     x = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
-    return F.coalesce(x, F.lit(median))
+    return x if median is None else F.coalesce(x, F.lit(median))
 
 
 def fit_scaling(train: DataFrame, features: Sequence[str]) -> Scaling:
     """Median for missing values, then mean and population deviation (0 becomes 1)."""
-    mid = medians(train, features)
-    aggs = [a for c in features for a in (
-        F.avg(_filled(c, mid.get(c))).alias(f"m_{c}"),
-        F.stddev_pop(_filled(c, mid.get(c))).alias(f"s_{c}"))]
-    row = train.agg(*aggs).first().asDict()
+    row = _moments(train, features, {})
+    mid = medians(train, features, n=row["n"])
+    if any(row[f"gaps_{c}"] for c in features):
+        row = _moments(train, features, mid)
     return Scaling({c: mid.get(c) for c in features}, {c: row[f"m_{c}"] for c in features},
                    {c: row[f"s_{c}"] or 1.0 for c in features})
 
 
+def _moments(df: DataFrame, features: Sequence[str], mid: Mapping[str, float]) -> dict:
+    """Row count, and missing values, mean and deviation per feature, in one pass."""
+    x = {c: _filled(c, mid.get(c)) for c in features}
+    return df.agg(F.count(F.lit(1)).alias("n"), *[a for c in features for a in (
+        F.count_if(x[c].isNull()).alias(f"gaps_{c}"), F.avg(x[c]).alias(f"m_{c}"),
+        F.stddev_pop(x[c]).alias(f"s_{c}"))]).first().asDict()
+
+
 def _order_key(id_cols: Sequence[str], seed: int):
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in id_cols]))
 
@@ -110,7 +117,7 @@ def contiguous_folds(df: DataFrame, order_col: str, folds: int = 5,
     n = df.count()
     sizes = [n // folds + (1 if i < n % folds else 0) for i in range(folds)]
     ends = [sum(sizes[:i + 1]) for i in range(folds - 1)]
-    cuts = smallest_rank_value(df, order_col, [e for e in ends if e > 0])
+    cuts = smallest_rank_value(df, order_col, [e for e in ends if e > 0], n)
     fold = F.lit(0)
     for cut in cuts:
         fold = fold + (F.col(order_col).cast("double") > F.lit(cut)).cast("int")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from verdara.operators.linear import FEATURES, assembler, scaling_stage
 from verdara.operators.ordered import medians
 from verdara.operators.prep import Scaling, contiguous_folds
+from verdara.operators.reuse import held
 
 # Search grids and the Spark parameter each name maps to.
 FOREST_GRID = {
@@ -73,7 +74,7 @@ def _checked(params: Mapping, known: Mapping[str, str]) -> dict:
 
 
 def _prepare(train: DataFrame, target: str, features: Sequence[str], keep=()):
-    """Median imputation only; trees need no scaling."""
+    """Median imputation only; trees need no scaling.  Stages and the vector rows."""
     mid = medians(train, features)
     stage = scaling_stage(Scaling(mid, {}, {}), standardise=False)
     pack = assembler(features)
@@ -94,8 +95,9 @@ def boosted(target: str, seed: int = 42, **params) -> GBTRegressor:
 
 
 def fit(train: DataFrame, target: str, features: Sequence[str], model) -> PipelineModel:
-    stage, pack, ready = _prepare(train, target, features)
-    return PipelineModel([stage, pack, model.fit(ready)])
+    with held(train.select(*dict.fromkeys([*features, target]))) as kept:
+        stage, pack, ready = _prepare(kept, target, features)
+        return PipelineModel([stage, pack, model.fit(ready)])
 
 
 def impurity_importance(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
@@ -161,12 +163,13 @@ def random_search(train: DataFrame, target: str, features: Sequence[str], order_
     est = make(target, seed)
     combos = draw_params(grid, draws, seed)
     maps = [{est.getParam(k): v for k, v in _checked(c, known).items()} for c in combos]
-    folded = contiguous_folds(train, order_col, folds, "_fold")
-    stage, pack, ready = _prepare(folded, target, features, ["_fold"])
-    cv = CrossValidator(
-        estimator=est, estimatorParamMaps=maps, numFolds=folds, foldCol="_fold",
-        evaluator=RegressionEvaluator(labelCol=target, metricName="r2"),
-        parallelism=parallelism).fit(ready)
+    with held(train.select(*dict.fromkeys([order_col, *features, target]))) as kept:
+        folded = contiguous_folds(kept, order_col, folds, "_fold")
+        stage, pack, ready = _prepare(folded, target, features, ["_fold"])
+        cv = CrossValidator(
+            estimator=est, estimatorParamMaps=maps, numFolds=folds, foldCol="_fold",
+            evaluator=RegressionEvaluator(labelCol=target, metricName="r2"),
+            parallelism=parallelism).fit(ready)
     table = train.sparkSession.createDataFrame(
         [(json.dumps(c, sort_keys=True), float(r)) for c, r in zip(combos, cv.avgMetrics)],
         "params string, r2_mean double").orderBy(F.desc("r2_mean"), "params")

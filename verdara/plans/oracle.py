@@ -471,11 +471,11 @@ FROM frame LEFT JOIN pred USING (raster, row, col)""",
     "describe_by_cover": _describe("lineitem", "l_returnflag",
                                    ("l_quantity", "l_extendedprice", "l_discount")),
     "describe_by_date": _describe("(SELECT *, CAST(l_shipdate AS DATE) AS day FROM lineitem)",
-                                  "day", ("l_quantity", "l_extendedprice")),
+                                  "day", ("l_quantity", "l_linenumber")),
     "box_stats": _box("l_quantity") + " UNION ALL " + _box("l_extendedprice"),
     "monthly_mean": f"""SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month, l_returnflag,
-  count(l_extendedprice) AS n, {_r('avg(l_extendedprice)', 4)} AS mean,
-  {_r('stddev_samp(l_extendedprice) / sqrt(count(l_extendedprice))', 4)} AS se
+  count(l_quantity) AS n, {_r('avg(l_quantity)', 4)} AS mean,
+  {_r('stddev_samp(l_quantity) / sqrt(count(l_quantity))', 4)} AS se
 FROM lineitem GROUP BY ALL""",
     "pearson_pairs": f"WITH {ORDERS} " + _pairs(
         ("sum_price", "sum_charge"), REGRESSORS, lambda t, f: f"corr({t}, {f})", "o"),
@@ -583,6 +583,7 @@ SELECT model, set, {_r('RMSE', 4)} AS "RMSE", {_r('MAE', 4)} AS "MAE", {_r('R2',
     + ' FROM tab GROUP BY "Model"',
     "best_model": f"""WITH {TABLE} SELECT * EXCLUDE rk FROM (SELECT *, row_number() OVER (
   PARTITION BY "Target" ORDER BY "R2 (train)" DESC, "Model") AS rk FROM tab) WHERE rk = 1""",
+    "latest_model": """SELECT 'l_extendedprice' AS target, 'ols l_extendedprice' AS name""",
     "model_roundtrip": f"""WITH {LINE_FIT} SELECT l_orderkey, l_linenumber,
   {_r('my + wa * (l_quantity - ma) / sa + wb * (l_discount - mb) / sb', 3)} AS prediction
 FROM lineitem, fit""",

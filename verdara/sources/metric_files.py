@@ -45,9 +45,9 @@ def gather(spark: SparkSession, base_dir: str, targets: Sequence[str] = TARGETS,
             path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
             lines = (spark.read.option("pathGlobFilter", "*.csv")
                      .option("recursiveFileLookup", True)
-                     .option("ignoreCorruptFiles", True).option("wholetext", True)
-                     .text(f"{base_dir}/{folder}")
-                     .select(F.substring_index(path, F.lit(f"/{folder}/"), -1).alias("name"),
+                     .option("ignoreCorruptFiles", True)
+                     .text(f"{base_dir}/{folder}", wholetext=True)
+                     .select(F.substring_index(path, f"/{folder}/", -1).alias("name"),
                              "value"))
         except AnalysisException:
             continue
