@@ -79,7 +79,8 @@ def brute(x, y, h, q=None):
     (["a", "b"], False, 60)])
 def test_kernel_against_brute_force(data, monkeypatch, cols, cells, pack):
     """Cells, plain packs and several packs per query give the direct sums."""
-    monkeypatch.setattr(kernel, "PACK_SIZE", pack)
+    monkeypatch.setattr(kernel, "CHUNK_SIZE", pack)
+    monkeypatch.setattr(kernel, "TILE_ROWS", 3 * pack)
     df, x, y = data
     x = x[:, :len(cols)]
     hs = [0.003, 0.05, 0.4, 3.0]
@@ -112,7 +113,8 @@ def test_kernel_edges(spark, data):
 @pytest.mark.parametrize("cols,pack", [(["a"], 1024), (["a"], 70), (["a", "b"], 1024),
                                        (["a", "b"], 70)])
 def test_local_linear(data, monkeypatch, cols, pack):
-    monkeypatch.setattr(kernel, "PACK_SIZE", pack)
+    monkeypatch.setattr(kernel, "CHUNK_SIZE", pack)
+    monkeypatch.setattr(kernel, "TILE_ROWS", 3 * pack)
     df, x, y = data
     x, h = x[:, :len(cols)], 0.6
     got = {r["id"]: r["yhat"] for r in

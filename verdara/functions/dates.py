@@ -14,11 +14,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Month abbreviations, English and Spanish, by month number.
-MONTH_NUMBERS = {
+ENGLISH_MONTHS = {
     "JAN": 1, "FEB": 2, "MAR": 3, "APR": 4, "MAY": 5, "JUN": 6,
     "JUL": 7, "AUG": 8, "SEP": 9, "OCT": 10, "NOV": 11, "DEC": 12,
-    "ENE": 1, "ABR": 4, "AGO": 8, "DIC": 12,
 }
+MONTH_NUMBERS = ENGLISH_MONTHS | {"ENE": 1, "ABR": 4, "AGO": 8, "DIC": 12}
 
 _DAY_MONTH_YEAR = r"^([0-9]{1,2})([A-Za-z]{3})[A-Za-z]*([0-9]{4})$"
 _EIGHT_DIGITS = r"^[0-9]{8}$"
@@ -35,42 +35,34 @@ def clean_tag(tag: Column) -> Column:
     return F.regexp_replace(tag, "[^0-9A-Za-z]", "")
 
 
-def date_from_tag(tag: Column) -> Column:
-    """Date of a flexible tag: dMonYYYY (EN/ES), YYYYMMDD (19xx/20xx) or DDMMYYYY."""
+def date_from_tag(tag: Column, flexible: bool = True) -> Column:
+    """Date of a flexible tag: dMonYYYY (EN/ES), YYYYMMDD (19xx/20xx) or DDMMYYYY.
+
+    Unreadable tags give NULL through ``try_cast``, which, unlike a failing pattern
+    parse, raises nothing inside.
+    """
     z = clean_tag(tag)
+    # one match turns 8Apr2025 into 2025-Apr-8; other tags stay as they are
+    parts = F.regexp_replace(z, _DAY_MONTH_YEAR, "$3-$2-$1")
+    names = MONTH_NUMBERS if flexible else ENGLISH_MONTHS
     months = F.create_map(
-        *[F.lit(x) for abbrev, num in MONTH_NUMBERS.items() for x in (abbrev, f"{num:02d}")]
-    )
-    month = F.element_at(months, F.upper(F.regexp_extract(z, _DAY_MONTH_YEAR, 2)))
-    named = F.concat_ws(
-        "-",
-        F.regexp_extract(z, _DAY_MONTH_YEAR, 3),
-        month,
-        F.lpad(F.regexp_extract(z, _DAY_MONTH_YEAR, 1), 2, "0"),
-    )
-    digits = (
-        F.when(
-            z.rlike("^(19|20)"),
-            F.concat_ws("-", F.substring(z, 1, 4), F.substring(z, 5, 2), F.substring(z, 7, 2)),
-        )
-        .otherwise(
-            F.concat_ws("-", F.substring(z, 5, 4), F.substring(z, 3, 2), F.substring(z, 1, 2))
-        )
-    )
-    iso = (
-        F.when(z.rlike(_DAY_MONTH_YEAR) & month.isNotNull(), named)
-        .when(z.rlike(_EIGHT_DIGITS), digits)
-    )
-    return F.try_to_date(iso, "yyyy-MM-dd")
+        *[F.lit(x) for abbrev, num in names.items() for x in (abbrev, f"{num:02d}")])
+    named = F.concat(F.substring(parts, 1, 5),
+                     F.element_at(months, F.upper(F.substring(parts, 6, 3))), F.lit("-"),
+                     F.lpad(F.substring(parts, 10, 2), 2, "0"))
+    ymd = F.concat_ws("-", F.substring(z, 1, 4), F.substring(z, 5, 2), F.substring(z, 7, 2))
+    dmy = F.concat_ws("-", F.substring(z, 5, 4), F.substring(z, 3, 2), F.substring(z, 1, 2))
+    eight = (F.length(z) == 8) & z.try_cast("int").isNotNull()
+    year_first = z.startswith("19") | z.startswith("20")
+    iso = F.when(parts != z, named).when(eight & year_first, ymd)
+    if flexible:
+        iso = iso.when(eight, dmy)
+    return iso.try_cast("date")
 
 
 def date_from_plain_tag(tag: Column) -> Column:
     """Date of a tag in one of the two generic styles, dMonYYYY (EN) or YYYYMMDD."""
-    z = clean_tag(tag)
-    return F.coalesce(
-        F.try_to_timestamp(F.initcap(z), F.lit("dMMMyyyy")),
-        F.try_to_timestamp(z, F.lit("yyyyMMdd")),
-    ).cast("date")
+    return date_from_tag(tag, flexible=False)
 
 
 def tag_to_date(tag: str | None, flexible: bool = True) -> dt.date | None:
@@ -80,8 +72,8 @@ def tag_to_date(tag: str | None, flexible: bool = True) -> dt.date | None:
     try:
         if named:
             abbrev = named.group(2).upper()
-            number = MONTH_NUMBERS.get(abbrev)
-            if number is None or (not flexible and abbrev in ("ENE", "ABR", "AGO", "DIC")):
+            number = (MONTH_NUMBERS if flexible else ENGLISH_MONTHS).get(abbrev)
+            if number is None:
                 return None
             return dt.date(int(named.group(3)), number, int(named.group(1)))
         if re.match(_EIGHT_DIGITS, z):

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdara.functions.radar import (
-    cross_ratio, cross_sum, db_to_linear, linear_to_db, parse_intensity)
+    cross_ratio, cross_sum, db_to_linear, floored_db, linear_to_db, parse_intensity)
+from verdara.operators.spread import attach_groups
 
 
 def crosspol_long(rows: DataFrame, keys: Sequence[str], pol_col: str = "pol",
@@ -75,15 +76,12 @@ def scale_db(rows: DataFrame, group_cols: Sequence[str], val_col: str,
              out_col: str = "scaled") -> DataFrame:
     """Per-group min-max scaling of 10·log10(x + 1e-10).
 
-    The group extremes are aggregated map-side first; the join back goes through
-    ``join_lookup`` so a raster with a large share of the pixels is split.
+    The group extremes are aggregated map-side first and joined back by
+    ``attach_groups``, so a raster with a large share of the pixels stays spread.
     """
-    from verdara.functions.radar import floored_db
-    from verdara.operators.spread import join_lookup
-
     db = rows.withColumn("_db", floored_db(F.col(val_col)))
     ends = db.groupBy(*group_cols).agg(F.min("_db").alias("_lo"), F.max("_db").alias("_hi"))
-    return (join_lookup(db, ends, group_cols)
+    return (attach_groups(db, ends, group_cols)
             .withColumn(out_col, F.try_divide(F.col("_db") - F.col("_lo"),
                                               F.col("_hi") - F.col("_lo")))
             .drop("_db", "_lo", "_hi"))

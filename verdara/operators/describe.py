@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verdara.functions.dates import month_start
 from verdara.operators.ordered import ROWS_PER_BUCKET, group_quantiles, melt
-from verdara.operators.spread import join_lookup
+from verdara.operators.spread import attach_groups
 
 
 def describe_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
@@ -38,17 +38,15 @@ def box_stats(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
     quarts = group_quantiles(df, keys, cols, (0.25, 0.5, 0.75), rows_per_bucket)
     reach = F.lit(1.5) * (F.col("q2") - F.col("q0"))
     fences = quarts.withColumns({"_lo": F.col("q0") - reach, "_hi": F.col("q2") + reach})
-    # values are pre-counted, so the join sees each distinct value of a group once
-    counts = (melt(df, keys, cols).where("val IS NOT NULL")
-              .groupBy(*group, "val").agg(F.count(F.lit(1)).alias("n")))
     inside = F.col("val").between(F.col("_lo"), F.col("_hi"))
-    return (join_lookup(counts, fences, group, how="inner")
+    rows = melt(df, keys, cols).where("val IS NOT NULL")
+    return (attach_groups(rows, fences, group, how="inner")
             .groupBy(*group).agg(
                 F.first("q0").alias("q25"), F.first("q1").alias("q50"),
                 F.first("q2").alias("q75"),
                 F.min(F.when(inside, F.col("val"))).alias("whisker_low"),
                 F.max(F.when(inside, F.col("val"))).alias("whisker_high"),
-                F.sum(F.when(~inside, F.col("n")).otherwise(F.lit(0))).alias("n_outliers")))
+                F.count_if(~inside).alias("n_outliers")))
 
 
 def monthly_mean(df: DataFrame, date_col: str, col: str,

@@ -6,9 +6,10 @@ feature and many training rows the elements are lattice cells of width h/16 that
 carry a short series of moments; their number depends on the value range and h,
 not on the number of rows, and the series is exact to about 1e-12.
 
-Elements are packed into arrays of bounded length, keyed by bandwidth, range
-block and chunk.  A query row meets its packs through an equi-join and reduces
-each pack inside the row, so no query × training pair ever becomes a row.
+Query rows and elements meet in blocks, like the tiles of a matrix product: both
+sides are keyed by bandwidth, range block, element chunk and query salt, and a tile
+of bounded size on both sides is reduced by numpy to one row of sums per query row.
+No query × training pair ever becomes a row.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdara.operators.spread import join_lookup
-
 # exp(-0.5·39²) underflows to 0 in double precision: nothing beyond 39 h counts.
 REACH = 39.0
 CELLS_PER_H = 16
 SERIES = 18
-PACK_SIZE = 1024
+# Bounds of a tile: elements per chunk, query rows per salt, query rows per step.
+CHUNK_SIZE = 4096
+TILE_ROWS = 50_000
+STEP = 512
 CELL_MODE_FROM = 20_000
 LOO_EPSILON = 1e-12
 
@@ -55,7 +57,7 @@ def _layout(train: DataFrame, xs: Sequence[str], hs: Sequence[float],
         raise ValueError("cell moments are built for one feature")
     widths = [row[f"hi{i}"] - row[f"lo{i}"] for i in range(len(xs))]
     blocked = {h: [i for i, w in enumerate(widths) if w > REACH * h] for h in hs}
-    chunks = 1 if cells else max(1, math.ceil(row["n"] / PACK_SIZE))
+    chunks = max(1, math.ceil(row["n"] / CHUNK_SIZE)) if not cells else 1
     return _Layout(tuple(xs), blocked, chunks, cells)
 
 
@@ -100,57 +102,142 @@ def _cell(layout: _Layout) -> Column:
     return F.floor(F.col(layout.xs[0]) / (F.col("h") / CELLS_PER_H))
 
 
-def _centre(layout: _Layout) -> Column:
+def _centre(layout: _Layout) -> list[Column]:
     if not layout.cells:
-        return F.array(*[F.col(x) for x in layout.xs])
-    return F.array((_cell(layout) + 0.5) * (F.col("h") / CELLS_PER_H))
+        return [F.col(x) for x in layout.xs]
+    return [(_cell(layout) + 0.5) * (F.col("h") / CELLS_PER_H)]
 
 
-def _series(layout: _Layout, centre: Column, weight: Column) -> list[Column]:
-    """Moments of one row about its centre; only the weight itself for a point."""
-    if not layout.cells:
-        return [weight]
-    u = (F.col(layout.xs[0]) - centre[0]) / F.col("h")
+def _series(layout: _Layout, weight: Column) -> list[Column]:
+    """Moments of one row about the centre of its cell."""
+    u = (F.col(layout.xs[0]) - _centre(layout)[0]) / F.col("h")
     base = weight * F.exp(-0.5 * u * u)
     return [base * F.pow(u, F.lit(float(m))) / F.lit(float(math.factorial(m)))
             for m in range(SERIES)]
 
 
-def _packs(train: DataFrame, y: str, hs: Sequence[float], layout: _Layout) -> DataFrame:
-    """(hi, block, chunk, pack): pack is an array of struct(c, m0, m1)."""
+def _elements(train: DataFrame, y: str, hs: Sequence[float], layout: _Layout) -> DataFrame:
+    """(hi, block, chunk, c0…, m0…, t0…): weight and y-sum of a point or moments of a cell."""
     points = train.groupBy(*layout.xs).agg(
-        F.count(F.lit(1)).cast("double").alias("_n"), F.sum(F.col(y).cast("double")).alias("_sy"))
-    rows = _with_bandwidth(points, hs).withColumn("_c", _centre(layout))
-    m0 = _series(layout, F.col("_c"), F.col("_n"))
-    m1 = _series(layout, F.col("_c"), F.col("_sy"))
-    rows = rows.withColumn("_b", _block(layout, hs))
+        F.count(F.lit(1)).cast("double").alias("m0"), F.sum(F.col(y).cast("double")).alias("t0"))
+    rows = _with_bandwidth(points, hs)
+    names = [f"c{i}" for i in range(len(layout.xs))]
     if layout.cells:
-        rows = rows.groupBy("hi", "_b", "_c").agg(
-            F.array(*[F.sum(m) for m in m0]).alias("m0"),
-            F.array(*[F.sum(m) for m in m1]).alias("m1"))
+        sums = [F.sum(m).alias(f"{k}{i}") for k in ("m", "t")
+                for i, m in enumerate(_series(layout, F.col(f"{k}0")))]
+        rows = rows.groupBy("hi", _block(layout, hs).alias("_b"),
+                            _centre(layout)[0].alias("c0")).agg(F.sum("m0").alias("n"), *sums)
     else:
-        rows = rows.withColumns({"m0": F.array(*m0), "m1": F.array(*m1)})
-    chunk = F.pmod(F.xxhash64("_c"), F.lit(layout.chunks)).cast("int")
-    return (rows.withColumn("chunk", chunk)
+        rows = rows.withColumn("_b", _block(layout, hs)).withColumns(
+            dict(zip(names, _centre(layout))))
+    return (rows.withColumn("chunk", F.pmod(F.xxhash64(*names), F.lit(layout.chunks)).cast("int"))
             .withColumn("block", F.explode(_neighbours(layout, hs, F.col("_b"))))
-            .groupBy("hi", "block", "chunk")
-            .agg(F.collect_list(F.struct(F.col("_c").alias("c"), "m0", "m1")).alias("pack")))
+            .drop("_b", "h", *layout.xs))
 
 
-def _square_gap(layout: _Layout, centre: Column) -> Column:
-    return reduce(lambda a, b: a + b,
-                  [(F.col(x) - centre[i]) * (F.col(x) - centre[i])
-                   for i, x in enumerate(layout.xs)])
+def _tiles(queries: DataFrame, train: DataFrame, y: str, hs: Sequence[float], layout: _Layout,
+           id_cols: Sequence[str], own_y: str | None, local: bool) -> DataFrame:
+    """(ids, h, [y,] s0…): sums per query row over all elements it reaches."""
+    keep = list(dict.fromkeys([*id_cols, *layout.xs, *([own_y] if own_y else [])]))
+    rows = queries.select(*keep)
+    salts = max(1, math.ceil(rows.count() / TILE_ROWS))
+    key = ["hi", "block", "chunk", "salt"]
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = (_with_bandwidth(rows, hs).withColumns({
+        "block": _block(layout, hs),
+        "salt": F.pmod(F.xxhash64(F.spark_partition_id(), *keep), F.lit(salts)).cast("int")})
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(layout.chunks - 1))))
+        .repartition(parts, *key))
+    right = _elements(train, y, hs, layout).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+    size = _sum_count(len(layout.xs), local)
+    names = [f"s{k}" for k in range(size)]
+    ids = list(dict.fromkeys([*id_cols, *([own_y] if own_y else [])]))
+    kinds = dict(left.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in ids] + ["h double"]
+                       + [f"{n} double" for n in names])
+    xs, cells = list(layout.xs), layout.cells
+
+    def reduce_tile(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        out = q[ids + ["h"]].copy()
+        found = np.zeros((len(q), size))
+        if len(q) and len(e):
+            x = q[xs].to_numpy(float)
+            own = q[own_y].to_numpy(float) if own_y else None
+            found = _tile_sums(x, own, float(q["h"].iloc[0]), e, cells, local)
+        out[names] = found
+        return out
+
+    sums = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(reduce_tile, schema)
+    if layout.chunks > 1:
+        sums = sums.groupBy(*ids, "h").agg(*[F.sum(n).alias(n) for n in names])
+    return sums
+
+
+def _sum_count(d: int, local: bool) -> int:
+    return (d + 1) * (d + 2) // 2 + d + 1 if local else 2
+
+
+def _tile_sums(x: np.ndarray, own: np.ndarray | None, h: float, e: pd.DataFrame, cells: bool,
+               local: bool) -> np.ndarray:
+    """Sums of one tile.  ``own`` holds y of the query rows for leave-one-out."""
+    d = x.shape[1]
+    c = e[[f"c{i}" for i in range(d)]].to_numpy(float)
+    order = SERIES if cells else 1
+    m = e[[f"m{i}" for i in range(order)]].to_numpy(float)
+    t = e[[f"t{i}" for i in range(order)]].to_numpy(float)
+    out = np.zeros((len(x), _sum_count(d, local)))
+    for at in range(0, len(x), STEP):
+        part = slice(at, at + STEP)
+        gap = x[part, None, :] - c[None]
+        w = np.exp(-0.5 * np.einsum("ijk,ijk->ij", gap, gap) / (h * h))
+        if local:
+            z = [np.ones_like(w)] + [-gap[:, :, k] for k in range(d)]
+            pairs = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
+            out[part] = np.stack([(w * z[i] * z[j]) @ m[:, 0] for i, j in pairs]
+                                 + [(w * zi) @ t[:, 0] for zi in z], axis=1)
+            continue
+        weight, total = m[:, 0][None], t[:, 0][None]
+        if cells:
+            weight, total = (_polynomial(gap[:, :, 0] / h, a) for a in (m, t))
+        if own is not None:
+            count = e["n"].to_numpy() if cells else None
+            weight, total = _without_self(x[part], own[part], h, c, m, t, weight, total, count)
+        out[part, 0], out[part, 1] = (w * weight).sum(1), (w * total).sum(1)
+    return out
+
 
+def _polynomial(v: np.ndarray, moments: np.ndarray) -> np.ndarray:
+    acc = np.broadcast_to(moments[:, -1], v.shape)
+    for k in range(moments.shape[1] - 2, -1, -1):
+        acc = acc * v + moments[:, k]
+    return acc
 
-def _meet(queries: DataFrame, train: DataFrame, y: str, hs: Sequence[float],
-          layout: _Layout) -> DataFrame:
-    """Query rows, once per bandwidth and chunk, with their pack (NULL if none)."""
-    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _with_bandwidth(queries.repartition(parts, *queries.columns), hs)
-    rows = rows.withColumn("block", _block(layout, hs)).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), F.lit(layout.chunks - 1))))
-    return join_lookup(rows, _packs(train, y, hs, layout), ["hi", "block", "chunk"])
+
+def _without_self(x, own, h, c, m, t, weight, total, count):
+    """Take each row's own part out of its element before anything is summed.
+
+    ``count`` gives the rows per cell, None for points.  A cell that holds nothing
+    but the row itself counts exactly 0, whatever the last digit of its moments.
+    """
+    shape = (len(x), len(c))
+    weight, total = (np.array(np.broadcast_to(a, shape)) for a in (weight, total))
+    if count is None:
+        same = (x[:, None, :] == c[None]).all(2)
+        return weight - same, total - same * own[:, None]
+    width = h / CELLS_PER_H
+    mine = (np.floor(x[:, 0] / width) + 0.5) * width
+    row, col = np.nonzero(mine[:, None] == c[:, 0][None])
+    u = (x[row, 0] - c[col, 0]) / h
+    k = np.arange(SERIES)
+    scale = np.array([math.factorial(i) for i in k], dtype=float)
+    part = np.exp(-0.5 * u * u)[:, None] * u[:, None] ** k / scale
+    powers = u[:, None] ** k
+    others = count[col] > 1
+    weight[row, col] = others * ((m[col] - part) * powers).sum(1)
+    total[row, col] = others * ((t[col] - part * own[row][:, None]) * powers).sum(1)
+    return weight, total
 
 
 def kernel_sums(queries: DataFrame, train: DataFrame, xs: Sequence[str], y: str,
@@ -162,39 +249,7 @@ def kernel_sums(queries: DataFrame, train: DataFrame, xs: Sequence[str], y: str,
     rows then are the training rows and carry ``y``.  ``id_cols`` identify a row.
     """
     layout = _layout(train, xs, hs, cells)
-    own_y = [y] if leave_one_out else []
-    keep = list(dict.fromkeys([*id_cols, *xs, *own_y]))
-    rows = _meet(queries.select(*keep), train, y, hs, layout)
-    h2 = F.col("h") * F.col("h")
-    if leave_one_out:
-        rows = rows.withColumn("_c", _centre(layout))
-        rows = rows.withColumns({
-            "_own0": F.array(*_series(layout, F.col("_c"), F.lit(1.0))),
-            "_own1": F.array(*_series(layout, F.col("_c"), F.col(y).cast("double")))})
-
-    def value(e: Column, part: str, own: str) -> Column:
-        moments = e[part]
-        if leave_one_out:
-            mine = e["c"] == F.col("_c")
-            moments = F.when(mine, F.zip_with(moments, F.col(own), lambda a, b: a - b)) \
-                .otherwise(moments)
-        if not layout.cells:
-            return moments[0]
-        v = (F.col(layout.xs[0]) - e["c"][0]) / F.col("h")
-        return F.aggregate(F.reverse(moments), F.lit(0.0), lambda acc, m: acc * v + m)
-
-    def step(acc: Column, e: Column) -> Column:
-        w = F.exp(F.lit(-0.5) * _square_gap(layout, e["c"]) / h2)
-        return F.struct((acc["s0"] + w * value(e, "m0", "_own0")).alias("s0"),
-                        (acc["s1"] + w * value(e, "m1", "_own1")).alias("s1"))
-
-    zero = F.struct(F.lit(0.0).alias("s0"), F.lit(0.0).alias("s1"))
-    sums = rows.withColumn("_s", F.coalesce(F.aggregate("pack", zero, step), zero))
-    ids = list(dict.fromkeys([*id_cols, *own_y]))
-    out = sums.select(*ids, "h", F.col("_s.s0").alias("s0"), F.col("_s.s1").alias("s1"))
-    if layout.chunks > 1:
-        out = out.groupBy(*ids, "h").agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1"))
-    return out
+    return _tiles(queries, train, y, hs, layout, id_cols, y if leave_one_out else None, False)
 
 
 def predict(queries: DataFrame, train: DataFrame, xs: Sequence[str], y: str,
@@ -247,29 +302,13 @@ def predict_local_linear(queries: DataFrame, train: DataFrame, xs: Sequence[str]
                          h: float, id_cols: Sequence[str]) -> DataFrame:
     """(ids, yhat) of the local-linear fit; a singular system falls back to Σwy/Σw.
 
-    Each query row reduces its packs to the (d+1)-sized moment sums; one feature is
-    solved in closed form, more features by a vectorised solve per Arrow batch.
+    The tiles reduce to (d+1)-sized moment sums; one feature is solved in closed
+    form, more features by a vectorised solve per Arrow batch.
     """
-    layout = _layout(train, xs, [h], False)
     d = len(xs)
-    keep = list(dict.fromkeys([*id_cols, *xs]))
-    rows = _meet(queries.select(*keep), train, y, [h], layout)
+    sums = _tiles(queries, train, y, [h], _layout(train, xs, [h], False), id_cols, None, True)
     pairs = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
-
-    def terms(e: Column) -> Column:
-        w = F.exp(F.lit(-0.5) * _square_gap(layout, e["c"]) / (F.col("h") * F.col("h")))
-        z = [F.lit(1.0)] + [e["c"][i] - F.col(x) for i, x in enumerate(xs)]
-        return F.array(*[w * e["m0"][0] * z[i] * z[j] for i, j in pairs],
-                       *[w * e["m1"][0] * zi for zi in z])
-
-    size = len(pairs) + d + 1
-    zero = F.array(*[F.lit(0.0)] * size)
-    sums = rows.withColumn("_s", F.coalesce(F.aggregate(
-        "pack", zero, lambda acc, e: F.zip_with(acc, terms(e), lambda a, b: a + b)), zero))
-    if layout.chunks > 1:
-        sums = sums.groupBy(*id_cols).agg(
-            F.array(*[F.sum(F.col("_s")[k]) for k in range(size)]).alias("_s"))
-    s = F.col("_s")
+    s = [F.col(f"s{k}") for k in range(_sum_count(d, True))]
     flat = F.try_divide(s[len(pairs)], s[0])
     if d == 1:
         det = s[0] * s[2] - s[1] * s[1]
@@ -277,7 +316,7 @@ def predict_local_linear(queries: DataFrame, train: DataFrame, xs: Sequence[str]
         ok = F.abs(det) > F.lit(1e-14) * s[0] * s[2]
         fit = F.when(ok, (s[2] * s[3] - s[1] * s[4]) / F.nullif(det, F.lit(0.0)))
     else:
-        fit = _solver(d, pairs)(s)
+        fit = _solver(d, pairs)(F.array(*s))
     return sums.select(*id_cols, F.coalesce(F.nanvl(fit, flat), flat).alias("yhat"))
 
 

@@ -86,12 +86,16 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
                     n: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles: (keys, var, q0, q1, …) per column.
 
-    ``n`` is the row count of ``df`` if the caller knows it.
+    ``n`` is the row count of ``df`` if the caller knows it.  A table small enough
+    for one task takes Spark's own exact percentile, whose state holds a group's
+    distinct values; a larger one takes the bucketed running counts.
     """
     keys = list(keys)
+    bound = (df.count() if n is None else n) * len(cols)
+    if bound <= rows_per_bucket:
+        return _small_quantiles(df, keys, cols, probs)
     rows = melt(df, keys, cols)
     group = [*keys, "var"]
-    bound = (df.count() if n is None else n) * len(cols)
     running = with_running_count(
         value_counts(rows, group), group, bucket_edges(rows, bound, "val", rows_per_bucket))
     picks, out = [], []
@@ -108,6 +112,17 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
             .select(*group, *out))
 
 
+def _small_quantiles(df: DataFrame, keys: list[str], cols: Sequence[str],
+                     probs: Sequence[float]) -> DataFrame:
+    at = F.array(*[F.lit(float(p)) for p in probs])
+    found = df.groupBy(*keys).agg(*[
+        F.percentile(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), at)
+        .alias(f"_p{i}") for i, c in enumerate(cols)])
+    cells = [x for i, c in enumerate(cols) for x in (F.lit(c), F.col(f"_p{i}"))]
+    return (found.select(*keys, F.stack(F.lit(len(cols)), *cells).alias("var", "_q"))
+            .select(*keys, "var", *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))]))
+
+
 def medians(df: DataFrame, cols: Sequence[str], n: int | None = None) -> dict[str, float]:
     """Exact median per column, as driver scalars (one per column)."""
     found = group_quantiles(df, [], cols, [0.5], n=n).collect()

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdara.functions.radar import (
-    intensity_parts, is_finite, parse_decomposition, parse_intensity)
+    finite_or_null, intensity_parts, is_finite, parse_decomposition, parse_intensity)
+from verdara.operators.spread import join_lookup
 
 PIXEL = ("raster", "row", "col")
 # Feature tokens that a map can be built from.
@@ -90,11 +91,7 @@ def valid_pixels(pixels: DataFrame, nodata: float | None = None, rule: str = "al
 def temporal_mean(pixels: DataFrame, bands: Sequence[int], name: str = "mean") -> DataFrame:
     """Per-pixel mean of the listed bands, skipping values that are not finite."""
     return (pixels.where(F.col("band").isin(list(bands))).groupBy(*PIXEL)
-            .agg(_mean(F.col("band").isin(list(bands))).alias(name)))
-
-
-def _mean(inside: Column) -> Column:
-    return F.avg(F.when(inside & is_finite(F.col("value")), F.col("value").cast("double")))
+            .agg(F.avg(finite_or_null(F.col("value"))).alias(name)))
 
 
 class _Features:
@@ -111,15 +108,15 @@ class _Features:
         """One band's value; finite or NULL."""
         name = f"_b{band}"
         self.aggs.setdefault(name, F.max(F.when(
-            self._inside("intensity", [band]) & is_finite(F.col("value")),
-            F.col("value").cast("double"))).alias(name))
+            self._inside("intensity", [band]), F.col("_v"))).alias(name))
         return F.col(name)
 
     def _mean_of(self, token: str, stack: str, bands: Sequence[int]) -> Column:
         if not bands:
             raise ValueError(f"feature {token!r} cannot be built from the given stacks")
         name = f"_m_{token}"
-        self.aggs.setdefault(name, _mean(self._inside(stack, bands)).alias(name))
+        self.aggs.setdefault(name, F.avg(F.when(
+            self._inside(stack, bands), F.col("_v"))).alias(name))
         return F.col(name)
 
     def _intensity(self) -> dict[tuple[str, str], dict[str, int]]:
@@ -196,7 +193,8 @@ def pixel_features(pixels: DataFrame, bands: Mapping[str, Mapping[int, str]],
     nodata = nodata or {}
     masks = {s: _valid(nodata.get(s), rule, F.col("stack") == s).alias(f"_ok_{s}")
              for s in bands}
-    wide = pixels.groupBy(*PIXEL).agg(*masks.values(), *build.aggs.values())
+    rows = pixels.withColumn("_v", finite_or_null(F.col("value")))
+    wide = rows.groupBy(*PIXEL).agg(*masks.values(), *build.aggs.values())
     made = wide.select(*PIXEL, *[F.col(f"_ok_{s}") for s in masks],
                        *[c.alias(f) for f, c in columns.items()])
     ok = reduce(lambda a, b: a & b,
@@ -256,8 +254,6 @@ def sample_points(points: DataFrame, pixels: DataFrame, meta: DataFrame,
     spots = locate_points(points, meta, raster_col, x_col, y_col)
     wide = (scan_bands(pixels, list(bands)).groupBy(*PIXEL).agg(*cells)
             .withColumnRenamed("raster", raster_col))
-    from verdara.operators.spread import join_lookup
-
     return (join_lookup(spots, wide, [raster_col, "row", "col"])
             .select(*id_cols, *[F.col(f"`{n}`") for _, n in sorted(bands.items())]))
 

@@ -14,6 +14,8 @@ HOT_SHARE = 0.001
 # Keys below this row count fit one task and are never split.
 HOT_FLOOR = 1_000_000
 SALTS = 256
+# A group table of this many rows is small for every executor.
+BROADCAST_GROUPS = 10_000
 
 
 def hot_keys(rows: DataFrame, keys: Sequence[str], share: float = HOT_SHARE,
@@ -61,3 +63,17 @@ def join_lookup(left: DataFrame, lookup: DataFrame, keys: Sequence[str], how: st
                .otherwise(F.array(F.lit(0)))))
            .drop("_hot"))
     return lhs.join(rhs, keys + ["_salt"], how).drop("_salt")
+
+
+def attach_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str],
+                  how: str = "left") -> DataFrame:
+    """Join rows to one row per group, such as fences or extremes.
+
+    The group table is broadcast if a look at its first rows shows that it has at
+    most ``BROADCAST_GROUPS`` of them; otherwise ``join_lookup`` splits hot groups.
+    """
+    head = groups.limit(BROADCAST_GROUPS + 1).collect()
+    if len(head) > BROADCAST_GROUPS:
+        return join_lookup(rows, groups, keys, how)
+    few = rows.sparkSession.createDataFrame(head, groups.schema)
+    return rows.join(F.broadcast(few), list(keys), how)

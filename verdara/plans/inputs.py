@@ -37,6 +37,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="verdara-", dir=os.environ.get("TMPDIR"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a derived table once and read it back, for fits that pass over it often.
+
+    The written files cut the lineage and survive a lost executor.
+    """
+    path = scratch_dir(df.sparkSession) + "/table"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def field_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, ts, event_id, value): purchases play the field measurements."""
     return (table(spark, sf_dir, "events").where("event_type = 'purchase'")

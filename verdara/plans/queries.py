@@ -417,7 +417,7 @@ def pearson_pairs(spark, sf_dir):
 
 @query
 def spearman_pairs(spark, sf_dir):
-    return rounded(correlate.spearman(src.order_level(spark, sf_dir),
+    return rounded(correlate.spearman(src.stored(src.order_level(spark, sf_dir)),
                                       ["sum_price", "sum_charge"], REGRESSORS))
 
 
@@ -465,7 +465,7 @@ def boxcox_transform(spark, sf_dir):
 
 @query
 def pca_scores(spark, sf_dir):
-    orders = src.order_level(spark, sf_dir)
+    orders = src.stored(src.order_level(spark, sf_dir))
     fitted = pca.fit(orders, REGRESSORS)
     return rounded(fitted.scores(orders).select("l_orderkey", *fitted.names), 5)
 
@@ -482,7 +482,7 @@ def pca_variance(spark, sf_dir):
 
 @query
 def pca_append(spark, sf_dir):
-    orders = src.order_level(spark, sf_dir)
+    orders = src.stored(src.order_level(spark, sf_dir))
     scored = pca.fit(orders, REGRESSORS, 2).scores(orders)
     return rounded(correlate.pearson(scored, ["sum_price"], [*REGRESSORS, "PC1", "PC2"]))
 
@@ -549,7 +549,7 @@ def lasso_fit(spark, sf_dir):
 def ridge_metrics(spark, sf_dir):
     from verdara.plans.workflows import linear_scores
 
-    orders = src.order_level(spark, sf_dir)
+    orders = src.stored(src.order_level(spark, sf_dir))
     split = prep.random_split(orders, ["l_orderkey"], 0.3, 42)
     return rounded(linear_scores(split, ["sum_price", "avg_discount"], ["n_lines", "sum_qty"],
                                  "ridge", ALPHA_RIDGE), 4)
@@ -613,19 +613,19 @@ def pairwise_sqdist(spark, sf_dir):
 @query
 def rf_importance(spark, sf_dir):
     return rounded(trees.importance_by_target(
-        src.order_level(spark, sf_dir), ["sum_price"], REGRESSORS, **SMALL_TREES))
+        src.stored(src.order_level(spark, sf_dir)), ["sum_price"], REGRESSORS, **SMALL_TREES))
 
 
 @query
 def importance_long(spark, sf_dir):
     return rounded(trees.importance_by_target(
-        src.order_level(spark, sf_dir), ["sum_price", "sum_charge"], REGRESSORS,
+        src.stored(src.order_level(spark, sf_dir)), ["sum_price", "sum_charge"], REGRESSORS,
         n_estimators=5, max_depth=4))
 
 
 @query
 def gbt_split_counts(spark, sf_dir):
-    orders = src.order_level(spark, sf_dir)
+    orders = src.stored(src.order_level(spark, sf_dir))
     model = trees.fit(orders, "sum_price", REGRESSORS,
                       trees.boosted("sum_price", n_estimators=5, max_depth=3))
     path = src.scratch_dir(spark) + "/gbt"
@@ -636,14 +636,14 @@ def gbt_split_counts(spark, sf_dir):
 @query
 def rf_search(spark, sf_dir):
     grid = {"n_estimators": [3, 5], "max_depth": [3, 5], "min_samples_leaf": [1, 5]}
-    return rounded(trees.random_search(src.order_level(spark, sf_dir), "sum_price", REGRESSORS,
+    return rounded(trees.random_search(src.stored(src.order_level(spark, sf_dir)), "sum_price", REGRESSORS,
                                        "l_orderkey", "forest", grid, draws=3)[1])
 
 
 @query
 def gbt_search(spark, sf_dir):
     grid = {"n_estimators": [2, 4], "max_depth": [2, 3], "learning_rate": [0.1, 0.2]}
-    return rounded(trees.random_search(src.order_level(spark, sf_dir), "sum_price", REGRESSORS,
+    return rounded(trees.random_search(src.stored(src.order_level(spark, sf_dir)), "sum_price", REGRESSORS,
                                        "l_orderkey", "boosted", grid, draws=2)[1])
 
 
