@@ -3,6 +3,7 @@ import pytest
 
 from verdara.operators import linear, raster
 from verdara.plans import workflows
+from verdara.sources import tables
 
 INT = {1: "Sigma0_IW1_VH_mst_19Feb2025", 2: "Sigma0_VV_19Feb2025", 3: "Sigma0_VH_08Apr2025",
        4: "Sigma0_VV_08Apr2025", 5: "Gamma0_VH_19Feb2025", 6: "Gamma0_VV_19Feb2025",
@@ -116,7 +117,7 @@ def test_band_names_and_catalogue(spark, pix):
     assert mean[0] == (1.5,) and mean[3] == (1.0,)
 
 
-def test_map_prediction_and_frame(spark, pix):
+def test_map_prediction_and_frame(spark, pix, tmp_path):
     train = spark.createDataFrame([(1.0, 1.0), (2.0, 3.0), (4.0, 7.0)], "Sigma0_VH double, t double")
     model = linear.fit(train, "t", ["Sigma0_VH"], "ols")
     out = workflows.map_from_features({"intensity": pix}, {"intensity": INT}, ["Sigma0_VH"], model,
@@ -124,6 +125,9 @@ def test_map_prediction_and_frame(spark, pix):
     assert dict(out.dtypes)["pred"] == "float" and out.count() == 7
     got = by_col(out, "pred")
     assert got[0][0] == pytest.approx(7.0) and got[1][0] == -9999.0 and got[3][0] == -9999.0
+    assert tables.write_prediction(out, str(tmp_path / "p")) == 4
+    with pytest.raises(ValueError, match="no valid pixel"):
+        tables.write_prediction(out.where("col = 1"), str(tmp_path / "q"))
     full = raster.full_frame(out, raster.raster_catalogue(pix))
     assert full.count() == 14 and full.where("pred = -9999").count() == 10
     two = spark.createDataFrame([(1.0, 1.0, 0.0), (2.0, 3.0, 1.0), (4.0, 7.0, 5.0), (3.0, 1.0, 9.0)],

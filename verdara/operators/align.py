@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from verdara.functions.dates import day_of
 from verdara.functions.points import has_prefix, normal_id
-from verdara.operators.spread import HOT_FLOOR, join_lookup
+from verdara.operators.spread import HOT_FLOOR, hot_keys, salt_lookup, salt_rows
 
 # Names that mark the point and the time column of a sheet.
 POINT_NAMES = ("punto", "point", "punto_muestreo", "id_point")
@@ -60,22 +60,24 @@ def _field_with_day(field: DataFrame, point_col: str, time_col: str) -> DataFram
 
 
 def nearest_dates(radar: DataFrame, point_col: str, variables: Sequence[str],
-                  tolerance_days: int) -> DataFrame:
-    """(point, _day, sar_date, variables): the radar row nearest to each covered day.
+                  tolerance_days: int, hot: DataFrame) -> DataFrame:
+    """(point, _day, _salt, sar_date, variables): the radar row nearest to each covered day.
 
     Every radar row offers itself to the days within the tolerance and one grouped
     ``min_by`` keeps the closest offer, the earlier date on a tie.  A group never
     has more than 2·tolerance+1 offers, so the result is unique by (point, day)
-    before field rows are touched.
+    before field rows are touched.  The salt of hot field keys is part of the group
+    key, so the join that follows finds the offers already partitioned.
     """
     offers = (radar.where(F.col("date").isNotNull())
               .select(point_col, F.struct("date", *variables).alias("_r"),
                       F.explode(F.sequence(F.date_sub("date", tolerance_days),
                                            F.date_add("date", tolerance_days))).alias("_day")))
     gap = F.datediff(F.col("_r.date"), F.col("_day"))
-    return (offers.groupBy(point_col, "_day")
+    key = [point_col, "_day", "_salt"]
+    return (salt_lookup(offers, [point_col, "_day"], hot).groupBy(*key)
             .agg(F.min_by("_r", F.struct(F.abs(gap), gap)).alias("_r"))
-            .select(point_col, "_day", F.col("_r.date").alias("sar_date"),
+            .select(*key, F.col("_r.date").alias("sar_date"),
                     *[F.col("_r")[v].alias(v) for v in variables]))
 
 
@@ -105,15 +107,17 @@ def align(field: DataFrame, radar: DataFrame, point_col: str | None = None,
            .withColumnRenamed(radar_point_col, point_col))
     if prefixes is not None:
         rhs = rhs.where(has_prefix(F.col(point_col), [p.upper() for p in prefixes]))
-    if tolerance_days is None:
-        rhs = rhs.where("date IS NOT NULL").select(
-            point_col, F.col("date").alias("_day"), F.col("date").alias("sar_date"), *variables)
-    else:
-        rhs = nearest_dates(rhs, point_col, variables, tolerance_days)
-
     lhs = _field_with_day(field, point_col, time_col)
     rest = [c for c in field.columns if c not in (point_col, time_col)]
-    joined = join_lookup(lhs, rhs, [point_col, "_day"], floor=hot_floor)
+    key = [point_col, "_day"]
+    hot = hot_keys(lhs.select(*key), key, floor=hot_floor)
+    if tolerance_days is None:
+        rhs = salt_lookup(rhs.where("date IS NOT NULL").select(
+            point_col, F.col("date").alias("_day"), F.col("date").alias("sar_date"),
+            *variables), key, hot)
+    else:
+        rhs = nearest_dates(rhs, point_col, variables, tolerance_days, hot)
+    joined = salt_rows(lhs, key, hot).join(rhs, [*key, "_salt"], "left")
     return joined.select(
         point_col, time_col, *rest, F.col("_day").alias("day"), "sar_date",
         F.datediff("sar_date", "_day").alias("day_diff"), *variables)

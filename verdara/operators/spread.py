@@ -35,9 +35,34 @@ def _with_hot_flag(rows: DataFrame, hot: DataFrame, keys: Sequence[str]) -> Data
     return rows.join(F.broadcast(side), same, "left").drop(*names.values())
 
 
+def salt_rows(rows: DataFrame, keys: Sequence[str], hot: DataFrame,
+              salts: int = SALTS) -> DataFrame:
+    """Add ``_salt``: spread over 0…salts−1 for rows of hot keys, 0 for all others.
+
+    The partition index is stable when a task is retried, and it spreads whole copies
+    of a row, which no hash of the row's own values can.
+    """
+    spread_on = [F.spark_partition_id(), *rows.columns]
+    return (_with_hot_flag(rows, hot, keys)
+            .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_on),
+                                                              F.lit(salts)))
+                        .otherwise(F.lit(0)).cast("int"))
+            .drop("_hot"))
+
+
+def salt_lookup(rows: DataFrame, keys: Sequence[str], hot: DataFrame,
+                salts: int = SALTS) -> DataFrame:
+    """Add ``_salt``: rows of hot keys once per salt, all others once with salt 0."""
+    return (_with_hot_flag(rows, hot, keys)
+            .withColumn("_salt", F.explode(
+                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
+                .otherwise(F.array(F.lit(0)))))
+            .drop("_hot"))
+
+
 def join_lookup(left: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left",
-                share: float = HOT_SHARE, floor: int = HOT_FLOOR, salts: int = SALTS,
-                hot: DataFrame | None = None) -> DataFrame:
+                share: float = HOT_SHARE, floor: int = HOT_FLOOR,
+                salts: int = SALTS) -> DataFrame:
     """Join rows to a table that is unique by ``keys``.
 
     Hot keys are found by a counted pre-aggregation; only their rows are salted,
@@ -47,22 +72,9 @@ def join_lookup(left: DataFrame, lookup: DataFrame, keys: Sequence[str], how: st
     if how not in ("left", "inner"):
         raise ValueError("join_lookup keeps left rows: how must be 'left' or 'inner'")
     keys = list(keys)
-    if hot is None:
-        hot = hot_keys(left.select(*keys), keys, share, floor)
-    # The partition index is stable when a task is retried, and it spreads whole
-    # copies of a row, which no hash of the row's own values can.
-    spread_on = [F.spark_partition_id(), *left.columns]
-    lhs = (_with_hot_flag(left, hot, keys)
-           .withColumn("_salt", F.when(F.col("_hot"),
-                                       F.pmod(F.xxhash64(*spread_on), F.lit(salts)))
-                       .otherwise(F.lit(0)).cast("int"))
-           .drop("_hot"))
-    rhs = (_with_hot_flag(lookup, hot, keys)
-           .withColumn("_salt", F.explode(
-               F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-               .otherwise(F.array(F.lit(0)))))
-           .drop("_hot"))
-    return lhs.join(rhs, keys + ["_salt"], how).drop("_salt")
+    hot = hot_keys(left.select(*keys), keys, share, floor)
+    return (salt_rows(left, keys, hot, salts)
+            .join(salt_lookup(lookup, keys, hot, salts), keys + ["_salt"], how).drop("_salt"))
 
 
 def attach_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str],

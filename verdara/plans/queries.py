@@ -356,10 +356,9 @@ def _map_model(spark, sf_dir):
 
 
 def _map_scores(spark, sf_dir):
-    every = _map_model(spark, sf_dir)
+    every = src.stored(_map_model(spark, sf_dir))
     train = every.where("valid").withColumn(
         "target", F.substring("raster", 2, 9).cast("double"))
-    raster.has_valid_pixel(train)
     model = linear.fit(train, "target", MAP_FEATURES, "ols")
     return raster.prediction_raster(linear.predict(model, every), nodata=src.NODATA)
 
@@ -374,8 +373,8 @@ def predict_raster(spark, sf_dir):
 def predict_raster_sink(spark, sf_dir):
     catalogue = raster.raster_catalogue(src.pixels(spark, sf_dir))
     path = src.scratch_dir(spark) + "/prediction"
-    tables.write_parquet(raster.full_frame(_map_scores(spark, sf_dir), catalogue,
-                                           nodata=src.NODATA), path, ["raster"])
+    tables.write_prediction(raster.full_frame(_map_scores(spark, sf_dir), catalogue,
+                                              nodata=src.NODATA), path, src.NODATA)
     back = spark.read.parquet(path).select("raster", "row", "col", "pred")
     return rounded(back.withColumn("pred", F.col("pred").cast("double")), 3)
 

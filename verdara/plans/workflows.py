@@ -132,11 +132,13 @@ def map_from_features(stacks: Mapping[str, DataFrame | None],
                       bands: Mapping[str, Mapping[int, str]], features: Sequence[str],
                       model: PipelineModel, nodata: Mapping[str, float | None] | None = None,
                       out_nodata: float = -9999.0) -> DataFrame:
-    """(raster, row, col, pred) from temporal-mean features and a fitted pipeline."""
+    """(raster, row, col, pred) from temporal-mean features and a fitted pipeline.
+
+    Lazy; ``write_prediction`` raises if no pixel was valid, without a second pass.
+    """
     pixels = raster.stack_pixels(stacks)
     present = {s: b for s, b in bands.items() if stacks.get(s) is not None}
     every = raster.pixel_features(pixels, present, features, nodata, keep_invalid=True)
-    raster.has_valid_pixel(every.where("valid"))
     return raster.prediction_raster(linear.predict(model, every), nodata=out_nodata)
 
 
@@ -144,7 +146,6 @@ def map_from_ratios(intensity: DataFrame, bands: Mapping[int, str], model: Pipel
                     nodata: float | None = None, out_nodata: float = -9999.0) -> DataFrame:
     """(raster, row, col, pred) from the two ratio-of-means features."""
     every = raster.ratio_of_means(intensity, bands, nodata=nodata, keep_invalid=True)
-    raster.has_valid_pixel(every.where("valid"))
     return raster.prediction_raster(linear.predict(model, every), nodata=out_nodata)
 
 

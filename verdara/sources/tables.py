@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,6 +58,20 @@ def write_best_bandwidth(best: DataFrame, path: str) -> None:
                 "line", path)
 
 
+def write_prediction(pred: DataFrame, path: str, nodata: float = -9999.0) -> int:
+    """Write (raster, row, col, pred) by raster; returns the number of predicted pixels.
+
+    The count is observed while the rows are written.  No predicted pixel at all is
+    an error, as masking then left nothing to predict on.
+    """
+    seen = Observation("prediction")
+    watched = pred.observe(seen, F.count_if(F.col("pred") != F.lit(nodata)).alias("n"))
+    write_parquet(watched, path, ["raster"])
+    if not seen.get["n"]:
+        raise ValueError("no valid pixel after masking")
+    return seen.get["n"]
+
+
 def write_pixels(pixels: DataFrame, path: str) -> None:
     """Pixel table stored by raster, clustered so that a pixel's bands lie together."""
     (pixels.repartition("raster", F.floor(F.col("row") / 256), F.floor(F.col("col") / 256))
