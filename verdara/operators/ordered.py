@@ -1,18 +1,22 @@
 """Exact order statistics without sorting a group in one task.
 
-Rows are first collapsed to (group, value, count).  Values are then cut into
-range buckets of bounded size, so each running count covers one bucket, and the
-bucket totals (one row per bucket) carry the offsets between buckets.
+Values are cut into range buckets of bounded size and equal values are collapsed to
+(value, count), so each running count covers one bucket; the bucket totals (one row
+per bucket) carry the offsets between buckets.  Quantiles look only into the buckets
+that hold a wanted position, so a large table is scanned but never shuffled whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdara.operators.spread import attach_groups
+
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 4096
 
@@ -42,10 +46,19 @@ def bucket_edges(rows: DataFrame, n: int, val: str = "val",
         return []
     ok = rows.where(F.col(val).isNotNull() & ~F.isnan(val))
     at = [i / buckets for i in range(1, buckets)]
-    edges = ok.agg(F.percentile_approx(val, at, 10 * MAX_BUCKETS)).first()[0] or []
+    edges = ok.agg(F.percentile_approx(val, at, max(1000, 8 * buckets))).first()[0] or []
     return sorted({float(e) for e in edges})
 
 
+def _cut(rows: DataFrame, edges: Sequence[float], val: str = "val") -> DataFrame:
+    """Add ``_b``, the number of the range bucket; a fixed function of the value."""
+    if not edges:
+        return rows.withColumn("_b", F.lit(0))
+    cutter = Bucketizer(splits=[float("-inf"), *edges, float("inf")],
+                        inputCol=val, outputCol="_b", handleInvalid="keep")
+    return cutter.transform(rows).withColumn("_b", F.col("_b").cast("int"))
+
+
 def with_running_count(counts: DataFrame, keys: Sequence[str], edges: Sequence[float],
                        val: str = "val") -> DataFrame:
     """Add ``upto`` (rows of the group with value ≤ this one) and ``total``."""
@@ -56,9 +69,7 @@ def with_running_count(counts: DataFrame, keys: Sequence[str], edges: Sequence[f
             "upto": F.sum("n").over(group.orderBy(val)),
             "total": F.sum("n").over(group),
         })
-    cutter = Bucketizer(splits=[float("-inf"), *edges, float("inf")],
-                        inputCol=val, outputCol="_b", handleInvalid="keep")
-    cut = cutter.transform(counts).withColumn("_b", F.col("_b").cast("int"))
+    cut = _cut(counts, edges, val)
     per_bucket = cut.groupBy(*keys, "_b").agg(F.sum("n").alias("_bn"))
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     offsets = per_bucket.select(
@@ -94,22 +105,32 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
     bound = (df.count() if n is None else n) * len(cols)
     if bound <= rows_per_bucket:
         return _small_quantiles(df, keys, cols, probs)
-    rows = melt(df, keys, cols)
     group = [*keys, "var"]
-    running = with_running_count(
-        value_counts(rows, group), group, bucket_edges(rows, bound, "val", rows_per_bucket))
-    picks, out = [], []
+    rows = melt(df, keys, cols).where(F.col("val").isNotNull() & ~F.isnan("val"))
+    # finer buckets than a window needs: most of them are never looked into
+    cut = _cut(rows, bucket_edges(rows, bound, "val", max(1, rows_per_bucket // 8)))
+    size = cut.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_bn"))
+    within = Window.partitionBy(*group)
+    spots = [f(F.lit(float(p)) * (F.col("_total") - 1)) for p in probs for f in (F.floor, F.ceil)]
+    wanted = (size.withColumns({
+        "_before": F.sum("_bn").over(within.orderBy("_b")) - F.col("_bn"),
+        "_total": F.sum("_bn").over(within)})
+        .where(reduce(lambda x, y: x | y, [
+            (F.col("_before") <= r) & (r < F.col("_before") + F.col("_bn")) for r in spots]))
+        .drop("_bn"))
+    # only the buckets that hold a wanted position are counted value by value
+    held = (attach_groups(cut, wanted, [*group, "_b"], how="inner")
+            .groupBy(*group, "_b", "val", "_before", "_total").agg(F.count(F.lit(1)).alias("n")))
+    last = F.col("_before") + F.sum("n").over(Window.partitionBy(*group, "_b").orderBy("val"))
+    picks = [F.max(F.when((F.col("_upto") - F.col("n") <= r) & (r < F.col("_upto")), F.col("val")))
+             .alias(f"_r{i}") for i, r in enumerate(spots)]
+    found = held.withColumn("_upto", last).groupBy(*group, "_total").agg(*picks)
+    out = []
     for i, p in enumerate(probs):
-        spot = F.lit(float(p)) * (F.col("total") - 1)
-        for name, where in ((f"_lo{i}", F.floor(spot)), (f"_hi{i}", F.ceil(spot))):
-            hit = (F.col("upto") - F.col("n") <= where) & (where < F.col("upto"))
-            picks.append(F.max(F.when(hit, F.col("val"))).alias(name))
-        frac = F.lit(float(p)) * (F.col("_total") - 1)
-        frac = frac - F.floor(frac)
-        out.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * frac)
-                   .alias(f"q{i}"))
-    return (running.groupBy(*group).agg(F.first("total").alias("_total"), *picks)
-            .select(*group, *out))
+        at = F.lit(float(p)) * (F.col("_total") - 1)
+        low, high = F.col(f"_r{2 * i}"), F.col(f"_r{2 * i + 1}")
+        out.append((low + (high - low) * (at - F.floor(at))).alias(f"q{i}"))
+    return found.select(*group, *out)
 
 
 def _small_quantiles(df: DataFrame, keys: list[str], cols: Sequence[str],
