@@ -82,7 +82,7 @@ def _block(layout: _Layout, hs: Sequence[float]) -> Column:
 
 
 def _neighbours(layout: _Layout, hs: Sequence[float], block: Column) -> Column:
-    """The blocks whose query rows can be reached from ``block``."""
+    """The blocks within reach of ``block``, itself included."""
     dims = range(len(layout.xs))
     by_pattern: dict[tuple[int, ...], list[int]] = {}
     for k, h in enumerate(hs):
@@ -117,7 +117,7 @@ def _series(layout: _Layout, weight: Column) -> list[Column]:
 
 
 def _elements(train: DataFrame, y: str, hs: Sequence[float], layout: _Layout) -> DataFrame:
-    """(hi, block, chunk, c0…, m0…, t0…): weight and y-sum of a point or moments of a cell."""
+    """(hi, _b, chunk, c0…, m0…, t0…): weight and y-sum of a point or moments of a cell."""
     points = train.groupBy(*layout.xs).agg(
         F.count(F.lit(1)).cast("double").alias("m0"), F.sum(F.col(y).cast("double")).alias("t0"))
     rows = _with_bandwidth(points, hs)
@@ -130,9 +130,8 @@ def _elements(train: DataFrame, y: str, hs: Sequence[float], layout: _Layout) ->
     else:
         rows = rows.withColumn("_b", _block(layout, hs)).withColumns(
             dict(zip(names, _centre(layout))))
-    return (rows.withColumn("chunk", F.pmod(F.xxhash64(*names), F.lit(layout.chunks)).cast("int"))
-            .withColumn("block", F.explode(_neighbours(layout, hs, F.col("_b"))))
-            .drop("_b", "h", *layout.xs))
+    chunk = F.pmod(F.xxhash64(*names), F.lit(layout.chunks)).cast("int")
+    return rows.withColumn("chunk", chunk).drop("h", *layout.xs)
 
 
 def _tiles(queries: DataFrame, train: DataFrame, y: str, hs: Sequence[float], layout: _Layout,
@@ -143,13 +142,17 @@ def _tiles(queries: DataFrame, train: DataFrame, y: str, hs: Sequence[float], la
     salts = max(1, math.ceil(rows.count() / TILE_ROWS))
     key = ["hi", "block", "chunk", "salt"]
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    left = (_with_bandwidth(rows, hs).withColumns({
-        "block": _block(layout, hs),
-        "salt": F.pmod(F.xxhash64(F.spark_partition_id(), *keep), F.lit(salts)).cast("int")})
+    asked = _with_bandwidth(rows, hs).withColumn("block", _block(layout, hs))
+    left = (asked.withColumn("salt", F.pmod(
+        F.xxhash64(F.spark_partition_id(), *keep), F.lit(salts)).cast("int"))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(layout.chunks - 1))))
         .repartition(parts, *key))
-    right = _elements(train, y, hs, layout).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # elements go only to blocks that hold query rows
+    reach = asked.select("hi", "block").distinct().select(
+        F.col("hi").alias("hi"), F.col("block").alias("block"),
+        F.explode(_neighbours(layout, hs, F.col("block"))).alias("_b"))
+    right = (_elements(train, y, hs, layout).join(reach, ["hi", "_b"]).drop("_b")
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
 
     size = _sum_count(len(layout.xs), local)
     names = [f"s{k}" for k in range(size)]
