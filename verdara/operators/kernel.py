@@ -15,15 +15,20 @@ No query × training pair ever becomes a row.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The tile functions travel with the job, so workers need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # exp(-0.5·39²) underflows to 0 in double precision: nothing beyond 39 h counts.
 REACH = 39.0
 CELLS_PER_H = 16
