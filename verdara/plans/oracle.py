@@ -7,7 +7,7 @@ closed-form regressions), so that a shared mistake is unlikely.
 from __future__ import annotations
 
 from verdara.plans.inputs import (
-    DECOMPOSITION_BANDS, INDEX_BANDS, INTENSITY_BANDS, NODATA, STACK_BANDS)
+    DECOMPOSITION_BANDS, INDEX_BANDS, INTENSITY_BANDS, NODATA)
 from verdara.plans.queries import ALPHA_LASSO, ALPHA_RIDGE, H_GRID, H_PREDICT, PARCELS
 
 
