@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdara.sources.scratch import scratch_dir, stored  # noqa: F401
+
 RADAR_VARS = ("click", "error", "signup", "view")
 TAGS = ("19Feb2025", "15Mar2025", "08Apr2025", "26May2025", "19Jun2025")
 INTENSITY_BANDS = {
@@ -29,24 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder that every executor sees: below ``spark.checkpoint.dir`` if set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/verdara-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="verdara-", dir=os.environ.get("TMPDIR"))
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write a derived table once and read it back, for fits that pass over it often.
-
-    The written files cut the lineage and survive a lost executor.
-    """
-    path = scratch_dir(df.sparkSession) + "/table"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def field_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, ts, event_id, value): purchases play the field measurements."""
     return (table(spark, sf_dir, "events").where("event_type = 'purchase'")
