@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from verdara.llm import fertility
+from verdara.llm import byte_bpe, fertility, packing, sharding
 from verdara.llm.common import table
 from verdara.sources.scratch import stored
 
@@ -28,3 +28,19 @@ def op1_fertility_rules(spark, sf_dir):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                          "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token",
                          "byte_share", "entropy")
+
+
+@query
+def op2_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op5_jump_shards(spark, sf_dir):
+    return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
+
+
+@query
+def op6_byte_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.encode_documents(docs).drop("text")
