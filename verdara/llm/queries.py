@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from verdara.llm import byte_bpe, fertility, fingerprint, packing, sharding
+from verdara.llm import byte_bpe, fertility, fingerprint, licenses, packing, sharding
 from verdara.llm.common import table
 from verdara.sources.scratch import stored
 
@@ -49,3 +49,8 @@ def op5_jump_shards(spark, sf_dir):
 def op6_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return byte_bpe.encode_documents(docs).drop("text")
+
+
+@query
+def op9_license_join(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
