@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from verdara.llm import byte_bpe, fertility, fingerprint, licenses, packing, sharding
+from verdara.llm import byte_bpe, fertility, fingerprint, licenses, packing, sharding, simhash
 from verdara.llm.common import table
 from verdara.sources.scratch import stored
 
@@ -54,3 +54,11 @@ def op6_byte_bpe(spark, sf_dir):
 @query
 def op9_license_join(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op8_gray_simhash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select(
+        "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"),
+        F.col("component").alias("component_id"))
