@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from verdara.llm import byte_bpe, fertility, fingerprint, licenses, packing, sharding, simhash
+from verdara.llm import byte_bpe, fertility, fingerprint, licenses, packing, personal, sharding, simhash
 from verdara.llm.common import table
 from verdara.sources.scratch import stored
 
@@ -56,6 +56,12 @@ def op9_license_join(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op7_skip_chain_field(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return personal.find(docs).drop("text")
+
+
 @query
 def op8_gray_simhash(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
