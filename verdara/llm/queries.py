@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from verdara.llm import byte_bpe, fertility, fingerprint, licenses, packing, personal, sharding, simhash
+from verdara.llm import byte_bpe, fertility, fingerprint, html_text, licenses, packing, personal, sharding, simhash
 from verdara.llm.common import table
 from verdara.sources.scratch import stored
 
@@ -35,6 +35,11 @@ def op2_best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op3_dom_tree_model(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages")).drop("html")
+
+
 @query
 def op4_multiset_fingerprint(spark, sf_dir):
     return fingerprint.edited_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
