@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from verdara.llm import byte_bpe, fertility, fingerprint, html_text, licenses, packing, personal, sharding, simhash
+from verdara.llm import byte_bpe, fertility, fingerprint, html_text, licenses, packing, personal, pitman_yor, sharding, simhash
 from verdara.llm.common import table
 from verdara.sources.scratch import stored
 
@@ -73,3 +73,8 @@ def op8_gray_simhash(spark, sf_dir):
     return simhash.near_duplicates(docs).select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"),
         F.col("component").alias("component_id"))
+
+
+@query
+def op10_pitman_yor(spark, sf_dir):
+    return pitman_yor.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
