@@ -126,7 +126,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text",
     texts = stored(docs.select(F.col(f"`{key}`").alias("_key"),
                                token_lengths(docs, text, ranks_path).alias("n_tokens")))
     last = F.ceil(F.col("n_tokens") / most).cast("long") - 1
-    pieces = (texts.select("*", F.xxhash64("_metadata.file_name", "_metadata.row_index").alias("_row"))
+    pieces = (texts.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_row"))
               .select("_key", "n_tokens", "_row", F.explode(F.sequence(F.lit(0).cast("long"), last))
                       .alias("piece"))
               .withColumn("length", F.least(F.lit(most), F.col("n_tokens") - F.col("piece") * most)

@@ -57,7 +57,7 @@ def assign(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "t
         F.crc32(whole.cast("binary")).alias("crc"), place(F.xxhash64(F.col(f"`{key}`"))).alias("at")))
     buckets = spread_parts(spark, rows.count(), ROWS_PER_BUCKET)
     # place in the written file: tells repeated rows apart and is the same in every attempt
-    own = rows.select("*", F.xxhash64("_metadata.file_name", "_metadata.row_index").alias("_row"))
+    own = rows.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_row"))
     own = own.select("*", F.col("at.shard").alias("shard"), F.pmod("_row", F.lit(buckets)).alias("_b"))
     counts = own.groupBy("shard", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
