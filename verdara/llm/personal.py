@@ -200,7 +200,7 @@ class Field:
         total = beliefs()
         node = np.exp(total - _log_sum(total, 1)[:, None])
         joint = (total[a] - back)[:, :, None] + (total[b] - there)[:, None, :] + pair
-        joint = joint.reshape(len(edges), -1)
+        joint = joint.reshape(len(edges), len(LABELS) ** 2)
         joint = np.exp(joint - _log_sum(joint, 1)[:, None])
         return node, joint.reshape(-1, len(LABELS), len(LABELS))
 
