@@ -155,7 +155,7 @@ def test_trees(spark, data, tmp_path):
     assert sum(r["importance"] for r in found) == pytest.approx(1.0)
     assert found[0]["feature"] == "a"
     split = prep.random_split(df, ["id"], 0.3, 1)
-    grid = {"n_estimators": [5], "max_depth": [None, 4], "min_samples_leaf": [1]}
+    grid = {"n_estimators": [5], "max_depth": [3, 4], "min_samples_leaf": [1]}
     scores, importance, _ = workflows.tree_scores(split, "y", ["a", "b"], "id", grid=grid, draws=2)
     r2 = {r["set"]: r["value"] for r in scores.where("metric = 'R2'").collect()}
     assert r2["train"] > 0.8 and r2["val"] > 0.5 and importance.count() == 2
@@ -168,14 +168,15 @@ def test_trees(spark, data, tmp_path):
 
 
 def test_search_parameters():
-    assert trees.spark_value("max_depth", None) == 30 and trees.spark_value("max_depth", 45) == 30
+    for bad in ({"max_depth": None}, {"max_depth": 31}, {"min_samples_split": 4}):
+        with pytest.raises(ValueError):
+            trees.forest("y", **bad)
     assert trees.spark_value("max_features", None) == "all"
     with pytest.raises(ValueError):
         trees.boosted("y", bootstrap=True)
     draws = trees.draw_params(trees.FOREST_GRID, 100, 42)
     assert len({str(d) for d in draws}) == 100 == len(draws)
     assert draws == trees.draw_params(trees.FOREST_GRID, 100, 42)
-    trees.forest("y", min_samples_split=4)
 
 
 def test_regression_metrics_edges(spark):

@@ -99,15 +99,19 @@ def _loglik(x, lam):
 def test_boxcox_is_the_maximum(spark, table):
     df, pdf = table
     lambdas = boxcox.fit_lambdas(df, ["y", "x"])
-    for c, lam in lambdas.items():
+    for c, (lam, shift) in lambdas.items():
         x = pdf[c].to_numpy()
-        x = x if x.min() > 0 else x + abs(x.min()) + 1e-6
+        assert shift == (0 if x.min() > 0 else pytest.approx(abs(x.min()) + 1e-6))
+        x = x + shift
         best = _loglik(x, lam)
         assert best >= max(_loglik(x, v) for v in np.arange(-2, 2.001, 0.005)) - 1e-9
         assert abs(lam * 1e4 - round(lam * 1e4)) < 1e-6
     out = boxcox.transform(df, lambdas).orderBy("id").toPandas()
     y = pdf["y"].to_numpy()
-    assert out["y"].to_numpy() == pytest.approx((y ** lambdas["y"] - 1) / lambdas["y"], rel=1e-9)
+    assert out["y"].to_numpy() == pytest.approx((y ** lambdas["y"].lam - 1) / lambdas["y"].lam, rel=1e-9)
+    # another table is moved by the shift of the fit, not by its own least value
+    part = boxcox.transform(df.where("id < 10"), lambdas).orderBy("id").toPandas()
+    assert part["x"].to_numpy() == pytest.approx(out["x"].to_numpy()[:len(part)])
     few = spark.createDataFrame([(None,), (3.0,), (3.0,)], "c double")
     assert boxcox.fit_lambdas(few, ["c"]) == {"c": None}
 
@@ -116,7 +120,10 @@ def test_boxcox_moves_beyond_the_grid(spark):
     rng = np.random.default_rng(1)
     x = (10 + rng.normal(size=400)) ** 0.25
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
-    assert boxcox.fit_lambdas(df, ["x"])["x"] > 2
+    assert boxcox.fit_lambdas(df, ["x"])["x"].lam > 2
+    rising = df.selectExpr("exp(-exp(-20 * (x - 1.7))) + 1e9 AS x")
+    with pytest.raises(ValueError):
+        boxcox.fit_lambdas(rising, ["x"])
 
 
 def test_pca_matches_svd(table):
@@ -141,7 +148,7 @@ def test_split_is_exact_disjoint_and_stable(spark):
     out = prep.random_split(df, ["id"], 0.3, 42)
     counts = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
     assert counts == {"train": 700, "val": 300}
-    again = prep.random_split(df.repartition(3), ["id"], 0.3, 42, settle_below=1)
+    again = prep.random_split(df.repartition(3), ["id"], 0.3, 42)
     assert out.exceptAll(again).count() == 0
     assert prep.random_split(df.limit(7), ["id"], 0.5, 1).where("split = 'val'").count() == 4
     assert prep.random_split(df, ["id"], 0.0).where("split = 'val'").count() == 0
@@ -157,6 +164,20 @@ def test_contiguous_folds(spark, n, sizes):
     assert folds == sorted(folds) and [folds.count(i) for i in range(5)] == sizes
 
 
+def test_folds_of_text_and_large_ids(spark):
+    text = spark.createDataFrame([(f"G{i}-1",) for i in range(11)] + [(None,)], "k string")
+    got = {r["k"]: r["fold"] for r in prep.contiguous_folds(text, "k", 3).collect()}
+    order = sorted(f"G{i}-1" for i in range(11))
+    assert [got[k] for k in order] == [0] * 4 + [1] * 4 + [2] * 3 and got[None] == 0
+    large = spark.createDataFrame([(2 ** 62 + i,) for i in range(4)], "k bigint")
+    assert [r["fold"] for r in prep.contiguous_folds(large, "k", 2).orderBy("k").collect()] == [0, 0, 1, 1]
+
+
+def test_values_at_ranks_over_many_parts(spark):
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 AS v")
+    assert ordered.values_at_ranks(df, "v", [1, 250, 251, 1000], 90) == [0, 249, 250, 999]
+
+
 def test_scaling(spark):
     df = spark.createDataFrame([(1.0, 5.0), (None, 5.0), (4.0, 5.0), (float("nan"), 5.0), (10.0, 5.0)],
                                "a double, b double")
@@ -176,3 +197,28 @@ def test_quantiles_over_many_buckets(spark):
     row = ordered.group_quantiles(df, [], ["v"], [0.0, 0.1, 0.5, 0.9, 1.0], 50).first()
     assert [row[f"q{i}"] for i in range(5)] == pytest.approx(
         np.quantile(v, [0.0, 0.1, 0.5, 0.9, 1.0]))
+
+
+def test_quantiles_do_not_depend_on_the_buckets(spark):
+    rng = np.random.default_rng(3)
+    v = np.r_[rng.normal(size=900), np.exp(rng.normal(size=300) * 6)]
+    rows = [(float(x), None if i % 3 == 0 else f"g{i % 3}") for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows + [(None, "g1"), (float("nan"), "g1"), (None, "empty")],
+                               "v double, g string")
+    found = [sorted(map(tuple, ordered.group_quantiles(df, ["g"], ["v"], [0.25, 0.5], per).collect()),
+                    key=str) for per in (10 ** 6, 900, 100, 7)]
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0]) == 3
+    by = {r[0]: r[2:] for r in found[0]}
+    for g in (None, "g1", "g2"):
+        own = [x for x, k in rows if k == g]
+        assert by[g] == pytest.approx(np.quantile(own, [0.25, 0.5]))
+
+
+def test_null_groups_and_nan(spark):
+    df = spark.createDataFrame([(None, float("nan")), (None, 3.0), (None, 4.0), ("a", 1.0), ("a", None)],
+                               "g string, v double")
+    stats = {r["g"]: r for r in describe.describe_by(df, ["g"], ["v"]).collect()}
+    assert (stats[None]["count"], stats[None]["mean"], stats[None]["max"]) == (2, 3.5, 4.0)
+    assert (stats[None]["q25"], stats[None]["q50"], stats[None]["q75"]) == (3.25, 3.5, 3.75)
+    box = {r["g"]: r for r in describe.box_stats(df, ["g"], ["v"]).collect()}
+    assert box[None]["n_outliers"] == 0 and box[None]["whisker_high"] == 4.0 and box["a"]["q50"] == 1.0

@@ -5,7 +5,7 @@ import pytest
 
 
 from verdara.operators import align, crosspol, tidy
-from verdara.operators.spread import join_lookup
+from verdara.operators.spread import hot_keys, join_lookup, salt_lookup, salt_rows
 from verdara.plans.workflows import align_wide
 
 D = dt.date
@@ -125,11 +125,39 @@ def test_align_against_brute_force(spark):
         assert got[k] == (near[0][1] if near and near[0][0] <= 2 else None)
 
 
+def test_hot_keys_go_by_rows_not_by_share(spark):
+    rows = spark.range(30_000).selectExpr("CASE WHEN id < 25 THEN -1 ELSE id END AS k")
+    hot = hot_keys(rows, ["k"], floor=10)  # less than 0.1 % of the rows
+    assert [tuple(r) for r in hot.collect()] == [(-1, 3)]
+    salted = salt_rows(rows.repartition(8), ["k"], hot)
+    assert salted.where("k = -1").select("_salt").distinct().count() > 1
+    assert salted.where("k <> -1 AND _salt <> 0").isEmpty()
+    assert salt_lookup(rows.distinct(), ["k"], hot).where("k = -1").count() == 3
+
+
+def test_columns_of_one_date_in_two_notations(spark):
+    wide = spark.createDataFrame([("p", None, 5.0, 1.0), ("q", 2.0, 9.0, None)],
+                                 "id string, VH_19Feb2025 double, VH_20250219 double, VV_19Feb2025 double")
+    for unique in (True, False):
+        got = {r["id"]: (r["VH"], r["VV"]) for r in
+               tidy.tidy_wide(wide, "id", unique_points=unique).collect()}
+        assert got == {"p": (5.0, 1.0), "q": (2.0, None)}
+
+
+def test_ids_are_normalised_before_rows_are_tidied(spark):
+    wide = spark.createDataFrame([("a1", 1.0, None), ("A1 ", None, 2.0)],
+                                 "id string, VH_19Feb2025 double, VV_19Feb2025 double")
+    field = spark.createDataFrame([("A1", "2025-02-19")], "id string, fecha string")
+    for days in (2, None):
+        rows, _ = align_wide(field, wide, "id", "fecha", "id", tolerance_days=days)
+        assert [(r["VH"], r["VV"]) for r in rows.collect()] == [(1.0, 2.0)]
+
+
 def test_join_lookup_spreads_copies_and_keeps_rows(spark):
     left = spark.createDataFrame([("a", 1)] * 50 + [("b", 2), (None, 3)] + [(None, 3)] * 20,
                                  "k string, v int").repartition(4)
     right = spark.createDataFrame([("a", 10), ("b", 20)], "k string, w int")
-    out = join_lookup(left, right, ["k"], floor=10, salts=4)
+    out = join_lookup(left, right, ["k"], floor=10)
     assert out.count() == 72
     assert out.where("w = 10").count() == 50 and out.where("w IS NULL").count() == 21
     assert join_lookup(left, right, ["k"], how="inner", floor=10).count() == 51

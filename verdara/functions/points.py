@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 # Cover class by the first letter of the point id.
 COVER_LABELS = {"G": "Grass", "Y": "Young crop", "O": "Old crop"}
-COVER_LABELS_MATURE = {"G": "Grass", "Y": "Young crop", "O": "Mature crop"}
 COVER_LABELS_TREES = {"Y": "Young crop", "O": "Mature crop"}
 
 

@@ -80,11 +80,6 @@ def parse_decomposition(name: str) -> tuple[str, str] | None:
     return (m.group(1).capitalize(), m.group(2)) if m else None
 
 
-def gaussian_weight(d2: Column, h: Column) -> Column:
-    """exp(−d²/2h²)."""
-    return F.exp(F.lit(-0.5) * d2 / (h * h))
-
-
 def round_even(x: Column, digits: int = 2) -> Column:
     """Round to ``digits`` decimals, halves to even, on the scaled binary value."""
     scale = float(10 ** digits)

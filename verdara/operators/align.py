@@ -10,18 +10,12 @@ from pyspark.sql import types as T
 
 from verdara.functions.dates import day_of
 from verdara.functions.points import has_prefix, normal_id
-from verdara.operators.spread import HOT_FLOOR, hot_keys, salt_lookup, salt_rows
+from verdara.operators.spread import ROWS_PER_TASK, hot_keys, salt_lookup, salt_rows
 
 # Names that mark the point and the time column of a sheet.
 POINT_NAMES = ("punto", "point", "punto_muestreo", "id_point")
 POINT_PARTS = ("punto", "point")
 TIME_PARTS = ("fechahora", "datetime", "date_time", "fecha_hora", "fecha", "date")
-# Radar variables kept by default.
-RADAR_VARIABLES = (
-    "Sigma0_VH", "Sigma0_VV", "Gamma0_VH", "Gamma0_VV",
-    "Sigma0_RATIO_VH_VV", "Gamma0_RATIO_VH_VV", "Sigma0_SUM_VHVV", "Gamma0_SUM_VHVV",
-    "Entropy", "Anisotropy", "Alpha", "dpRVI",
-)
 
 
 def detect_point_col(columns: Sequence[str]) -> str:
@@ -84,7 +78,7 @@ def nearest_dates(radar: DataFrame, point_col: str, variables: Sequence[str],
 def align(field: DataFrame, radar: DataFrame, point_col: str | None = None,
           time_col: str | None = None, radar_point_col: str | None = None,
           keep: Sequence[str] | None = None, prefixes: Sequence[str] | None = None,
-          tolerance_days: int | None = 2, hot_floor: int = HOT_FLOOR) -> DataFrame:
+          tolerance_days: int | None = 2, hot_floor: int = ROWS_PER_TASK) -> DataFrame:
     """Field rows with the tidy radar columns of the same or nearest day.
 
     ``radar`` is tidy: (point, date, variables), unique by (point, date).  All field

@@ -4,16 +4,25 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdara.operators.ordered import melt, value_counts
+from verdara.operators.ordered import melt, number, value_counts
 from verdara.operators.reuse import held
 
+LIMIT = 50.0
 GRID = tuple(round(-2.0 + 0.1 * i, 1) for i in range(41))
 
 
+class Fitted(NamedTuple):
+    """Exponent and the amount added to the values before; both from the fitted rows."""
+
+    lam: float
+    shift: float
+
+
 def boxcox(x: Column, lam: float) -> Column:
     """ln x for λ = 0, else (x^λ − 1)/λ."""
     if abs(lam) < 1e-12:
@@ -21,25 +30,16 @@ def boxcox(x: Column, lam: float) -> Column:
     return (F.pow(x, F.lit(float(lam))) - 1.0) / F.lit(float(lam))
 
 
-def shifts(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
-    """Amount added to each column so that it is positive: 0 or |min| + 1e-6."""
-    lows = df.agg(*[F.min(_number(c)).alias(c) for c in cols]).first().asDict()
-    return {c: _shift(low) for c, low in lows.items()}
-
-
 def _shift(low: float | None) -> float:
     return 0.0 if low is None or low > 0 else abs(low) + 1e-6
 
 
-def _number(col: str) -> Column:
-    return F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
-
-
 def fit_lambdas(df: DataFrame, cols: Sequence[str], grid: Sequence[float] = GRID,
-                refine: int = 3) -> dict[str, float | None]:
-    """λ per column: best grid value, then ``refine`` passes around the maximum.
+                refine: int = 3) -> dict[str, Fitted | None]:
+    """λ and shift per column: best grid value, then ``refine`` passes around the maximum.
 
-    A maximum on the edge of the grid moves the grid outwards first.  The table is
+    A maximum on the edge of the grid moves the grid outwards first; beyond ±LIMIT there is no
+    maximum and an error is raised.  A column without values or with one value has no fit.  The table is
     read once: equal values are folded to (value, count), and every pass works on
     those for all columns at once.  One number per column and grid value returns.
     """
@@ -55,7 +55,7 @@ def fit_lambdas(df: DataFrame, cols: Sequence[str], grid: Sequence[float] = GRID
             (F.sum(F.col("n") * F.col("lx")) / F.sum("n")).alias("m")).collect()}
         centred = logs.select("var", "n", (F.col("lx") - _by_var(mean)).alias("z"))
         best = _climb(centred, live, list(grid), refine)
-    return {c: best.get(c) for c in cols}
+    return {c: Fitted(best[c], _shift(low[c])) if best.get(c) is not None else None for c in cols}
 
 
 def _by_var(values: Mapping[str, object]) -> Column:
@@ -101,9 +101,11 @@ def _climb(centred: DataFrame, cols: Sequence[str], grid: list[float],
             if at is None or not refine:
                 continue
             low, high = todo[c][0], todo[c][-1]
-            if at == len(values) - 1 and high < 50:
+            if at in (0, len(values) - 1) and max(high, -low) >= LIMIT:
+                raise ValueError(f"the likelihood of {c} has no maximum within ±{LIMIT:g}")
+            if at == len(values) - 1:
                 again[c] = [high + step * i for i in range(len(grid))]
-            elif at == 0 and low > -50:
+            elif at == 0:
                 again[c] = [low - step * i for i in reversed(range(len(grid)))]
         todo = again
     for _ in range(refine):
@@ -124,8 +126,14 @@ def _top(values: Sequence[float | None]) -> int | None:
     return max(known, key=lambda i: (values[i], -i)) if known else None
 
 
-def transform(df: DataFrame, lambdas: Mapping[str, float | None]) -> DataFrame:
-    """Replace each column by its transform; NULL stays NULL, unfitted columns stay."""
-    cols = [c for c, lam in lambdas.items() if lam is not None]
-    moved = shifts(df, cols) if cols else {}
-    return df.withColumns({c: boxcox(_number(c) + F.lit(moved[c]), lambdas[c]) for c in cols})
+def transform(df: DataFrame, fitted: Mapping[str, Fitted | None]) -> DataFrame:
+    """Replace each column by its transform; NULL stays NULL, unfitted columns stay.
+
+    Values that the shift of the fit leaves at or below zero have no transform and become NULL.
+    """
+    made = {}
+    for c, f in fitted.items():
+        if f is not None:
+            x = number(c) + F.lit(f.shift)
+            made[c] = F.when(x > 0, boxcox(x, f.lam))
+    return df.withColumns(made)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from verdara.functions.dates import month_start
 from verdara.operators.ordered import ROWS_PER_BUCKET, group_quantiles, melt
-from verdara.operators.spread import attach_groups
+from verdara.operators.spread import attach_groups, null_safe
 
 
 def describe_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
@@ -17,7 +17,7 @@ def describe_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
     """(keys, var, count, mean, std, min, q25, q50, q75, max); std with n−1.
 
     The moments come from one map-side combined aggregation; the quartiles are
-    exact and come from bucketed value counts.
+    exact and come from bucketed value counts.  NULL is a group like any other, NaN is missing.
     """
     group = [*keys, "var"]
     rows = melt(df, keys, cols)
@@ -27,7 +27,8 @@ def describe_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
         F.min("val").alias("min"), F.max("val").alias("max")))
     quarts = (group_quantiles(df, keys, cols, (0.25, 0.5, 0.75), rows_per_bucket)
               .withColumnsRenamed({"q0": "q25", "q1": "q50", "q2": "q75"}))
-    return (moments.join(quarts, group, "left")
+    side, same = null_safe(moments, quarts, group)
+    return (moments.join(side, same, "left")
             .select(*group, "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
 
 

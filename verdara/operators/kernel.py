@@ -26,6 +26,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdara.sources.scratch import stored
+
 # The tile functions travel with the job, so workers need no installed package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -37,7 +39,6 @@ SERIES = 18
 CHUNK_SIZE = 4096
 TILE_ROWS = 50_000
 STEP = 512
-CELL_MODE_FROM = 20_000
 LOO_EPSILON = 1e-12
 
 
@@ -45,7 +46,6 @@ LOO_EPSILON = 1e-12
 class _Layout:
     xs: tuple[str, ...]
     blocked: dict[float, list[int]]
-    chunks: int
     cells: bool
 
 
@@ -57,13 +57,12 @@ def _layout(train: DataFrame, xs: Sequence[str], hs: Sequence[float],
     if not row["n"]:
         raise ValueError("the kernel needs at least one training row")
     if cells is None:
-        cells = len(xs) == 1 and row["n"] > CELL_MODE_FROM
+        cells = len(xs) == 1
     if cells and len(xs) != 1:
         raise ValueError("cell moments are built for one feature")
     widths = [row[f"hi{i}"] - row[f"lo{i}"] for i in range(len(xs))]
     blocked = {h: [i for i, w in enumerate(widths) if w > REACH * h] for h in hs}
-    chunks = max(1, math.ceil(row["n"] / CHUNK_SIZE)) if not cells else 1
-    return _Layout(tuple(xs), blocked, chunks, cells)
+    return _Layout(tuple(xs), blocked, cells)
 
 
 def _with_bandwidth(df: DataFrame, hs: Sequence[float]) -> DataFrame:
@@ -122,7 +121,7 @@ def _series(layout: _Layout, weight: Column) -> list[Column]:
 
 
 def _elements(train: DataFrame, y: str, hs: Sequence[float], layout: _Layout) -> DataFrame:
-    """(hi, _b, chunk, c0…, m0…, t0…): weight and y-sum of a point or moments of a cell."""
+    """(hi, _b, c0…, m0…, t0…): weight and y-sum of a point or moments of a cell."""
     points = train.groupBy(*layout.xs).agg(
         F.count(F.lit(1)).cast("double").alias("m0"), F.sum(F.col(y).cast("double")).alias("t0"))
     rows = _with_bandwidth(points, hs)
@@ -135,29 +134,39 @@ def _elements(train: DataFrame, y: str, hs: Sequence[float], layout: _Layout) ->
     else:
         rows = rows.withColumn("_b", _block(layout, hs)).withColumns(
             dict(zip(names, _centre(layout))))
-    chunk = F.pmod(F.xxhash64(*names), F.lit(layout.chunks)).cast("int")
-    return rows.withColumn("chunk", chunk).drop("h", *layout.xs)
+    return rows.drop("h", *layout.xs)
 
 
 def _tiles(queries: DataFrame, train: DataFrame, y: str, hs: Sequence[float], layout: _Layout,
            id_cols: Sequence[str], own_y: str | None, local: bool) -> DataFrame:
-    """(ids, h, [y,] s0…): sums per query row over all elements it reaches."""
+    """(ids, h, [y,] s0…): sums per query row over all elements it reaches.
+
+    Chunks of elements and salts of query rows follow from the sizes of each block, so a query
+    row meets as many tiles as its own surroundings need, however large the table is.
+    """
     keep = list(dict.fromkeys([*id_cols, *layout.xs, *([own_y] if own_y else [])]))
-    rows = queries.select(*keep)
-    salts = max(1, math.ceil(rows.count() / TILE_ROWS))
     key = ["hi", "block", "chunk", "salt"]
-    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = _with_bandwidth(rows, hs).withColumn("block", _block(layout, hs))
-    left = (asked.withColumn("salt", F.pmod(
-        F.xxhash64(F.spark_partition_id(), *keep), F.lit(salts)).cast("int"))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(layout.chunks - 1))))
-        .repartition(parts, *key))
+    asked = _with_bandwidth(queries.select(*keep), hs).withColumn("block", _block(layout, hs))
+    rows = asked.groupBy("hi", "block").agg(F.count(F.lit(1)).alias("_rows"))
     # elements go only to blocks that hold query rows
-    reach = asked.select("hi", "block").distinct().select(
-        F.col("hi").alias("hi"), F.col("block").alias("block"),
-        F.explode(_neighbours(layout, hs, F.col("block"))).alias("_b"))
-    right = (_elements(train, y, hs, layout).join(reach, ["hi", "_b"]).drop("_b")
-             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    reach = rows.select(F.col("hi").alias("hi"), F.col("block").alias("block"), F.explode(_neighbours(layout, hs, F.col("block"))).alias("_b"))
+    near = _elements(train, y, hs, layout).join(reach, ["hi", "_b"]).drop("_b")
+    size = near.groupBy("hi", "block").agg(F.count(F.lit(1)).alias("_n"))
+    tiles = stored(rows.join(size, ["hi", "block"], "left").select(
+        "hi", "block", F.ceil(F.col("_rows") / TILE_ROWS).cast("int").alias("_salts"),
+        F.greatest(F.lit(1), F.ceil(F.coalesce("_n", F.lit(0)) / CHUNK_SIZE)).cast("int")
+        .alias("_chunks")))
+    split = not tiles.where("_chunks > 1").isEmpty()
+    left = (asked.join(tiles, ["hi", "block"])
+            .withColumn("salt", F.pmod(F.xxhash64(F.spark_partition_id(), *keep),
+                                       F.col("_salts")).cast("int"))
+            .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+            .drop("_salts", "_chunks"))
+    at = F.xxhash64(*[f"c{i}" for i in range(len(layout.xs))])
+    right = (near.join(tiles, ["hi", "block"])
+             .withColumn("chunk", F.pmod(at, F.col("_chunks")).cast("int"))
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+             .drop("_salts", "_chunks"))
 
     size = _sum_count(len(layout.xs), local)
     names = [f"s{k}" for k in range(size)]
@@ -178,7 +187,7 @@ def _tiles(queries: DataFrame, train: DataFrame, y: str, hs: Sequence[float], la
         return out
 
     sums = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(reduce_tile, schema)
-    if layout.chunks > 1:
+    if split:
         sums = sums.groupBy(*ids, "h").agg(*[F.sum(n).alias(n) for n in names])
     return sums
 
@@ -248,6 +257,11 @@ def _without_self(x, own, h, c, m, t, weight, total, count):
     return weight, total
 
 
+def _known(rows: DataFrame, y: str) -> DataFrame:
+    """Rows with a target; a missing one takes no part."""
+    return rows.where(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double")))
+
+
 def kernel_sums(queries: DataFrame, train: DataFrame, xs: Sequence[str], y: str,
                 hs: Sequence[float], id_cols: Sequence[str], leave_one_out: bool = False,
                 cells: bool | None = None) -> DataFrame:
@@ -256,6 +270,8 @@ def kernel_sums(queries: DataFrame, train: DataFrame, xs: Sequence[str], y: str,
     ``leave_one_out`` takes each query row's own part out of its sums; the query
     rows then are the training rows and carry ``y``.  ``id_cols`` identify a row.
     """
+    train = _known(train, y)
+    queries = _known(queries, y) if leave_one_out else queries
     layout = _layout(train, xs, hs, cells)
     return _tiles(queries, train, y, hs, layout, id_cols, y if leave_one_out else None, False)
 
@@ -302,6 +318,7 @@ def best_bandwidth(risk: DataFrame) -> DataFrame:
 def validation_risk(val: DataFrame, train: DataFrame, xs: Sequence[str], y: str,
                     hs: Sequence[float], id_cols: Sequence[str]) -> DataFrame:
     """(h, rmse_val) of the kernel fitted on ``train``."""
+    val = _known(val, y)
     yhat = predict(val, train, xs, y, hs, id_cols)
     return _risk(yhat.join(val.select(*id_cols, y), list(id_cols)), y, "rmse_val")
 
@@ -313,7 +330,7 @@ def predict_local_linear(queries: DataFrame, train: DataFrame, xs: Sequence[str]
     The tiles reduce to (d+1)-sized moment sums; one feature is solved in closed
     form, more features by a vectorised solve per Arrow batch.
     """
-    d = len(xs)
+    d, train = len(xs), _known(train, y)
     sums = _tiles(queries, train, y, [h], _layout(train, xs, [h], False), id_cols, None, True)
     pairs = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
     s = [F.col(f"s{k}") for k in range(_sum_count(d, True))]

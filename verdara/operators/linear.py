@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -21,6 +22,9 @@ def scaling_stage(scaling: Scaling, standardise: bool = True) -> SQLTransformer:
 
     Prepared values get their own ``_z_`` columns; the input columns stay as they are.
     """
+    empty = [c for c, m in scaling.median.items() if m is None or not math.isfinite(m)]
+    if empty:
+        raise ValueError(f"leave out features without a finite median: {empty}")
     cells = []
     for c, mid in scaling.median.items():
         x = f"coalesce(nanvl(cast(`{c}` as double), cast(null as double)), {mid!r}D)"
@@ -81,10 +85,3 @@ def coefficients(model: PipelineModel, features: Sequence[str], spark) -> DataFr
     pairs = [(f, float(c)) for f, c in zip(features, model.stages[-1].coefficients)]
     return (spark.createDataFrame(pairs, "feature string, coef double")
             .orderBy(F.abs("coef").desc(), "feature"))
-
-
-def raw_coefficients(model: PipelineModel, scaling: Scaling,
-                     features: Sequence[str]) -> Mapping[str, float]:
-    """Coefficients per unit of the unscaled features."""
-    return {f: float(c) / scaling.std[f]
-            for f, c in zip(features, model.stages[-1].coefficients)}

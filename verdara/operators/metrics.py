@@ -92,6 +92,15 @@ def table_header(columns: Sequence[str]) -> str:
     return " & ".join(columns) + " \\\\"
 
 
+def table_lines(table: DataFrame) -> DataFrame:
+    """(line) of the whole text table: the header, then the rows by model and target."""
+    head = table.sparkSession.createDataFrame(
+        [(0, None, None, table_header(table.columns))],
+        "_i int, Model string, Target string, line string")
+    rows = table_rows(table).select(F.lit(1).alias("_i"), "Model", "Target", "line")
+    return head.unionByName(rows).orderBy("_i", "Model", "Target").select("line")
+
+
 def metric_by_model(long: DataFrame, metric: str) -> DataFrame:
     return long.where(F.col("metric") == metric).select("model", "target", "set", "value")
 

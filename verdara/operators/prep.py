@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdara.operators.ordered import medians, smallest_rank_value
+from verdara.operators.ordered import medians, values_at_ranks
 
 
 def select_xy(df: DataFrame, targets: str | Sequence[str],
@@ -74,51 +74,47 @@ def _order_key(id_cols: Sequence[str], seed: int):
 
 
 def random_split(df: DataFrame, id_cols: Sequence[str], val_size: float = 0.3,
-                 seed: int = 42, settle_below: int = 100_000) -> DataFrame:
+                 seed: int = 42) -> DataFrame:
     """Add ``split``: exactly ceil(n·val_size) rows are 'val', the rest 'train'.
 
     Rows are ordered by md5(seed, ids); ``id_cols`` must identify a row.  The key of
-    the last validation row is found by counting hash prefixes (at most 4096 counts
+    the last validation row is found by counting hash prefixes (at most 65,536 counts
     per round come back), so nothing is sorted and the split itself is a filter.
     """
     key = _order_key(id_cols, seed)
     keys = df.select(key.alias("_k"))
-    first = keys.groupBy(F.substring("_k", 1, 3).alias("p")).agg(
-        F.count(F.lit(1)).alias("n")).collect()
-    total = sum(r["n"] for r in first)
-    need = math.ceil(total * val_size)
-    if need <= 0 or need >= total:
-        return df.withColumn("split", F.lit("train" if need <= 0 else "val"))
-    prefix, width, counts = "", 3, first
-    while True:
-        inside = 0
+    need, prefix = None, ""
+    for width in range(4, 33, 4):
+        counts = (keys.where(F.col("_k").startswith(prefix))
+                  .groupBy(F.substring("_k", 1, width).alias("p"))
+                  .agg(F.count(F.lit(1)).alias("n")).collect())
+        if need is None:
+            total = sum(r["n"] for r in counts)
+            need = math.ceil(total * val_size)
+            if need <= 0 or need >= total:
+                return df.withColumn("split", F.lit("train" if need <= 0 else "val"))
         for r in sorted(counts, key=lambda r: r["p"]):
             if need <= r["n"]:
-                prefix, inside = r["p"], r["n"]
+                prefix = r["p"]
                 break
             need -= r["n"]
-        if inside <= settle_below or width >= 32:
-            break
-        width += 3
-        counts = (keys.where(F.col("_k").startswith(prefix))
-                  .groupBy(F.substring("_k", 1, width).alias("p"))
-                  .agg(F.count(F.lit(1)).alias("n")).collect())
-    last = (keys.where(F.col("_k").startswith(prefix)).orderBy("_k").limit(need)
-            .agg(F.max("_k")).first()[0])
-    return df.withColumn("split", F.when(key <= F.lit(last), "val").otherwise("train"))
+        if need == r["n"]:
+            break  # the whole prefix is in
+    # "g" is above every hexadecimal digit
+    return df.withColumn("split", F.when(key <= F.lit(prefix + "g"), "val").otherwise("train"))
 
 
 def contiguous_folds(df: DataFrame, order_col: str, folds: int = 5,
                      name: str = "fold") -> DataFrame:
     """Add an INT fold 0…k−1: equal runs of rows in ``order_col`` order.
 
-    The first n mod k folds hold one row more; ``order_col`` must be unique.
+    The first n mod k folds hold one row more; ``order_col`` must be unique and may be of any
+    orderable type.  Rows without it come first.
     """
-    n = df.count()
+    n = df.where(F.col(order_col).isNotNull()).count()
     sizes = [n // folds + (1 if i < n % folds else 0) for i in range(folds)]
     ends = [sum(sizes[:i + 1]) for i in range(folds - 1)]
-    cuts = smallest_rank_value(df, order_col, [e for e in ends if e > 0], n)
     fold = F.lit(0)
-    for cut in cuts:
-        fold = fold + (F.col(order_col).cast("double") > F.lit(cut)).cast("int")
+    for cut in values_at_ranks(df, order_col, [e for e in ends if e > 0]):
+        fold = fold + F.coalesce((F.col(order_col) > F.lit(cut)).cast("int"), F.lit(0))
     return df.withColumn(name, fold.cast("int"))

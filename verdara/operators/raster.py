@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from verdara.functions.radar import (
     finite_or_null, intensity_parts, is_finite, parse_decomposition, parse_intensity)
 from verdara.operators.spread import join_lookup
+from verdara.sources.scratch import stored
 
 PIXEL = ("raster", "row", "col")
 # Feature tokens that a map can be built from.
@@ -245,15 +246,16 @@ def sample_points(points: DataFrame, pixels: DataFrame, meta: DataFrame,
                   y_col: str = "lat") -> DataFrame:
     """(ids, one column per band name): value of the pixel under each point.
 
-    Pixels are first brought to one row per pixel, so the join meets a unique side
-    and a pixel with very many points is split by Spark or broadcast at run time.
-    A point outside its raster keeps its row with NULL values.
+    Only the pixels under some point are read further: their list is written once, so Spark
+    broadcasts it to the scan if it is small.  They are brought to one row per pixel, so the
+    join meets a unique side and a pixel with very many points is split.  A point outside its raster keeps its row with NULL values.
     """
     cells = [F.max(F.when(F.col("band") == b, F.col("value"))).alias(n)
              for b, n in sorted(bands.items())]
     spots = locate_points(points, meta, raster_col, x_col, y_col)
-    wide = (scan_bands(pixels, list(bands)).groupBy(*PIXEL).agg(*cells)
-            .withColumnRenamed("raster", raster_col))
+    wanted = stored(spots.select(F.col(raster_col).alias("raster"), "row", "col").distinct())
+    wide = (scan_bands(pixels, list(bands)).join(wanted, list(PIXEL), "left_semi")
+            .groupBy(*PIXEL).agg(*cells).withColumnRenamed("raster", raster_col))
     return (join_lookup(spots, wide, [raster_col, "row", "col"])
             .select(*id_cols, *[F.col(f"`{n}`") for _, n in sorted(bands.items())]))
 

@@ -37,14 +37,15 @@ def tidy_long(wide: DataFrame, point_col: str, flexible: bool = True,
 
 
 def pivot_tidy(rows: DataFrame, point_col: str, variables: Sequence[str]) -> DataFrame:
-    """(point, date, one column per variable) from long rows: first non-null value.
+    """(point, date, one column per variable) from long rows.
 
-    The value list is explicit, so no extra pass looks for the distinct variables.
+    Several values of one cell give the least, whatever the order of the rows.  The value list
+    is explicit, so no extra pass looks for the distinct variables.
     """
     return (rows.where(F.col("val").isNotNull() & F.col("var_base").isin(list(variables)))
             .groupBy(point_col, "date")
             .pivot("var_base", list(variables))
-            .agg(F.first("val", ignorenulls=True)))
+            .agg(F.min("val")))
 
 
 def tidy_wide(wide: DataFrame, point_col: str, flexible: bool = True,
@@ -53,17 +54,20 @@ def tidy_wide(wide: DataFrame, point_col: str, flexible: bool = True,
 
     Columns of one date are turned into one row at once, so the unpivot makes one
     row per date instead of one per cell.  ``unique_points=True`` states that a
-    point has one input row; then nothing has to be grouped or shuffled.
+    point has one input row; then nothing has to be grouped or shuffled.  Several columns of
+    one variable and date (tags in two notations) give the first that is not NULL; several
+    rows of a point give the least value.
     """
-    by_date: dict[dt.date, dict[str, str]] = defaultdict(dict)
+    by_date: dict[dt.date, dict[str, list[str]]] = defaultdict(lambda: defaultdict(list))
     for col, base, day in dated_columns(wide.columns, point_col, flexible):
-        by_date[day].setdefault(base, col)
+        by_date[day][base].append(col)
     variables = sorted({v for cols in by_date.values() for v in cols})
     if not variables:
         raise ValueError("no value column carries a readable date tag")
 
-    def cell(cols: dict[str, str], var: str) -> Column:
-        return F.col(f"`{cols[var]}`").cast("double") if var in cols else F.lit(None).cast("double")
+    def cell(cols: dict[str, list[str]], var: str) -> Column:
+        return F.coalesce(*[F.col(f"`{c}`").cast("double") for c in cols.get(var, [])],
+                          F.lit(None).cast("double"))
 
     flat = [x for day, cols in sorted(by_date.items())
             for x in (F.lit(day), *[cell(cols, v) for v in variables])]
@@ -71,13 +75,21 @@ def tidy_wide(wide: DataFrame, point_col: str, flexible: bool = True,
         point_col, F.stack(F.lit(len(by_date)), *flat).alias("date", *variables))
     if not unique_points:
         rows = rows.groupBy(point_col, "date").agg(
-            *[F.first(v, ignorenulls=True).alias(v) for v in variables])
+            *[F.min(v).alias(v) for v in variables])
     return rows.dropna(how="all", subset=variables)
 
 
 def widen(tidy: DataFrame, point_col: str, variables: Sequence[str],
           days: Sequence[dt.date], tag_format: str = "%d%b%Y") -> DataFrame:
-    """Back to one row per point with ``<variable>_<dateTag>`` columns."""
-    cells = [F.first(F.when(F.col("date") == F.lit(day), F.col(v)), ignorenulls=True)
-             .alias(f"{v}_{day.strftime(tag_format)}") for v in variables for day in days]
-    return tidy.groupBy(point_col).agg(*cells)
+    """Back to one row per point with ``<variable>_<dateTag>`` columns.
+
+    A point's values are gathered in one map by variable and date, and the columns are read from
+    it; the aggregation stays one expression however long the calendar is.
+    """
+    cells = F.array(*[F.struct(F.concat(F.lit(f"{v} "), F.col("date").cast("string")).alias("k"),
+                               F.col(v).cast("double").alias("v")) for v in variables])
+    held = (tidy.where(F.col("date").isNotNull())
+            .groupBy(point_col).agg(F.map_from_entries(F.flatten(F.collect_list(cells))).alias("_m")))
+    return held.select(point_col, *[
+        F.try_element_at("_m", F.lit(f"{v} {day}")).alias(f"{v}_{day.strftime(tag_format)}")
+        for v in variables for day in days])

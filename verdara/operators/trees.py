@@ -24,14 +24,14 @@ from verdara.operators.reuse import held
 # Search grids and the Spark parameter each name maps to.
 FOREST_GRID = {
     "n_estimators": list(range(100, 1500, 100)),
-    "max_depth": [None, *range(10, 50, 5)],
+    "max_depth": list(range(10, 31, 5)),
     "min_samples_leaf": list(range(1, 21, 2)),
     "max_features": ["sqrt", "log2", None],
     "bootstrap": [True, False],
 }
 BOOST_GRID = {
     "n_estimators": list(range(100, 1500, 100)),
-    "max_depth": [None, 10, 20, 30, 40, 50],
+    "max_depth": [10, 20, 30],
     "learning_rate": [0.01, 0.05, 0.1, 0.2],
     "subsample": [0.7, 0.8, 0.9, 1.0],
     "colsample_bytree": [0.6, 0.8, 1.0],
@@ -47,14 +47,14 @@ BOOST_PARAMS = {
     "min_child_samples": "minInstancesPerNode",
 }
 MAX_DEPTH = 30  # the deepest tree Spark grows
-# Names accepted for compatibility that have no Spark counterpart.
-IGNORED = {"min_samples_split"}
 
 
 def spark_value(name: str, value):
     """Spark's value for one search parameter."""
     if name == "max_depth":
-        return MAX_DEPTH if value is None else min(int(value), MAX_DEPTH)
+        if value is None or int(value) > MAX_DEPTH:
+            raise ValueError(f"Spark grows trees up to depth {MAX_DEPTH}, not {value}")
+        return int(value)
     if name == "max_features":
         return {None: "all", "sqrt": "sqrt", "log2": "log2", "auto": "all"}.get(value, str(value))
     if name == "colsample_bytree":
@@ -67,10 +67,10 @@ def spark_value(name: str, value):
 
 
 def _checked(params: Mapping, known: Mapping[str, str]) -> dict:
-    unknown = set(params) - set(known) - IGNORED
+    unknown = set(params) - set(known)
     if unknown:
         raise ValueError(f"unknown search parameters: {sorted(unknown)}")
-    return {known[k]: spark_value(k, v) for k, v in params.items() if k in known}
+    return {known[k]: spark_value(k, v) for k, v in params.items()}
 
 
 def _prepare(train: DataFrame, target: str, features: Sequence[str], keep=()):

@@ -234,12 +234,26 @@ BOXCOX_COLS = ("l_extendedprice", "l_quantity", "l_discount")
 BOXCOX = "shifted AS (SELECT " + ", ".join(
     f"{c} + CASE WHEN min({c}) OVER () <= 0 THEN abs(min({c}) OVER ()) + 1e-6 ELSE 0 END AS {c}"
     for c in BOXCOX_COLS) + """, l_orderkey, l_linenumber FROM lineitem),
-grid AS (SELECT CAST(round(-2.0 + 0.1 * i, 1) AS DOUBLE) AS lam FROM range(0, 41) t(i)),
-ll AS (""" + " UNION ALL ".join(
-    f"""SELECT '{c}' AS col, lam, count({c}) AS n,
-    (lam - 1) * sum(ln({c})) - count({c}) / 2.0 * ln(var_pop({_boxcox(c, 'lam')})) AS v
-    FROM shifted, grid GROUP BY lam""" for c in BOXCOX_COLS) + """),
-best AS (SELECT col, arg_max(lam, v) AS lam, any_value(n) AS n FROM ll GROUP BY col)"""
+shift AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS col, CASE WHEN min({c}) <= 0 THEN abs(min({c})) + 1e-6 ELSE 0 END AS shift "
+    f"FROM lineitem" for c in BOXCOX_COLS) + """),
+"""
+
+
+def _climb(step: int) -> str:
+    """Best exponent on the coarse grid (step 0), then on finer ones around the last best."""
+    name, last = f"b{step}", f"b{step - 1}"
+    return f"g{step} AS (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS col, lam, count({c}) AS n, (lam - 1) * sum(ln({c})) - count({c}) / 2.0 "
+        f"* ln(var_pop({_boxcox(c, 'lam')})) AS v FROM shifted, "
+        + (f"(SELECT lam + {0.1 ** (step + 1)!r} * i AS lam FROM {last}, range(-10, 11) t(i) "
+           f"WHERE col = '{c}')" if step else
+           "(SELECT CAST(round(-2.0 + 0.1 * i, 1) AS DOUBLE) AS lam FROM range(0, 41) t(i))")
+        + " GROUP BY lam" for c in BOXCOX_COLS) + f"""),
+{name} AS (SELECT col, arg_max(lam, v) AS lam, any_value(n) AS n FROM g{step} GROUP BY col)"""
+
+
+BOXCOX += ",\n".join(_climb(i) for i in range(4)) + ", best AS (SELECT * FROM b3)"
 
 
 def _box(col: str) -> str:
@@ -288,7 +302,7 @@ NW_SPLIT = f"""sp AS (
 sc AS (SELECT avg(s_acctbal) AS m, stddev_pop(s_acctbal) AS s FROM sp WHERE split = 'train'),
 z AS (SELECT s_suppkey, split, y, (s_acctbal - m) / s AS x FROM sp, sc),
 tr AS (SELECT * FROM z WHERE split = 'train'),
-{_grid([h for h in H_GRID if h > 0.1])},
+{_grid(H_GRID)},
 loo AS (
   SELECT h, q.s_suppkey, any_value(q.y) AS y,
     sum(CASE WHEN q.s_suppkey <> t.s_suppkey THEN {_weight()} * t.y ELSE 0 END)
@@ -452,7 +466,7 @@ spot AS (
     CAST(floor((x - 500) / 10) AS INT) AS col FROM pts LEFT JOIN meta USING (raster))
 SELECT c_custkey, """ + ", ".join(
         f'{_r(f"max(value) FILTER (band = {b})")} AS "{n}"'
-        for b, n in INTENSITY_BANDS.items() if n.startswith("Sigma0_VH"))
+        for b, n in INTENSITY_BANDS.items())
     + """ FROM spot LEFT JOIN pix USING (raster, row, col) GROUP BY c_custkey""",
     "predict_raster": f"""WITH {MAP_FEATURES}, {_two_feature_fit('feat', 'a', 'b', 'y')}
 SELECT raster, row, col, {_r('CAST(my + wa * (a - ma) / sa + wb * (b - mb) / sb AS FLOAT)', 3)}
@@ -494,7 +508,8 @@ SELECT 'sum_price' AS target, {_r('corr(sum_price, n_lines)')} AS n_lines,
   {_r('corr(sum_price, sum_qty)')} AS sum_qty, CAST(NULL AS DOUBLE) AS avg_discount FROM o
 UNION ALL SELECT 'sum_charge', NULL, {_r('corr(sum_charge, sum_qty)')},
   {_r('corr(sum_charge, avg_discount)')} FROM o""",
-    "boxcox_lambda": f"""WITH {BOXCOX} SELECT col AS "column", {_r('lam', 1)} AS lambda, n FROM best""",
+    "boxcox_lambda": f"""WITH {BOXCOX} SELECT col AS "column", {_r('lam', 4)} AS lambda,
+  {_r('shift')} AS shift, n FROM best JOIN shift USING (col)""",
     "boxcox_transform": f"WITH {BOXCOX}, l AS (SELECT " + ", ".join(
         f"max(lam) FILTER (col = '{c}') AS lam_{c}" for c in BOXCOX_COLS)
     + " FROM best) SELECT l_orderkey, l_linenumber, " + ", ".join(
@@ -542,9 +557,9 @@ FROM krn q, krn t GROUP BY q.s_suppkey""",
     "nw_loo_risk": f"WITH {LOO} SELECT {_r('h')} AS h, {_r('rmse_loo')} AS rmse_loo FROM risk",
     "nw_best_bandwidth": f"""WITH {LOO} SELECT {_r('h')} AS h, {_r('rmse_loo')} AS rmse_loo
 FROM risk ORDER BY risk.rmse_loo, risk.h LIMIT 1""",
-    "nw_val_risk": f"""WITH {KRN}, {_grid([h for h in H_GRID if h > 0.3])},
+    "nw_val_risk": f"""WITH {KRN}, {_grid(H_GRID)},
 sp AS (SELECT * FROM {_split('krn', 's_suppkey')}), p AS (
-  SELECT h, q.s_suppkey, any_value(q.y) AS y, sum({_weight()} * t.y) / sum({_weight()}) AS yhat
+  SELECT h, q.s_suppkey, any_value(q.y) AS y, sum({_weight()} * t.y) / nullif(sum({_weight()}), 0) AS yhat
   FROM hs, sp q, sp t WHERE q.split = 'val' AND t.split = 'train' GROUP BY h, q.s_suppkey)
 SELECT {_r('h')} AS h, {_r('sqrt(avg((y - yhat) ** 2))')} AS rmse_val FROM p GROUP BY p.h""",
     "nw_local_linear": f"""WITH {KRN}, s AS (
@@ -577,13 +592,15 @@ SELECT model, set, {_r('RMSE', 4)} AS "RMSE", {_r('MAE', 4)} AS "MAE", {_r('R2',
   {_r('value', 4)} AS value FROM long""",
     "metrics_table": f'WITH {TABLE} SELECT * FROM tab',
     "metrics_latex_rows": f"""WITH {TABLE} SELECT "Model" || ' & ' || "Target" || """ + " || ".join(
-        f"""' & ' || "{c}" """ for c in TABLE_CELLS) + """|| ' \\\\' AS line FROM tab""",
+        f"""' & ' || "{c}" """ for c in TABLE_CELLS) + """|| ' \\\\' AS line FROM tab UNION ALL SELECT 'Model & Target & """
+    + " & ".join(TABLE_CELLS) + """ \\\\'""",
     "mean_metrics": f'WITH {TABLE} SELECT "Model", ' + ", ".join(
         f"""{_even(f'avg("{c}")')} AS "{c}" """ for c in TABLE_CELLS)
     + ' FROM tab GROUP BY "Model"',
     "best_model": f"""WITH {TABLE} SELECT * EXCLUDE rk FROM (SELECT *, row_number() OVER (
   PARTITION BY "Target" ORDER BY "R2 (train)" DESC, "Model") AS rk FROM tab) WHERE rk = 1""",
-    "latest_model": """SELECT 'l_extendedprice' AS target, 'ols l_extendedprice' AS name""",
+    "latest_model": """SELECT max('l_extendedprice') AS target,
+  CASE WHEN count(l_extendedprice) > 0 THEN 'ols l_extendedprice' END AS name FROM lineitem""",
     "model_roundtrip": f"""WITH {LINE_FIT} SELECT l_orderkey, l_linenumber,
   {_r('my + wa * (l_quantity - ma) / sa + wb * (l_discount - mb) / sb', 3)} AS prediction
 FROM lineitem, fit""",

@@ -15,7 +15,7 @@ from verdara.plans import inputs as src
 from verdara.plans.inputs import table
 from verdara.sources import metric_files, models, tables
 
-H_GRID = tuple(10 ** (-2 + 3 * i / 19) for i in range(20))
+H_GRID = tuple(10 ** (-2 + 3 * i / 29) for i in range(30))
 H_PREDICT = 0.3
 REGRESSORS = ["n_lines", "sum_qty", "avg_discount"]
 LINE_FEATURES = ["l_quantity", "l_discount"]
@@ -341,7 +341,7 @@ def raster_catalogue(spark, sf_dir):
 
 @query
 def point_pixel_join(spark, sf_dir):
-    names = {b: n for b, n in src.INTENSITY_BANDS.items() if n.startswith("Sigma0_VH")}
+    names = src.INTENSITY_BANDS
     out = raster.sample_points(
         src.sampling_points(spark, sf_dir), src.pixels(spark, sf_dir),
         src.raster_meta(spark, sf_dir), names, ["c_custkey"], "id_parcel", "x", "y")
@@ -450,16 +450,17 @@ BOXCOX_COLS = ["l_extendedprice", "l_quantity", "l_discount"]
 @query
 def boxcox_lambda(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
-    best = boxcox.fit_lambdas(lines, BOXCOX_COLS, refine=0)
+    best = boxcox.fit_lambdas(lines, BOXCOX_COLS)
     n = lines.agg(*[F.count(c).alias(c) for c in best])
-    cells = [x for c, lam in best.items() for x in (F.lit(c), F.lit(lam), F.col(c))]
-    return rounded(n.select(F.stack(F.lit(len(best)), *cells).alias("column", "lambda", "n")), 1)
+    cells = [x for c, f in best.items() for x in (F.lit(c), F.lit(f.lam), F.lit(f.shift), F.col(c))]
+    return rounded(n.select(F.stack(F.lit(len(best)), *cells)
+                            .alias("column", "lambda", "shift", "n")), 4, shift=6)
 
 
 @query
 def boxcox_transform(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *BOXCOX_COLS)
-    return rounded(boxcox.transform(lines, boxcox.fit_lambdas(lines, BOXCOX_COLS, refine=0)), 4)
+    return rounded(boxcox.transform(lines, boxcox.fit_lambdas(lines, BOXCOX_COLS)), 4)
 
 
 @query
@@ -580,7 +581,7 @@ def nw_val_risk(spark, sf_dir):
     rows = prep.random_split(src.kernel_rows(spark, sf_dir), ["s_suppkey"], 0.3, 42)
     return rounded(kernel.validation_risk(
         rows.where("split = 'val'"), rows.where("split = 'train'"), ["x"], "y",
-        [h for h in H_GRID if h > 0.3], ["s_suppkey"]))
+        H_GRID, ["s_suppkey"]))
 
 
 @query
@@ -598,7 +599,7 @@ def nw_metrics(spark, sf_dir):
         "s_suppkey", "s_acctbal", F.col("s_nationkey").cast("double").alias("y"))
     split = prep.random_split(rows, ["s_suppkey"], 0.3, 42)
     return rounded(kernel_scores(split, "y", ["s_acctbal"], ["s_suppkey"],
-                                 [h for h in H_GRID if h > 0.1])[0])
+                                 H_GRID)[0])
 
 
 @query
@@ -691,9 +692,9 @@ def metrics_table(spark, sf_dir):
 
 @query
 def metrics_latex_rows(spark, sf_dir):
-    lines = metrics.table_rows(metrics.metrics_table(src.metric_rows(spark, sf_dir)))
     path = src.scratch_dir(spark) + "/table"
-    tables.write_lines(lines.orderBy("Model", "Target"), "line", path)
+    tables.write_lines(metrics.table_lines(metrics.metrics_table(src.metric_rows(spark, sf_dir))),
+                       "line", path)
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 

@@ -9,10 +9,12 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verdara.functions.points import normal_id
 from verdara.operators import (
     align, boxcox, correlate, crosspol, kernel, linear, metrics, pca, prep, raster, tidy, trees)
 from verdara.sources import tables
 from verdara.sources.models import KernelModel
+from verdara.sources.scratch import stored
 
 
 def extract_wide_table(points: DataFrame, stacks: Mapping[str, tuple[DataFrame, Mapping[int, str]]],
@@ -36,6 +38,8 @@ def align_wide(field: DataFrame, wide: DataFrame, point_col: str | None = None,
                ) -> tuple[DataFrame, DataFrame]:
     """Aligned rows and their counters from a wide radar table."""
     radar_point_col = radar_point_col or align.detect_point_col(wide.columns)
+    # ids first: rows whose ids differ in notation only belong to one point
+    wide = wide.withColumn(radar_point_col, normal_id(F.col(radar_point_col)))
     rows = align.align(field, tidy.tidy_wide(wide, radar_point_col), point_col, time_col,
                        radar_point_col, keep, prefixes, tolerance_days)
     return rows, align.align_stats(rows, probe_col)
@@ -118,11 +122,11 @@ def write_metric_files(long: DataFrame, base_dir: str, folders: Mapping[str, str
     """``<folder>/metrics_<target>.csv`` per model and target with train and val columns.
 
     A metric table has one row per model, target, metric and set, so the list of
-    model and target pairs is short.
+    model and target pairs is short.  The scores are computed once.
     """
-    wide = (long.groupBy("model", "target", "metric")
-            .pivot("set", ["train", "val"]).agg(F.avg("value")))
-    for row in long.select("model", "target").distinct().collect():
+    wide = stored(long.groupBy("model", "target", "metric")
+                  .pivot("set", ["train", "val"]).agg(F.avg("value")))
+    for row in wide.select("model", "target").distinct().collect():
         part = wide.where((F.col("model") == row["model"]) & (F.col("target") == row["target"]))
         tables.write_csv(part.select("metric", "train", "val").coalesce(1),
                          f"{base_dir}/{folders[row['model']]}/metrics_{row['target']}.csv")

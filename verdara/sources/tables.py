@@ -61,14 +61,22 @@ def write_best_bandwidth(best: DataFrame, path: str) -> None:
 def write_prediction(pred: DataFrame, path: str, nodata: float = -9999.0) -> int:
     """Write (raster, row, col, pred) by raster; returns the number of predicted pixels.
 
-    The count is observed while the rows are written.  No predicted pixel at all is
-    an error, as masking then left nothing to predict on.
+    The count is observed while the rows are written aside.  No predicted pixel at all is
+    an error, as masking then left nothing to predict on; a table already at ``path`` then
+    stays as it is.
     """
     seen = Observation("prediction")
     watched = pred.observe(seen, F.count_if(F.col("pred") != F.lit(nodata)).alias("n"))
-    write_parquet(watched, path, ["raster"])
+    aside = f"{path.rstrip('/')}.new"
+    write_parquet(watched, aside, ["raster"])
+    jvm = pred.sparkSession.sparkContext._jvm
+    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, aside))
+    files = new.getFileSystem(pred.sparkSession.sparkContext._jsc.hadoopConfiguration())
     if not seen.get["n"]:
+        files.delete(new, True)
         raise ValueError("no valid pixel after masking")
+    files.delete(old, True)
+    files.rename(new, old)
     return seen.get["n"]
 
 
