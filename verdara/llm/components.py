@@ -14,7 +14,12 @@ def _both(links: DataFrame) -> DataFrame:
 
 
 def _with_least(links: DataFrame) -> DataFrame:
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    """Links with the least of a and its neighbours.
+
+    The minima are written, so Spark knows their size: it broadcasts a short list, and else joins
+    two plain shuffles, whose hot nodes (the centres of large stars) it splits at run time.
+    """
+    least = stored(links.groupBy("a").agg(F.min("b").alias("m")))
     return links.join(least, "a").withColumn("m", F.least("a", "m"))
 
 
