@@ -203,6 +203,8 @@ def test_metric_files(spark, tmp_path):
     put("metrics_VWC bad.csv", "no,useful\n1,2\n")
     put("metrics_other.csv", ",train,val\nRMSE,1,2\n")
     put("metrics_VWC empty.csv", "")
+    (base / "artifacts_a" / "metrics_IBA old").mkdir()
+    put("metrics_IBA old/copy.csv", ",train,val\nRMSE,9,9\n")
     got = {(r["target"], r["metric"], r["set"]): r["value"] for r in metric_files.gather(
         spark, str(base), ["VWC", "IBA", "total_biomass"],
         {"A": "artifacts_a", "B": "missing"}).collect()}

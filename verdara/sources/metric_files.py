@@ -32,8 +32,8 @@ def gather(spark: SparkSession, base_dir: str, targets: Sequence[str] = TARGETS,
            model_folders: Mapping[str, str] = MODEL_FOLDERS) -> DataFrame:
     """(model, target, metric, set, value) of every conforming metric file.
 
-    A file counts when its name below the model folder holds ``metric`` and a target
-    and its header names ``train`` and ``val``; a folder of part files written by
+    A file directly below the model folder counts when its name holds ``metric`` and a
+    target and its header names ``train`` and ``val``; a folder of part files written by
     Spark counts like a file.  Files are read whole, because the column order may
     differ from file to file and the header belongs to its own lines; a metric file
     has four lines.  Unreadable or non-conforming files and missing folders are
@@ -49,8 +49,14 @@ def gather(spark: SparkSession, base_dir: str, targets: Sequence[str] = TARGETS,
                      .text(f"{base_dir}/{folder}", wholetext=True)
                      .select(F.substring_index(path, f"/{folder}/", -1).alias("name"),
                              "value"))
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
+        # one level only; part files stand for the folder that Spark wrote
+        parts = F.split("name", "/")
+        lines = (lines.where((F.size(parts) == 1) | (F.size(parts) == 2) & parts[1].startswith("part-"))
+                 .withColumn("name", parts[0]))
         out = out.unionByName(_parse(lines, targets).select(F.lit(model).alias("model"), "*"))
     return out
 
