@@ -18,3 +18,13 @@ def test_one_row_per_input_row(spark, name):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_sql_twin(spark, name):
+    import sys
+
+    sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(__file__))))
+    from oracle_check import compare, duck
+
+    assert compare(QUERIES[name](spark, SF), duck(SF), SQL[name]) == ""

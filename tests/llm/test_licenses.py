@@ -14,7 +14,7 @@ def split(text):
 def brute_matches(text, templates, threshold):
     blocks = (text or "").split("\n")
     if re.search(r"\n[ \t\r]*\n", text or ""):
-        blocks = blocks + [p for p in re.split(r"\n[\x20\t\r]*\n\s*", text) if "\n" in p]
+        blocks = blocks + [p for p in re.split(r"\n[\x20\t\r]*\n[\x20\t\n\f\r]*", text) if "\n" in p]
     out = {}
     for b, block in enumerate(blocks):
         own = set(split(block))

@@ -86,7 +86,7 @@ def _strings(values: list[str]) -> Column:
 def blocks(text: Column) -> Column:
     """Lines, and paragraphs between blank lines where there are any."""
     lines = F.split(text, "\n", -1)
-    paragraphs = F.filter(F.split(text, r"\n[\x20\t\r]*\n\s*", -1), lambda p: p.contains("\n"))
+    paragraphs = F.filter(F.split(text, r"\n[\x20\t\r]*\n[\x20\t\n\f\r]*", -1), lambda p: p.contains("\n"))
     return F.when(text.contains("\n"), F.concat(lines, F.when(
         text.rlike(r"\n[\x20\t\r]*\n"), paragraphs).otherwise(F.array().cast("array<string>")))
     ).otherwise(F.array(text))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
 from verdara.llm import byte_bpe, fertility, fingerprint, html_text, licenses, packing, personal, pitman_yor, sharding, simhash
-from verdara.llm.common import table
+from verdara.llm.common import ASCII_UPPER, table
 from verdara.sources.scratch import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,48 @@ def op8_gray_simhash(spark, sf_dir):
 @query
 def op10_pitman_yor(spark, sf_dir):
     return pitman_yor.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _words_sql(text: str) -> str:
+    lower = f"translate({text}, '{ASCII_UPPER}', '{ASCII_UPPER.lower()}')"
+    return f"list_filter(regexp_split_to_array({lower}, '{licenses.SEPARATORS}'), lambda w: w <> '')"
+
+
+def _license_sql(threshold: float = 0.8) -> str:
+    """All pairs of blocks and templates, without filters."""
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    templates = ", ".join(f"({quoted(label)}, {quoted(t)})" for label, t in licenses.TEMPLATES)
+    places = ", ".join(
+        f"list_transform(list_filter(range(1, len(ws) + 1), lambda i: "
+        + " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(phrase))
+        + f"), lambda i: {{'pos': i - 1, 'label': '{label}'}})" for label, phrase in licenses.BASE.items())
+    blank = r"\n[\x20\t\r]*\n"
+    return f"""WITH docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+tok AS (SELECT id, doc_id, text, {_words_sql('text')} AS ws FROM docs),
+base AS (SELECT id, doc_id, len(ws) AS n_words, flatten([{places}]) AS pl FROM tok),
+tpl AS (SELECT label, list_distinct({_words_sql('t')}) AS tw FROM (VALUES {templates}) v(label, t)),
+block AS (
+  SELECT id, unnest(string_split(text, chr(10))) AS b, generate_subscripts(string_split(text, chr(10)), 1) AS k
+  FROM docs
+  UNION ALL SELECT id, b, -k FROM (
+    SELECT id, unnest(p) AS b, generate_subscripts(p, 1) AS k FROM (
+      SELECT id, regexp_split_to_array(text, '{blank}[\\x20\\t\\n\\f\\r]*') AS p
+      FROM docs WHERE regexp_matches(text, '{blank}'))) WHERE contains(b, chr(10))),
+hit AS (
+  SELECT id, k, label, len(tw) AS n, len(list_intersect(bw, tw)) / len(tw) AS c
+  FROM (SELECT id, k, list_distinct({_words_sql('b')}) AS bw FROM block), tpl
+  WHERE len(list_intersect(bw, tw)) >= ceil({threshold} * len(tw) - 1e-9)),
+best AS (SELECT id, max({{'c': c, 'n': n, 'label': label}}) AS m FROM hit GROUP BY id, k),
+found AS (SELECT id, list(m.label) AS labels, max(m.c) AS c FROM best GROUP BY id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(pl) AS BIGINT) AS n_base,
+  list_min(list_transform(pl, lambda x: x.pos)) AS first_word, list_max(list_transform(pl, lambda x: x.pos)) AS last_word,
+  array_to_string(list_sort(list_distinct(list_transform(pl, lambda x: x.label))), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(list_transform(pl, lambda x: x.label),
+    coalesce(labels, [])))), ',') AS labels,
+  CASE WHEN len(pl) > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0.0::DOUBLE) END AS score
+FROM base LEFT JOIN found USING (id)"""
+
+
+SQL["op9_license_join"] = _license_sql()
