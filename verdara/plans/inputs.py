@@ -128,6 +128,18 @@ def kernel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_scaling(rows, ["x"]).standardise(rows)
 
 
+def kernel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c_custkey, x, z, y): standardised balance and nation of every customer; a twentieth of
+    the targets is missing."""
+    from verdara.operators.prep import fit_scaling
+
+    rows = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("z"),
+        F.when(F.col("c_custkey") % 20 != 0, F.length("c_name") + F.col("c_custkey") % 7)
+        .cast("double").alias("y"))
+    return fit_scaling(rows, ["x", "z"]).standardise(rows)
+
+
 def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items with model (return flag), set (line status), truth and estimate."""
     return table(spark, sf_dir, "lineitem").select(

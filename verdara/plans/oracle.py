@@ -197,6 +197,14 @@ LOO = f"""{KRN}, {_grid(H_GRID)}, loo AS (
 risk AS (SELECT h, sqrt(avg((y - yhat) ** 2)) AS rmse_loo FROM loo GROUP BY h)"""
 
 
+PAIRS = f"""pairs AS (
+  SELECT c_custkey, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () AS x,
+    (c_nationkey - avg(c_nationkey) OVER ()) / stddev_pop(c_nationkey) OVER () AS z,
+    CASE WHEN c_custkey % 20 <> 0 THEN CAST(length(c_name) + c_custkey % 7 AS DOUBLE) END AS y
+  FROM customer), {_grid(H_GRID)}"""
+_PAIR_WEIGHT = "exp(-0.5 * ((q.x - t.x) ** 2 + (q.z - t.z) ** 2) / (h * h))"
+
+
 def _split(table: str, key: str) -> str:
     """Validation rows: the first ⌈0.3 n⌉ by hash."""
     return f"""(SELECT *, CASE WHEN row_number() OVER (ORDER BY md5('42:' || {key}))
@@ -408,6 +416,14 @@ FULL JOIN (SELECT user_id, max(value) AS error_max FROM events WHERE event_type
   {_r('max(l_tax) + max(l_discount)')} AS sum_vhvv,
   {_r('max(l_tax) / nullif(max(l_discount), 0)')} AS ratio_vh_vv
 FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+    "crosspol_wide_db": f"""SELECT l_orderkey, l_linenumber,
+  {_r('CASE WHEN l_tax > 0 AND l_discount > 0 THEN 10 * log10(l_tax / l_discount) END', 4)}
+    AS "Gamma0_RATIO_VH_VV_15Mar2025",
+  {_r('CASE WHEN l_tax > 0 AND l_discount > 0 THEN 10 * log10(l_tax + l_discount) END', 4)}
+    AS "Gamma0_SUM_VHVV_15Mar2025",
+  {_r('10 * log10(l_extendedprice / l_quantity)', 4)} AS "Sigma0_RATIO_VH_VV_19Feb2025",
+  {_r('10 * log10(l_extendedprice + l_quantity)', 4)} AS "Sigma0_SUM_VHVV_19Feb2025"
+FROM lineitem""",
     "db_linear": f"""SELECT l_orderkey, l_linenumber,
   {_r('CASE WHEN l_extendedprice > 0 THEN 10 * log10(l_extendedprice) END', 5)} AS db,
   {_r('CASE WHEN l_extendedprice > 0 THEN l_extendedprice END', 5)} AS back,
@@ -484,6 +500,9 @@ SELECT raster, row, col, {_r(f'coalesce(p, {NODATA})', 3)} AS pred
 FROM frame LEFT JOIN pred USING (raster, row, col)""",
     "describe_by_cover": _describe("lineitem", "l_returnflag",
                                    ("l_quantity", "l_extendedprice", "l_discount")),
+    "describe_gaps": _describe("""(SELECT nullif(l_returnflag, 'N') AS flag,
+  CASE WHEN l_tax = 0.02 OR l_returnflag = 'A' THEN NULL ELSE l_quantity END AS l_quantity
+  FROM lineitem)""", "flag", ["l_quantity"]),
     "describe_by_date": _describe("(SELECT *, CAST(l_shipdate AS DATE) AS day FROM lineitem)",
                                   "day", ("l_quantity", "l_linenumber")),
     "box_stats": _box("l_quantity") + " UNION ALL " + _box("l_extendedprice"),
@@ -554,6 +573,15 @@ SELECT target, set, metric, {_r('value', 4)} AS value FROM long""",
     "nw_predict": f"""WITH {KRN} SELECT q.s_suppkey,
   {_r(f"sum({_weight(repr(H_PREDICT))} * t.y) / sum({_weight(repr(H_PREDICT))})")} AS yhat
 FROM krn q, krn t GROUP BY q.s_suppkey""",
+    "nw_two_predict": f"""WITH {PAIRS} SELECT q.c_custkey, {_r('h')} AS h,
+  {_r(f'sum({_PAIR_WEIGHT} * t.y) / nullif(sum({_PAIR_WEIGHT}), 0)')} AS yhat
+FROM hs, pairs q, pairs t WHERE t.y IS NOT NULL GROUP BY hs.h, q.c_custkey""",
+    "nw_two_loo_risk": f"""WITH {PAIRS}, loo AS (
+  SELECT h, any_value(q.y) AS y,
+    sum(CASE WHEN q.c_custkey <> t.c_custkey THEN {_PAIR_WEIGHT} * t.y ELSE 0 END)
+    / (sum(CASE WHEN q.c_custkey <> t.c_custkey THEN {_PAIR_WEIGHT} ELSE 0 END) + 1e-12) AS yhat
+  FROM hs, pairs q, pairs t WHERE q.y IS NOT NULL AND t.y IS NOT NULL GROUP BY h, q.c_custkey)
+SELECT {_r('h')} AS h, {_r('sqrt(avg((y - yhat) ** 2))')} AS rmse_loo FROM loo GROUP BY loo.h""",
     "nw_loo_risk": f"WITH {LOO} SELECT {_r('h')} AS h, {_r('rmse_loo')} AS rmse_loo FROM risk",
     "nw_best_bandwidth": f"""WITH {LOO} SELECT {_r('h')} AS h, {_r('rmse_loo')} AS rmse_loo
 FROM risk ORDER BY risk.rmse_loo, risk.h LIMIT 1""",

@@ -267,6 +267,17 @@ def crosspol_metrics(spark, sf_dir):
     return rounded(crosspol.crosspol_long(rows, ["l_orderkey", "l_linenumber"]))
 
 
+@query
+def crosspol_wide_db(spark, sf_dir):
+    """Wide names, decibels in and out; only dates with both polarisations give columns."""
+    db = {"Sigma0_VH_19Feb2025": "l_extendedprice", "Sigma0_VV_19Feb2025": "l_quantity",
+          "Gamma0_VH_15Mar2025": "l_tax", "Gamma0_VV_15Mar2025": "l_discount",
+          "Sigma0_VH_08Apr2025": "l_tax"}
+    wide = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", *[radar.linear_to_db(F.col(c)).alias(n) for n, c in db.items()])
+    return rounded(crosspol.crosspol_wide(wide, ["l_orderkey", "l_linenumber"], True, True), 4)
+
+
 @query
 def db_linear(spark, sf_dir):
     db = radar.linear_to_db(F.col("l_extendedprice"))
@@ -390,6 +401,16 @@ def describe_by_cover(spark, sf_dir):
         table(spark, sf_dir, "lineitem"), ["l_returnflag"], LINE_NUMBERS), 4)
 
 
+@query
+def describe_gaps(spark, sf_dir):
+    """NULL groups, NaN and NULL values, and a group without values."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.expr("nullif(l_returnflag, 'N')").alias("flag"), "l_linestatus",
+        F.when(F.col("l_tax") == 0.02, F.lit(float("nan"))).when(F.col("l_returnflag") == "A", None)
+        .otherwise(F.col("l_quantity")).alias("l_quantity"))
+    return rounded(describe.describe_by(lines, ["flag"], ["l_quantity"]), 4)
+
+
 @query
 def describe_by_date(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").withColumn("day", F.col("l_shipdate").cast("date"))
@@ -584,6 +605,19 @@ def nw_val_risk(spark, sf_dir):
         H_GRID, ["s_suppkey"]))
 
 
+@query
+def nw_two_predict(spark, sf_dir):
+    """Two features, every bandwidth of the grid; customers without a target take no part."""
+    rows = src.kernel_pairs(spark, sf_dir)
+    return rounded(kernel.predict(rows, rows, ["x", "z"], "y", H_GRID, ["c_custkey"]))
+
+
+@query
+def nw_two_loo_risk(spark, sf_dir):
+    return rounded(kernel.loo_risk(src.kernel_pairs(spark, sf_dir), ["x", "z"], "y", H_GRID,
+                                   ["c_custkey"]))
+
+
 @query
 def nw_local_linear(spark, sf_dir):
     rows = src.kernel_rows(spark, sf_dir)
