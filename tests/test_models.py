@@ -147,6 +147,39 @@ def test_kernel_model_round_trip(spark, data, tmp_path):
     assert [v for _, v in a] == pytest.approx([v for _, v in b])
     with pytest.raises(ValueError):
         models.KernelModel(df, ["a"], "y", model.scaling, 1.0, "xx")
+    registry = models.ModelRegistry(spark, str(tmp_path / "reg"))
+    registry.save(model, "kernel y", "y")
+    assert isinstance(registry.load("kernel y"), models.KernelModel)
+    assert registry.load_latest("kernel").h == model.h
+    every = df.withColumnsRenamed({"id": "row"}).selectExpr(
+        "'R' AS raster", "CAST(row AS int) AS row", "0 AS col", "a", "b", "row % 3 <> 0 AS valid")
+    pred = {r["row"]: r["pred"] for r in workflows.map_with_kernel(every, model).collect()}
+    want = dict(a)
+    assert all(pred[i] == (pytest.approx(want[i], rel=1e-5) if i % 3 else -9999.0) for i in want)
+
+
+def test_missing_targets_take_no_part(spark, data):
+    df, _, _ = data
+    gone = df.withColumn("y", F.expr("CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN double('nan') ELSE y END"))
+    left = df.where("id % 5 > 1")
+    for f in (lambda t: kernel.predict(df, t, ["a"], "y", 0.3, ["id"]),
+              lambda t: kernel.predict_local_linear(df, t, ["a", "b"], "y", 0.5, ["id"]),
+              lambda t: kernel.loo_risk(t, ["a"], "y", [0.3], ["id"])):
+        a, b = (sorted(map(tuple, f(t).collect())) for t in (gone, left))
+        assert np.array(a, float) == pytest.approx(np.array(b, float), nan_ok=True)
+
+
+def test_tiles_follow_the_block_not_the_table(spark, monkeypatch):
+    """Far apart clusters: a query row meets the tiles of its own cluster only."""
+    monkeypatch.setattr(kernel, "CHUNK_SIZE", 10)
+    rng = np.random.default_rng(2)
+    for clusters in (2, 8):
+        x = np.concatenate([1000.0 * k + rng.random(50) for k in range(clusters)])
+        df = spark.createDataFrame([(i, float(v), float(i % 7)) for i, v in enumerate(x)],
+                                   "id int, a double, y double")
+        got = {r["id"]: r["yhat"] for r in kernel.predict(df, df, ["a"], "y", 0.2, ["id"], cells=False).collect()}
+        w = np.exp(-0.5 * ((x[:, None] - x[None]) / 0.2) ** 2)
+        assert [got[i] for i in range(len(x))] == pytest.approx(w @ (np.arange(len(x)) % 7) / w.sum(1))
 
 
 def test_trees(spark, data, tmp_path):

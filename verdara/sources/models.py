@@ -11,43 +11,54 @@ from pyspark.sql import functions as F
 from verdara.operators import kernel
 from verdara.operators.prep import Scaling
 
-ENTRY = "path string, target string, saved_at timestamp_ntz"
+ENTRY = "path string, target string, kind string, saved_at timestamp_ntz"
 
 
 class ModelRegistry:
-    """Pipelines under ``<root>/models`` and one entry row per save."""
+    """Pipelines and kernel models under ``<root>/models`` and one entry row per save."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def save(self, model: PipelineModel, name: str, target: str) -> str:
+    def save(self, model: PipelineModel | KernelModel, name: str, target: str) -> str:
         path = f"{self.root}/models/{name}"
-        model.write().overwrite().save(path)
+        kind = "kernel" if isinstance(model, KernelModel) else "pipeline"
+        if kind == "kernel":
+            model.save(path)
+        else:
+            model.write().overwrite().save(path)
         (self.spark.range(1)
          .select(F.lit(path).alias("path"), F.lit(target).alias("target"),
-                 F.localtimestamp().alias("saved_at"))
+                 F.lit(kind).alias("kind"), F.localtimestamp().alias("saved_at"))
          .write.mode("append").parquet(f"{self.root}/entries"))
         return path
 
     def entries(self) -> DataFrame:
         return self.spark.read.schema(ENTRY).parquet(f"{self.root}/entries")
 
-    def load(self, name: str) -> PipelineModel:
+    def _read(self, path: str, kind: str) -> PipelineModel | KernelModel:
+        return KernelModel.load(self.spark, path) if kind == "kernel" else PipelineModel.load(path)
+
+    def load(self, name: str) -> PipelineModel | KernelModel:
         """Model saved under exactly this name."""
-        return PipelineModel.load(f"{self.root}/models/{name}")
+        path = f"{self.root}/models/{name}"
+        row = latest_model(self.entries().where(F.col("path") == path), name).first()
+        if row is None:
+            raise FileNotFoundError(f"no model is saved as {name!r}")
+        return self._read(path, row["kind"])
 
-    def load_latest(self, text: str) -> PipelineModel:
+    def load_latest(self, text: str) -> PipelineModel | KernelModel:
         row = latest_model(self.entries(), text).first()
         if row is None:
             raise FileNotFoundError(f"no saved model has {text!r} in its name")
-        return PipelineModel.load(row["path"])
+        return self._read(row["path"], row["kind"])
 
 
 def latest_model(entries: DataFrame, text: str) -> DataFrame:
-    """(path, target, saved_at) of the newest entry whose name holds ``text``."""
+    """(path, target, kind, saved_at) of the newest entry whose name holds ``text``."""
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     return (entries.where(F.contains(name, F.lit(text.lower())))
-            .agg(F.max_by(F.struct("path", "target", "saved_at"),
+            .agg(F.max_by(F.struct("path", "target", "kind", "saved_at"),
                           F.struct("saved_at", "path")).alias("m"))
             .where("m IS NOT NULL").select("m.*"))
 
