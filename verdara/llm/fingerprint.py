@@ -117,8 +117,9 @@ def _ranges(rows: DataFrame) -> tuple[DataFrame, int]:
     At most CUTS quantiles are taken; beyond them each interval is cut evenly by key.
     """
     n = rows.count()
+    # several ranges for each shuffle partition, so that their hashes spread evenly
     parts = max(1, -(-n // ROWS_PER_RANGE),
-                int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+                4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     level = min(parts, CUTS)
     cuts = rows.agg(F.percentile_approx(
         "_key", [i / level for i in range(level + 1)], 10 * level + 1000)).first()[0]
