@@ -1,0 +1,64 @@
+import numpy as np
+import pytest
+
+from verdara.llm import near_copies as N
+from verdara.llm.simhash import local_roots, text_print
+
+
+def brute_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_groups(texts):
+    sets = [brute_set(t) for t in texts]
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j)
+             if (not sets[i] and not sets[j]) or (sets[i] | sets[j]) and
+             len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 - 1e-12]
+    i, j = np.array(pairs, int).reshape(-1, 2).T
+    return local_roots(len(sets), i, j).tolist()
+
+
+def some_texts():
+    r = np.random.default_rng(0)
+    word = lambda: "".join(r.choice(list("abcdefgh"), 6))
+    texts = ["", "  \n", "one two", "ONE two", "one two three"]
+    for _ in range(30):  # copies with few and with many changes
+        base = [word() for _ in range(200)]
+        texts.append(" ".join(base))
+        for changes in (1, 2, 4, 5, 6, 8):
+            new = list(base)
+            for at in r.choice(200, changes, replace=False):
+                new[at] = word()
+            texts.append(" ".join(new))
+    passage = [word() for _ in range(90)]
+    texts += [" ".join(passage + [word() for _ in range(30)]) for _ in range(60)]
+    for _ in range(80):  # a chain: each is a copy of the one before only
+        passage = passage[4:] + [word() for _ in range(4)]
+        texts.append(" ".join(passage))
+    return texts
+
+
+@pytest.mark.parametrize("tile", [256, 20])
+def test_groups_are_those_of_all_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(N, "TILE", tile)
+    texts = some_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component"] for r in N.near_copies(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_groups(texts)
+
+
+def test_a_copy_beyond_three_bits_is_found_and_a_close_print_is_not_enough(spark):
+    r = np.random.default_rng(1)
+    while True:
+        words = ["".join(r.choice(list("abcdefgh"), 6)) for _ in range(120)]
+        other = " ".join(words[:60] + ["changed", "here"] + words[62:])
+        if (text_print(" ".join(words)) ^ text_print(other)).bit_count() > 3:
+            break
+    lines = ["".join(r.choice(list("abcdefgh"), 6)) for _ in range(13)]
+    repeats = " ".join(lines * 30)  # its shingles outvote the rest in a SimHash
+    texts = [" ".join(words), other, repeats + " " + " ".join(words[:40]), repeats + " " + " ".join(words[70:110])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert (text_print(texts[2]) ^ text_print(texts[3])).bit_count() <= 3
+    assert sorted((x["doc_id"], x["component"]) for x in N.near_copies(docs).collect()) == [
+        (0, 0), (1, 0), (2, 2), (3, 3)]
