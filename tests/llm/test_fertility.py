@@ -54,6 +54,22 @@ def test_store_stays_bounded_and_right():
         assert len(store) <= 16
 
 
+def test_store_takes_more_keys_than_its_limit_in_one_call():
+    asked = []
+    store = Store(lambda ks: asked.append(len(ks)) or [k * 2 for k in ks], limit=10)
+    for keys in (range(5), range(3, 48), range(40, 75), range(6)):
+        store.ready(keys)
+        assert [store[k] for k in keys] == [2 * k for k in keys]
+    assert max(asked) <= 10 and len(store) + len(store.old) <= 10
+
+
+def test_text_with_more_words_than_the_store_holds(tokens, monkeypatch):
+    words = [f"w{i}".encode() for i in range(500)]
+    want = tokens.stats(words)
+    monkeypatch.setattr(tokens, "words", Store(tokens._make, limit=100))
+    assert tokens.stats(words) == want
+
+
 def test_rejects_junk_and_keeps_clean(spark):
     rng = np.random.default_rng(0)
     vocabulary = ["".join(rng.choice(list("abcdefghilmnoprst"), rng.integers(2, 8))) for _ in range(400)]

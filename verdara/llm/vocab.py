@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterable
+from collections.abc import Collection
 from pathlib import Path
 
 import numpy as np
@@ -40,25 +40,27 @@ class Store(dict):
     """Values by key that are computed when first asked for.
 
     At ``limit`` entries the older half of the time is let go, so memory is bounded and words
-    in frequent use stay.
+    in frequent use stay.  Keys of one call may exceed ``limit``; they are let go at the next.
     """
 
     def __init__(self, make, limit: int = 300_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
-    def ready(self, keys: Iterable) -> None:
+    def ready(self, keys: Collection) -> None:
         """Have the values of all keys at hand until the next call."""
         new = [k for k in keys if k not in self]
         if len(self) + len(new) > self.limit:
-            self.old = dict(self)
+            self.old = dict(self) if len(self) <= self.limit else {}
             self.clear()
-            return self.ready(set(new) | self.old.keys() & set(keys))
+            new = list(set(keys))
         held = [k for k in new if k in self.old]
         for k in held:
             self[k] = self.old[k]
         missing = [k for k in new if k not in self]
-        self.update(zip(missing, self.make(missing)))
+        for at in range(0, len(missing), self.limit):
+            part = missing[at:at + self.limit]
+            self.update(zip(part, self.make(part)))
 
 
 def chunks(text: str) -> list[str] | None:
