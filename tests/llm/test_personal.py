@@ -82,6 +82,26 @@ def test_skip_edges_carry_a_label(field):
     assert all(text[a:b].lower() == secret for a, _, b in both)
 
 
+def test_one_clear_mention_labels_fifty(field):
+    secret = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    text = f'api_key = "{secret}' + f" and later word {secret} again" * 49
+    assert [k for _, k, _ in P.field_spans([text], field)[0]] == ["secret"] * 50
+    graph = P.Graph()
+    graph.add(0, text)
+    assert len(graph.edges) == 50 and len(graph.where) == 51
+    pair = field.pair[P.SKIP]  # a star is a tree: sums over the shared node are exact
+    up = np.logaddexp.reduce(field.scores(graph)[:50, :, None] + pair, axis=1)
+    rest = up.sum(axis=0) - up
+    want = field.scores(graph)[:50] + np.logaddexp.reduce(pair + rest[:, None, :], axis=2)
+    want = np.exp(want - np.logaddexp.reduce(want, axis=1)[:, None])
+    assert field.marginals(graph)[0][:50] == pytest.approx(want, abs=1e-4)
+
+
+def test_messages_do_not_depend_on_the_batch(field):
+    texts = [t for t, _ in P.labelled_texts(20, seed=5)]
+    assert P.field_spans(texts, field) == [P.field_spans([t], field)[0] for t in texts]
+
+
 def test_added_spans_beside_base_spans(field):
     text = "Write to x. +1 (843) 555-7672 170.106.47.218 now, or a.b@c.example.com"
     (base, spans), = P.all_spans([text], field)
