@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from verdara.llm import byte_bpe, fertility, fingerprint, html_text, licenses, packing, personal, pitman_yor, sharding, simhash
+from verdara.llm import byte_bpe, fertility, fingerprint, html_text, licenses, packing, personal, piece_bpe, pitman_yor, sharding, simhash
 from verdara.llm.common import ASCII_UPPER, table
 from verdara.sources.scratch import stored
 
@@ -80,6 +80,12 @@ def op10_pitman_yor(spark, sf_dir):
     return pitman_yor.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op11_piece_bpe(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_bpe.encode_documents(docs).drop("text")
+
+
 def _words_sql(text: str) -> str:
     lower = f"translate({text}, '{ASCII_UPPER}', '{ASCII_UPPER.lower()}')"
     return f"list_filter(regexp_split_to_array({lower}, '{licenses.SEPARATORS}'), lambda w: w <> '')"
