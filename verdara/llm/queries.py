@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from verdara.llm import byte_bpe, fertility, fingerprint, html_text, licenses, packing, personal, piece_bpe, pitman_yor, sharding, simhash
+from verdara.llm import byte_bpe, fertility, fingerprint, html_text, licenses, packing, personal, piece_bpe, pitman_yor, sharding, simhash, token_align
 from verdara.llm.common import ASCII_UPPER, table
 from verdara.sources.scratch import stored
 
@@ -86,6 +86,14 @@ def op11_piece_bpe(spark, sf_dir):
     return piece_bpe.encode_documents(docs).drop("text")
 
 
+@query
+def op13_token_align(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = stored(token_align.align(docs).drop("text"))
+    counts = token_align.count_links(aligned, token_align.vocabulary_size()).toPandas()
+    return token_align.judge(aligned, counts).drop("links")
+
+
 def _words_sql(text: str) -> str:
     lower = f"translate({text}, '{ASCII_UPPER}', '{ASCII_UPPER.lower()}')"
     return f"list_filter(regexp_split_to_array({lower}, '{licenses.SEPARATORS}'), lambda w: w <> '')"
