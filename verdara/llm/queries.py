@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from verdara.llm import byte_bpe, fertility, fingerprint, html_text, licenses, packing, personal, piece_bpe, pitman_yor, sharding, simhash, token_align
+from verdara.llm import byte_bpe, fertility, fingerprint, html_text, licenses, packing, periodic_runs, personal, piece_bpe, pitman_yor, sharding, simhash, token_align
 from verdara.llm.common import ASCII_UPPER, table
 from verdara.sources.scratch import stored
 
@@ -86,6 +86,12 @@ def op11_piece_bpe(spark, sf_dir):
     return piece_bpe.encode_documents(docs).drop("text")
 
 
+@query
+def op12_periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic_runs.with_periodic_tails().alias("text"))
+    return periodic_runs.find_runs(docs).drop("text")
+
+
 @query
 def op13_token_align(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
