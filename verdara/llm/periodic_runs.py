@@ -316,13 +316,14 @@ def with_periodic_tails(key: str = "doc_id", text: str = "text") -> Column:
     With n words, g = h // 10, a = g % n and p = 1 + (n - a) // (3 + g % 8), every word i from a on
     is replaced by word a + (i - a) % p.  A NULL key changes nothing.
     """
-    words = F.filter(F.split(whole(text), BLANKS), lambda w: w != "")
+    words = F.array_remove(F.split(whole(text), BLANKS), "")
     h = F.crc32(F.col(key).cast("string").cast("binary"))
     g = F.floor(h / 10)
     n = F.greatest(F.size(words), F.lit(1))
     a = (g % n).cast("int")
     p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    row = F.transform(F.array(F.struct(words.alias("w"), a.alias("a"), p.alias("p"))), lambda x: F.array_join(
-        F.transform(x["w"], lambda w, i: F.when(i < x["a"], w).otherwise(
-            F.try_element_at(x["w"], x["a"] + F.pmod(i - x["a"], x["p"]) + 1))), " "))[0]
+    times = F.ceil((n - a) / p).cast("int")
+    # no lambda functions: Spark does not hand a UDF arguments that contain one
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), F.lit(1), n - a)
+    row = F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")
     return F.when(h % 10 == 0, row).otherwise(F.col(text))
