@@ -97,7 +97,7 @@ def op13_token_align(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     aligned = stored(token_align.align(docs).drop("text"))
     counts = token_align.count_links(aligned, token_align.vocabulary_size()).toPandas()
-    return token_align.judge(aligned, counts).drop("links")
+    return token_align.judge(aligned, counts)
 
 
 def _words_sql(text: str) -> str:

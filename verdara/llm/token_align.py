@@ -19,26 +19,33 @@ ordinary text.  Repeated rows stay repeated and count each; empty table: no rows
 from __future__ import annotations
 
 import hashlib
-import os
-from array import array
+import json
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
+import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
+from sentencepiece import SentencePieceProcessor
 
 from verdara.llm.byte_bpe import groups_of
 from verdara.llm.common import ship, with_fields
-from verdara.llm.piece_bpe import BLANK, PieceBpe
-from verdara.llm.vocab import PIECES, Store, chunks, file_bytes, once
+from verdara.llm.vocab import PIECES, byte_ids, file_bytes, once
 
 BYTE_JSON = "byte_bpe_50k.json"
+BLANK = "▁"
+#: Characters aligned at once, in whole texts.
+GROUP_CHARS = 200_000
 FIELDS = ["n_a", "n_b", "n_groups", "n_links", "n_overlaps", "groups_sha256", "links"]
 SCHEMA = ("n_a long, n_b long, n_groups long, n_links long, n_overlaps long, groups_sha256 string, "
-          "links array<long>")
+          "links array<{}>")
 
 
 def byte_letters() -> dict[str, int]:
@@ -53,65 +60,41 @@ class Pair:
     """Both tokenizers in one worker."""
 
     def __init__(self, both: tuple[bytes, bytes]):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task per core
-        from tokenizers import Tokenizer
-
-        self.first = Tokenizer.from_str(both[0].decode())
-        self.first.encode_special_tokens = True
-        self.second = PieceBpe(both[1])
         letters = byte_letters()
-        special = set(self.first.get_added_tokens_decoder())
-        vocab = self.first.get_vocab()
-        self.a_bytes = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            self.a_bytes[i] = token.encode() if i in special else bytes(letters[c] for c in token)
-        self.b_bytes = self.second.plain
+        vocab = json.loads(both[0])["model"]["vocab"]
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items()}
+        # the file's merges are in the order of the ids they make, so ids are ranks
+        self.first = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN,
+                                       mergeable_ranks=ranks, special_tokens={})
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.a_bytes[i] = token
+        self.second = SentencePieceProcessor(model_proto=both[1])
+        pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
+        self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.second.is_byte(i)
+                        else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.a_size = np.array([len(t) for t in self.a_bytes])
         self.b_size = np.array([len(t) for t in self.b_bytes])
-        self.parts = Store(self._make)
         # decimal ids by place: inside a side of a group, at the end of the A side, of the B side
         a, b = ([b"%d" % i for i in range(len(t))] for t in (self.a_bytes, self.b_bytes))
         self.spelled = [x + end for ids, end in ((a, b","), (a, b"|"), (b, b","), (b, b";")) for x in ids]
 
-    def _packed(self, text: str, a: list[int], b: list[int]) -> tuple[bytes, bytes] | None:
-        """Both sides' ids; None if the joined bytes of one are not those of the text."""
-        want, spelled_a, spelled_b = text.encode(), self.a_bytes, self.b_bytes
-        if (b"".join([spelled_a[i] for i in a]) != want
-                or b"".join([spelled_b[i] for i in b]) != want):
-            return None
-        return array("I", a).tobytes(), array("I", b).tobytes()
-
-    def _make(self, parts: list[str]) -> list[tuple[bytes, bytes] | None]:
-        found = self.first.encode_batch_fast(parts, add_special_tokens=False)
-        second = self.second.encode_part
-        return [self._packed(p, e.ids, second(p.replace(" ", BLANK))) for p, e in zip(parts, found)]
-
-    def _whole(self, text: str) -> tuple[bytes, bytes] | None:
-        """A text with unusual white space; its words are not kept."""
-        a = self.first.encode(" " + text, add_special_tokens=False).ids
-        return self._packed(" " + text, a, list(map(int, self.second.encode([text])[0].split(b","))))
-
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """Ids of both sides per text as 32-bit integers; none where bytes differ."""
-        cut = [chunks(" " + t) if t and self.second.lines_parted and BLANK not in t else None
-               for t in texts]
-        self.parts.ready({p for parts in cut if parts for p in parts})
-        a, b = [], []
-        for text, parts in zip(texts, cut):
-            if parts is None:
-                found = [self._whole(text) if text else None]
-            else:
-                found = list(map(self.parts.__getitem__, parts))
-            good = None not in found
-            a.append(b"".join([f[0] for f in found]) if good else b"")
-            b.append(b"".join([f[1] for f in found]) if good else b"")
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of both sides per text; none where the joined bytes of one differ from the text's."""
+        a = [byte_ids(self.first, " " + t) if t else [] for t in texts]
+        b = self.second.encode(texts, num_threads=1)
+        for k, text in enumerate(texts):
+            want = (" " + text).encode()
+            if any(b"".join(map(spelled.__getitem__, ids)) != want
+                   for ids, spelled in ((a[k], self.a_bytes), (b[k], self.b_bytes))):
+                a[k], b[k] = [], []
         return a, b
 
-    def side(self, own: list[bytes], size: np.ndarray) -> pd.DataFrame:
+    def side(self, own: list[list[int]], size: np.ndarray) -> pd.DataFrame:
         """One row per token: document, byte range within the batch, id."""
-        ids = np.frombuffer(b"".join(own), np.uint32).astype(np.int64)
+        ids = np.fromiter(chain.from_iterable(own), np.int64, sum(map(len, own)))
         ends = np.cumsum(size[ids])
-        doc = np.repeat(np.arange(len(own)), [len(o) // 4 for o in own])
+        doc = np.repeat(np.arange(len(own)), list(map(len, own)))
         return pd.DataFrame({"doc": doc, "start": ends - size[ids], "end": ends, "id": ids,
                              "at": np.arange(len(ids))})
 
@@ -123,8 +106,8 @@ class Pair:
         i, j = both["a"].to_numpy(), both["b"].to_numpy()
         together = a_end[i] == b_end[j]
         n_overlaps = np.bincount(a["doc"].to_numpy()[i], minlength=len(texts))
-        i, j = i[together], j[together]  # both ascend: a token ends once
-        n_a, n_b = (np.array([len(o) // 4 for o in own]) for own in (own_a, own_b))
+        i, j = np.sort(i[together]), np.sort(j[together])  # in turn: a token has one end
+        n_a, n_b = (np.array(list(map(len, own))) for own in (own_a, own_b))
         n_links = np.bincount(a["doc"].to_numpy()[i], minlength=len(texts))
         code, place = self._in_turn(a["id"].to_numpy(), b["id"].to_numpy(), i, j)
         ordered = np.empty(len(code), np.int64)
@@ -164,8 +147,7 @@ def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     in_b = pd.merge_asof(a, b.assign(other=b["start"]), on="start", by="doc")
     in_a = pd.merge_asof(b, a.assign(other=a["start"]), on="start", by="doc")
     in_a = in_a[in_a["start"] != in_a["other"]]  # equal starts are found from both sides
-    both = pd.concat([in_b[["a", "b"]], in_a[["a", "b"]]], ignore_index=True)
-    return both.sort_values(["a", "b"], ignore_index=True)
+    return pd.concat([in_b[["a", "b"]], in_a[["a", "b"]]], ignore_index=True)
 
 
 def possible_pairs(a: list[bytes], b: list[bytes]) -> int:
@@ -179,15 +161,16 @@ def align(docs: DataFrame, text: str = "text", first_path: str | None = None,
           second_path: str | None = None) -> DataFrame:
     """Add the counts, the digest of the groups, and ``links``: A id · (size of B) + B id of each."""
     ship(docs.sparkSession)
-    data = docs.sparkSession.sparkContext.broadcast(
-        (file_bytes(first_path, BYTE_JSON), file_bytes(second_path, PIECES)))
+    first = file_bytes(first_path, BYTE_JSON)
+    data = docs.sparkSession.sparkContext.broadcast((first, file_bytes(second_path, PIECES)))
+    pairs = (max(json.loads(first)["model"]["vocab"].values()) + 1) * vocabulary_size(second_path)
 
-    @pandas_udf(SCHEMA)
+    @pandas_udf(SCHEMA.format("int" if pairs < 1 << 31 else "long"))
     def fn(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pair = once(Pair, data)
         for texts in batches:
-            parts = [pair.align(g) for g in groups_of([t or "" for t in texts])]
-            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=FIELDS)
+            # rows leave by groups, so the links of few texts are held at once
+            yield from map(pair.align, groups_of([t or "" for t in texts], GROUP_CHARS))
 
     return with_fields(docs, fn(F.col(text)), FIELDS)
 
@@ -202,25 +185,31 @@ def count_links(aligned: DataFrame, second_size: int) -> DataFrame:
 
 
 def judge(aligned: DataFrame, counts: pd.DataFrame) -> DataFrame:
-    """Add n_best and count_sum of each row's links, from the collected rows of ``count_links``."""
+    """n_best and count_sum in place of each row's links, from the collected rows of ``count_links``."""
     counts = counts.sort_values("pair")
     table = aligned.sparkSession.sparkContext.broadcast(tuple(
         counts[c].to_numpy(t) for c, t in (("pair", np.int64), ("n", np.int64), ("best", np.int64))))
 
-    @pandas_udf("n_best long, count_sum long")
-    def fn(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    made = ["n_best", "count_sum"]
+    kept = [c for c in aligned.columns if c not in [*made, "links"]]
+    rows = aligned.select(*[F.col(f"`{c}`") for c in [*kept, "links"]])
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "links"]
+                          + [T.StructField(c, T.LongType()) for c in made])
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, n, best = table.value
-        for links in batches:
-            size = np.array([len(x) for x in links], int)
-            flat = np.concatenate([*links, np.array([], np.int64)]).astype(np.int64)
-            at = np.searchsorted(pair, flat)
-            ends = np.cumsum(size)
-            sums = [np.concatenate([[0], np.cumsum(v[at])]) for v in (best, n)]
-            yield pd.DataFrame({k: s[ends] - s[ends - size]
-                                for k, s in zip(("n_best", "count_sum"), sums)})
+        parts = (batch.slice(i, 1000) for batch in batches for i in range(0, batch.num_rows, 1000))
+        for batch in parts:
+            links = batch.column(len(kept))
+            at = np.searchsorted(pair, links.flatten().to_numpy())
+            edges = links.offsets.to_numpy() - links.offsets[0].as_py()
+            sums = [np.concatenate([[0], np.cumsum(v[at])])[edges] for v in (best, n)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], *[pa.array(np.diff(s), pa.int64()) for s in sums]],
+                names=[*kept, *made])
 
-    return with_fields(aligned, fn(F.col("links")), ["n_best", "count_sum"])
+    return rows.mapInArrow(fn, schema)
 
 
 def vocabulary_size(second_path: str | None = None) -> int:
-    return len(PieceBpe(file_bytes(second_path, PIECES)).pieces)
+    return SentencePieceProcessor(model_proto=file_bytes(second_path, PIECES)).get_piece_size()

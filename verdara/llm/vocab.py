@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import regex
 import tiktoken
 from sentencepiece import SentencePieceProcessor
 
@@ -17,6 +18,8 @@ PIECES = "piece_bpe_32k.model"
 
 #: White space that is not a single blank or a single line end.
 _UNUSUAL = re.compile(r"\s\s|[^\S \n]|\x00")
+_LONG_BLANKS = re.compile(r"\s{1000}")
+_PATTERN = regex.compile(public_tokenizers.PATTERN)
 _loaded: dict = {}
 
 
@@ -71,6 +74,14 @@ def chunks(text: str) -> list[str] | None:
     return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
 
+def byte_ids(encoder: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of a text; very long white space, at which the library's own search for pieces runs out
+    of stack, is split here."""
+    if not _LONG_BLANKS.search(text):
+        return encoder.encode_ordinary(text)
+    return [i for piece in _PATTERN.findall(text) for i in encoder._encode_single_piece(piece)]
+
+
 class ByteCounter:
     """Exact token counts of whole texts under a byte-level rank file."""
 
@@ -82,7 +93,7 @@ class ByteCounter:
     def count(self, text: str) -> int:
         parts = chunks(text)
         if parts is None:
-            return len(self.encoder.encode_ordinary(text))
+            return len(byte_ids(self.encoder, text))
         self.lengths.ready(set(parts))
         return sum(map(self.lengths.__getitem__, parts))
 
