@@ -36,6 +36,7 @@ from xxhash import xxh64_intdigest
 
 from verdara.llm.common import ship
 from verdara.llm.components import components
+from verdara.operators.spread import join_lookup
 from verdara.sources.scratch import stored
 
 BITS = 64
@@ -247,5 +248,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     of = classes.join(members, "print", "left").select(
         "print", "_least", F.coalesce("component", "print").alias("_root"))
     least = of.groupBy("_root").agg(F.min("_least").alias("component"))
-    table = of.join(least, "_root").select("print", "component")
-    return prints.join(table, "print").select(F.col("_key").alias(key), "print", "component")
+    # a component may hold most classes, a class most documents: both keys are counted and salted
+    table = join_lookup(of, least, ["_root"], "inner").select("print", "component")
+    return (join_lookup(prints, table, ["print"], "inner")
+            .select(F.col("_key").alias(key), "print", "component"))
