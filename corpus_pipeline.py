@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from verdara.llm import fertility, near_copies, packing, personal
+from verdara.llm import fertility, packing, personal, simhash
 from verdara.sources.scratch import scratch_dir, stored
 
 
@@ -34,8 +34,8 @@ def quality(spark, docs, sf_dir):
 def near_dedup(spark, docs, sf_dir):
     """One document of each group of near-duplicates: the least doc_id, NULL ids last.
 
-    Two documents are linked if their sets of five-word shingles have a Jaccard similarity of 0.8
-    or more.
+    Two documents are linked if their SimHash fingerprints over three-word shingles differ in at
+    most three bits.
     """
     try:
         docs.select("_metadata.row_index")
@@ -44,7 +44,8 @@ def near_dedup(spark, docs, sf_dir):
     place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
     identity = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
                         place.alias("row"))
-    found = near_copies.near_copies(docs.select(identity.alias("_id"), "text"), key="_id")
+    found = simhash.near_duplicates(docs.select(identity.alias("_id"), "text"), key="_id", width=3,
+                                    distance=3)
     dropped = found.where(F.col("_id") != F.col("component")).select(F.col("_id.row").alias("_row"))
     rows = docs.select(_whole(docs), place.alias("_row"))
     return rows.join(dropped, "_row", "left_anti").select(_columns(docs))
