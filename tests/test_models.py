@@ -76,7 +76,7 @@ def brute(x, y, h, q=None):
 
 @pytest.mark.parametrize("cols,cells,pack", [
     (["a"], True, 1024), (["a"], False, 1024), (["a"], False, 50), (["a", "b"], False, 1024),
-    (["a", "b"], False, 60)])
+    (["a", "b"], False, 60), (["a", "b"], True, 1024), (["a", "b"], True, 60), (["a", "b"], None, 1024)])
 def test_kernel_against_brute_force(data, monkeypatch, cols, cells, pack):
     """Cells, plain packs and several packs per query give the direct sums."""
     monkeypatch.setattr(kernel, "CHUNK_SIZE", pack)
@@ -110,15 +110,16 @@ def test_kernel_edges(spark, data):
     assert kernel.best_bandwidth(tie).first()["h"] == 0.2
 
 
-@pytest.mark.parametrize("cols,pack", [(["a"], 1024), (["a"], 70), (["a", "b"], 1024),
-                                       (["a", "b"], 70)])
-def test_local_linear(data, monkeypatch, cols, pack):
+@pytest.mark.parametrize("cols,cells,pack", [
+    (["a"], False, 1024), (["a"], False, 70), (["a", "b"], False, 1024), (["a", "b"], False, 70),
+    (["a"], True, 70), (["a", "b"], True, 70), (["a", "b"], None, 1024)])
+def test_local_linear(data, monkeypatch, cols, cells, pack):
     monkeypatch.setattr(kernel, "CHUNK_SIZE", pack)
     monkeypatch.setattr(kernel, "TILE_ROWS", 3 * pack)
     df, x, y = data
     x, h = x[:, :len(cols)], 0.6
     got = {r["id"]: r["yhat"] for r in
-           kernel.predict_local_linear(df, df, cols, "y", h, ["id"]).collect()}
+           kernel.predict_local_linear(df, df, cols, "y", h, ["id"], cells).collect()}
     for i in range(len(y)):
         w = np.exp(-0.5 * ((x - x[i]) ** 2).sum(1) / h / h)
         m = np.c_[np.ones(len(y)), x - x[i]]

@@ -4,7 +4,9 @@ Training rows are folded into elements: a centre with the weight and the sum of
 y at that centre.  Equal feature vectors always fold into one element.  For one
 feature and many training rows the elements are lattice cells of width h/16 that
 carry a short series of moments; their number depends on the value range and h,
-not on the number of rows, and the series is exact to about 1e-12.
+not on the number of rows, and the series is exact to about 1e-12.  Two features,
+and local-linear fits of one or two, take the cells of ``lattice`` for each bandwidth
+at which they are less work than pairs of points, and points for the rest.
 
 Query rows and elements meet in blocks, like the tiles of a matrix product: both
 sides are keyed by bandwidth, range block, element chunk and query salt, and a tile
@@ -26,6 +28,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdara.operators import lattice
 from verdara.sources.scratch import stored
 
 # The tile functions travel with the job, so workers need no installed package.
@@ -38,7 +41,7 @@ SERIES = 18
 # Bounds of a tile: elements per chunk, query rows per salt, query rows per step.
 CHUNK_SIZE = 4096
 TILE_ROWS = 50_000
-STEP = 512
+STEP = 128
 LOO_EPSILON = 1e-12
 
 
@@ -47,6 +50,8 @@ class _Layout:
     xs: tuple[str, ...]
     blocked: dict[float, list[int]]
     cells: bool
+    rows: int = 0
+    widths: tuple[float, ...] = ()
 
 
 def _layout(train: DataFrame, xs: Sequence[str], hs: Sequence[float],
@@ -56,13 +61,9 @@ def _layout(train: DataFrame, xs: Sequence[str], hs: Sequence[float],
                     *[F.max(x).alias(f"hi{i}") for i, x in enumerate(xs)]).first()
     if not row["n"]:
         raise ValueError("the kernel needs at least one training row")
-    if cells is None:
-        cells = len(xs) == 1
-    if cells and len(xs) != 1:
-        raise ValueError("cell moments are built for one feature")
     widths = [row[f"hi{i}"] - row[f"lo{i}"] for i in range(len(xs))]
     blocked = {h: [i for i, w in enumerate(widths) if w > REACH * h] for h in hs}
-    return _Layout(tuple(xs), blocked, cells)
+    return _Layout(tuple(xs), blocked, cells is not False and len(xs) == 1, row["n"], tuple(widths))
 
 
 def _with_bandwidth(df: DataFrame, hs: Sequence[float]) -> DataFrame:
@@ -137,16 +138,21 @@ def _elements(train: DataFrame, y: str, hs: Sequence[float], layout: _Layout) ->
     return rows.drop("h", *layout.xs)
 
 
-def _tiles(queries: DataFrame, train: DataFrame, y: str, hs: Sequence[float], layout: _Layout,
+def _kept(layout: _Layout, id_cols: Sequence[str], own_y: str | None) -> list[str]:
+    return list(dict.fromkeys([*id_cols, *layout.xs, *([own_y] if own_y else [])]))
+
+
+def _tiles(asked: DataFrame, train: DataFrame, y: str, hs: Sequence[float], layout: _Layout,
            id_cols: Sequence[str], own_y: str | None, local: bool) -> DataFrame:
     """(ids, h, [y,] s0…): sums per query row over all elements it reaches.
 
-    Chunks of elements and salts of query rows follow from the sizes of each block, so a query
-    row meets as many tiles as its own surroundings need, however large the table is.
+    ``asked`` holds query rows with hi, the place of their bandwidth in ``hs``, and h.  Chunks of
+    elements and salts of query rows follow from the sizes of each block, so a query row meets as
+    many tiles as its own surroundings need, however large the table is.
     """
-    keep = list(dict.fromkeys([*id_cols, *layout.xs, *([own_y] if own_y else [])]))
+    keep = _kept(layout, id_cols, own_y)
     key = ["hi", "block", "chunk", "salt"]
-    asked = _with_bandwidth(queries.select(*keep), hs).withColumn("block", _block(layout, hs))
+    asked = asked.select(*keep, "hi", "h").withColumn("block", _block(layout, hs))
     rows = asked.groupBy("hi", "block").agg(F.count(F.lit(1)).alias("_rows"))
     # elements go only to blocks that hold query rows
     reach = rows.select(F.col("hi").alias("hi"), F.col("block").alias("block"), F.explode(_neighbours(layout, hs, F.col("block"))).alias("_b"))
@@ -192,6 +198,77 @@ def _tiles(queries: DataFrame, train: DataFrame, y: str, hs: Sequence[float], la
     return sums
 
 
+def _lattice_tiles(asked: DataFrame, train: DataFrame, y: str, hs: Sequence[float],
+                   layout: _Layout, id_cols: Sequence[str], own_y: str | None,
+                   local: bool) -> DataFrame:
+    """As ``_tiles`` over lattice cells; with the features, hi and _doubt for a second look."""
+    xs, keep = list(layout.xs), _kept(layout, id_cols, own_y)
+    points = train.groupBy(*xs).agg(F.count(F.lit(1)).cast("double").alias("m0"),
+                                    F.sum(F.col(y).cast("double")).alias("t0"))
+    block = F.array(*[F.floor(F.floor(F.col(x) / F.col("h")) / lattice.BLOCK) for x in xs])
+    asked = asked.select(*keep, "hi", "h").withColumn("block", block)
+    sizes = stored(asked.groupBy("hi", "block").agg(
+        F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("_salts")))
+    steps = [[]]
+    for _ in xs:
+        steps = [s + [d] for s in steps for d in (-1, 0, 1)]
+    around = F.explode(F.array(*[F.array(*[F.col("block")[i] + F.lit(d) for i, d in enumerate(s)])
+                                 for s in steps])).alias("_b")
+    reach = sizes.select("hi", "block", "_salts", around)
+    cells = lattice.elements(points, xs, hs).withColumn(
+        "_b", F.transform("cell", lambda c: F.floor(c / lattice.BLOCK)))
+    key = ["hi", "block", "salt"]
+    right = (cells.join(reach, ["hi", "_b"])
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+             .drop("_b", "_salts"))
+    left = (asked.join(sizes, ["hi", "block"])
+            .withColumn("salt", F.pmod(F.xxhash64(F.spark_partition_id(), *keep),
+                                       F.col("_salts")).cast("int")).drop("_salts"))
+    names = [f"s{k}" for k in range(_sum_count(len(xs), local))]
+    kinds = dict(left.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + ["hi int", "h double", "_doubt boolean"]
+                       + [f"{n} double" for n in names])
+    n_train, epsilon = layout.rows, LOO_EPSILON if own_y else 0.0
+
+    def reduce_tile(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        out = q[keep + ["hi", "h"]].copy()
+        h = float(q["h"].iloc[0]) if len(q) else 1.0
+        sums, out["_doubt"] = lattice.tile(q, e, xs, own_y, h, n_train, local, epsilon)
+        out[names] = sums
+        return out
+
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(reduce_tile, schema)
+
+
+def _sums(queries: DataFrame, train: DataFrame, xs: Sequence[str], y: str, hs: Sequence[float],
+          id_cols: Sequence[str], own_y: str | None, local: bool, cells: bool | None) -> DataFrame:
+    """(ids, h, [y,] s0…) over cells or points, by bandwidth."""
+    if cells and len(xs) > lattice.MOST_FEATURES:
+        raise ValueError(f"cell moments are built for up to {lattice.MOST_FEATURES} features")
+    layout = _layout(train, xs, hs, False if local else cells)
+    fine = layout.cells  # one feature: cells of width h/16
+    coarse: list[float] = []
+    if cells is not False and not fine and len(xs) <= lattice.MOST_FEATURES:
+        n = queries.count()
+        coarse = [h for h in hs if cells or lattice.pays(*(*layout.widths, None)[:2], h, n, layout.rows)]
+    points = [h for h in hs if h not in coarse]
+    keep = _kept(layout, id_cols, own_y)
+    args = (layout, id_cols, own_y, local)
+    out = []
+    if points:
+        out.append(_tiles(_with_bandwidth(queries.select(*keep), points), train, y, points, *args))
+    if coarse:
+        found = stored(_lattice_tiles(_with_bandwidth(queries.select(*keep), coarse), train, y,
+                                      coarse, *args))
+        out.append(found.where("not _doubt"))
+        doubt = found.where("_doubt")
+        if not doubt.isEmpty():  # far from all training rows
+            out.append(_tiles(doubt, train, y, coarse, *args))
+    shown = list(dict.fromkeys([*id_cols, *([own_y] if own_y else [])])) + ["h"] + [
+        f"s{k}" for k in range(_sum_count(len(xs), local))]
+    return reduce(DataFrame.unionByName, [o.select(*shown) for o in out])
+
+
 def _sum_count(d: int, local: bool) -> int:
     return (d + 1) * (d + 2) // 2 + d + 1 if local else 2
 
@@ -207,21 +284,31 @@ def _tile_sums(x: np.ndarray, own: np.ndarray | None, h: float, e: pd.DataFrame,
     out = np.zeros((len(x), _sum_count(d, local)))
     for at in range(0, len(x), STEP):
         part = slice(at, at + STEP)
-        gap = x[part, None, :] - c[None]
-        w = np.exp(-0.5 * np.einsum("ijk,ijk->ij", gap, gap) / (h * h))
+        gap = [x[part, k, None] - c[None, :, k] for k in range(d)]
+        square = reduce(np.add, [g * g for g in gap])
+        w = np.exp(square * (-0.5 / (h * h)))
         if local:
-            z = [np.ones_like(w)] + [-gap[:, :, k] for k in range(d)]
+            z = [np.ones_like(w)] + [-g for g in gap]
             pairs = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
             out[part] = np.stack([(w * z[i] * z[j]) @ m[:, 0] for i, j in pairs]
                                  + [(w * zi) @ t[:, 0] for zi in z], axis=1)
             continue
-        weight, total = m[:, 0][None], t[:, 0][None]
         if cells:
-            weight, total = (_polynomial(gap[:, :, 0] / h, a) for a in (m, t))
-        if own is not None:
-            count = e["n"].to_numpy() if cells else None
-            weight, total = _without_self(x[part], own[part], h, c, m, t, weight, total, count)
-        out[part, 0], out[part, 1] = (w * weight).sum(1), (w * total).sum(1)
+            weight, total = (_polynomial(gap[0] / h, a) for a in (m, t))
+            if own is not None:
+                weight, total = _without_self(x[part], own[part], h, c, m, t, weight, total,
+                                              e["n"].to_numpy())
+            out[part, 0], out[part, 1] = (w * weight).sum(1), (w * total).sum(1)
+            continue
+        if own is not None:  # the row leaves its point before anything is summed
+            row, col = np.nonzero(square == 0)
+            same = (x[part][row] == c[col]).all(1)
+            row, col = row[same], col[same]
+            w[row, col] = 0.0
+            out[at + row, 0] = m[col, 0] - 1.0
+            out[at + row, 1] = t[col, 0] - own[at + row]
+        out[part, 0] += w @ m[:, 0]
+        out[part, 1] += w @ t[:, 0]
     return out
 
 
@@ -233,16 +320,12 @@ def _polynomial(v: np.ndarray, moments: np.ndarray) -> np.ndarray:
 
 
 def _without_self(x, own, h, c, m, t, weight, total, count):
-    """Take each row's own part out of its element before anything is summed.
+    """Take each row's own part out of its cell before anything is summed.
 
-    ``count`` gives the rows per cell, None for points.  A cell that holds nothing
-    but the row itself counts exactly 0, whatever the last digit of its moments.
+    ``count`` gives the rows per cell.  A cell that holds nothing but the row itself counts
+    exactly 0, whatever the last digit of its moments.
     """
-    shape = (len(x), len(c))
-    weight, total = (np.array(np.broadcast_to(a, shape)) for a in (weight, total))
-    if count is None:
-        same = (x[:, None, :] == c[None]).all(2)
-        return weight - same, total - same * own[:, None]
+    weight, total = (np.array(np.broadcast_to(a, (len(x), len(c)))) for a in (weight, total))
     width = h / CELLS_PER_H
     mine = (np.floor(x[:, 0] / width) + 0.5) * width
     row, col = np.nonzero(mine[:, None] == c[:, 0][None])
@@ -272,8 +355,7 @@ def kernel_sums(queries: DataFrame, train: DataFrame, xs: Sequence[str], y: str,
     """
     train = _known(train, y)
     queries = _known(queries, y) if leave_one_out else queries
-    layout = _layout(train, xs, hs, cells)
-    return _tiles(queries, train, y, hs, layout, id_cols, y if leave_one_out else None, False)
+    return _sums(queries, train, xs, y, hs, id_cols, y if leave_one_out else None, False, cells)
 
 
 def predict(queries: DataFrame, train: DataFrame, xs: Sequence[str], y: str,
@@ -324,14 +406,14 @@ def validation_risk(val: DataFrame, train: DataFrame, xs: Sequence[str], y: str,
 
 
 def predict_local_linear(queries: DataFrame, train: DataFrame, xs: Sequence[str], y: str,
-                         h: float, id_cols: Sequence[str]) -> DataFrame:
+                         h: float, id_cols: Sequence[str], cells: bool | None = None) -> DataFrame:
     """(ids, yhat) of the local-linear fit; a singular system falls back to Σwy/Σw.
 
     The tiles reduce to (d+1)-sized moment sums; one feature is solved in closed
     form, more features by a vectorised solve per Arrow batch.
     """
     d, train = len(xs), _known(train, y)
-    sums = _tiles(queries, train, y, [h], _layout(train, xs, [h], False), id_cols, None, True)
+    sums = _sums(queries, train, xs, y, [h], id_cols, None, True, cells)
     pairs = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
     s = [F.col(f"s{k}") for k in range(_sum_count(d, True))]
     flat = F.try_divide(s[len(pairs)], s[0])
