@@ -7,6 +7,7 @@ import pytest
 from verdara.operators import align, crosspol, tidy
 from verdara.operators.spread import hot_keys, join_lookup, salt_lookup, salt_rows
 from verdara.plans.workflows import align_wide
+from verdara.sources import tables
 
 D = dt.date
 
@@ -211,3 +212,30 @@ def test_scale_db_constant_group(spark):
         spark.createDataFrame([(1, "VH"), (1, "VV"), (2, "VH")], "d int, p string"),
         ["d"], "p", "VH", "VV")
     assert [r["d"] for r in both.collect()] == [1]
+
+
+def test_first_row_counts_in_the_order_of_the_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,Sigma0_VH_19Feb2025,dpRVI_19Feb2025\np,,7.0\np,9.0,NaN\np,3.0,1.0\n")
+    (tmp_path / "b.csv").write_text("id,Sigma0_VH_19Feb2025,dpRVI_19Feb2025\np,1.0,5.0\nq,NaN,\n")
+    wide = tables.read_csv(spark, str(tmp_path / "*.csv"), position="_place")
+    assert wide.where("dpRVI_19Feb2025 IS NULL").count() == 2
+    rows = tidy.tidy_wide(wide, "id", order="_place").collect()
+    assert [(r["id"], r["Sigma0_VH"], r["dpRVI"]) for r in rows] == [("p", 9.0, 7.0)]
+    least = tidy.tidy_wide(wide.drop("_place"), "id").collect()
+    assert [(r["id"], r["Sigma0_VH"], r["dpRVI"]) for r in least] == [("p", 1.0, 1.0)]
+
+
+def test_an_earlier_column_comes_before_an_earlier_row(spark):
+    wide = spark.createDataFrame([("p", 1, None, 5.0), ("p", 2, 8.0, 6.0)],
+                                 "id string, n int, v_19Feb2025 double, v_20250219 double")
+    assert [r["v"] for r in tidy.tidy_wide(wide, "id", order="n").collect()] == [8.0]
+
+
+@pytest.mark.parametrize("tolerance", [None, 2])
+def test_ids_in_two_notations_are_one_point(spark, tolerance):
+    day = dt.date(2025, 2, 19)
+    radar = spark.createDataFrame([("a1", day, 1.0, None), ("A1 ", day, None, 2.0)],
+                                  "id_point string, date date, VH double, VV double")
+    field = spark.createDataFrame([("A1", day, 5.0)], "id_point string, date date, y double")
+    rows = align.align(field, radar, tolerance_days=tolerance).collect()
+    assert [(r["y"], r["VH"], r["VV"]) for r in rows] == [(5.0, 1.0, 2.0)]

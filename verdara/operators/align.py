@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from verdara.functions.dates import day_of
 from verdara.functions.points import has_prefix, normal_id
 from verdara.operators.spread import ROWS_PER_TASK, hot_keys, salt_lookup, salt_rows
+from verdara.operators.tidy import first_by
 
 # Names that mark the point and the time column of a sheet.
 POINT_NAMES = ("punto", "point", "punto_muestreo", "id_point")
@@ -81,8 +82,8 @@ def align(field: DataFrame, radar: DataFrame, point_col: str | None = None,
           tolerance_days: int | None = 2, hot_floor: int = ROWS_PER_TASK) -> DataFrame:
     """Field rows with the tidy radar columns of the same or nearest day.
 
-    ``radar`` is tidy: (point, date, variables), unique by (point, date).  All field
-    rows stay; ``sar_date`` and ``day_diff`` (radar day − field day) are NULL without
+    ``radar`` is tidy: (point, date, variables).  Rows whose points are one after normalisation
+    are folded by date.  All field rows stay, each once; ``sar_date`` and ``day_diff`` (radar day − field day) are NULL without
     a match.  ``tolerance_days=None`` matches the same day only.  ``keep`` lists the
     radar variables wanted (absent names are ignored); ``prefixes`` limits radar
     points by id prefix.
@@ -97,8 +98,10 @@ def align(field: DataFrame, radar: DataFrame, point_col: str | None = None,
         variables = [v for v in keep if v in variables]
 
     rhs = (radar.select(radar_point_col, "date", *variables)
-           .withColumn(radar_point_col, normal_id(F.col(radar_point_col)))
-           .withColumnRenamed(radar_point_col, point_col))
+           .withColumnRenamed(radar_point_col, "_raw"))
+    # ids in several notations are one point: per variable the value of the least notation stays
+    rhs = (rhs.groupBy(normal_id(F.col("_raw")).alias(point_col), "date")
+           .agg(F.lit(1).alias("_row"), *[first_by(v, "_raw").alias(v) for v in variables]).drop("_row"))
     if prefixes is not None:
         rhs = rhs.where(has_prefix(F.col(point_col), [p.upper() for p in prefixes]))
     lhs = _field_with_day(field, point_col, time_col)

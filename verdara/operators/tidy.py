@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 from verdara.functions.dates import split_name, tag_to_date
 
 
+def first_by(value: str, order: str | Column | None) -> Column:
+    """The first value that is not NULL in the order of the rows; without an order the least."""
+    if order is None:
+        return F.min(value)
+    place = F.col(f"`{order}`") if isinstance(order, str) else order
+    return F.min_by(value, F.when(F.col(value).isNotNull(), place))
+
+
 def dated_columns(columns: Sequence[str], point_col: str,
                   flexible: bool = True) -> list[tuple[str, str, dt.date]]:
     """(column, variable, date) of each value column whose date tag can be read."""
@@ -36,30 +44,34 @@ def tidy_long(wide: DataFrame, point_col: str, flexible: bool = True,
     return rows.dropna(subset=["val"]) if drop_null else rows
 
 
-def pivot_tidy(rows: DataFrame, point_col: str, variables: Sequence[str]) -> DataFrame:
+def pivot_tidy(rows: DataFrame, point_col: str, variables: Sequence[str],
+               order: str | None = None) -> DataFrame:
     """(point, date, one column per variable) from long rows.
 
-    Several values of one cell give the least, whatever the order of the rows.  The value list
-    is explicit, so no extra pass looks for the distinct variables.
+    Several values of one cell give the first in the order of the column ``order``, such as the
+    position that readers add; without it the least.  The value list is explicit, so no extra
+    pass looks for the distinct variables.
     """
     return (rows.where(F.col("val").isNotNull() & F.col("var_base").isin(list(variables)))
             .groupBy(point_col, "date")
             .pivot("var_base", list(variables))
-            .agg(F.min("val")))
+            .agg(first_by("val", order)))
 
 
 def tidy_wide(wide: DataFrame, point_col: str, flexible: bool = True,
-              unique_points: bool = False) -> DataFrame:
+              unique_points: bool = False, order: str | None = None) -> DataFrame:
     """(point, date, one column per variable); rows without any value vanish.
 
     Columns of one date are turned into one row at once, so the unpivot makes one
     row per date instead of one per cell.  ``unique_points=True`` states that a
     point has one input row; then nothing has to be grouped or shuffled.  Several columns of
-    one variable and date (tags in two notations) give the first that is not NULL; several
-    rows of a point give the least value.
+    one variable and date (tags in two notations) give the first that is not NULL.  Several
+    rows of a point give the first value in the order of the column ``order``, such as the
+    position that readers add, an earlier column before an earlier row; without it the least.
     """
     by_date: dict[dt.date, dict[str, list[str]]] = defaultdict(lambda: defaultdict(list))
-    for col, base, day in dated_columns(wide.columns, point_col, flexible):
+    named = [c for c in wide.columns if c != order]
+    for col, base, day in dated_columns(named, point_col, flexible):
         by_date[day][base].append(col)
     variables = sorted({v for cols in by_date.values() for v in cols})
     if not variables:
@@ -69,13 +81,29 @@ def tidy_wide(wide: DataFrame, point_col: str, flexible: bool = True,
         return F.coalesce(*[F.col(f"`{c}`").cast("double") for c in cols.get(var, [])],
                           F.lit(None).cast("double"))
 
+    def column_place(cols: dict[str, list[str]], var: str) -> Column:
+        """Which of the cell's columns holds its value."""
+        return F.coalesce(*[F.when(F.col(f"`{c}`").isNotNull(), F.lit(i))
+                            for i, c in enumerate(cols.get(var, []))], F.lit(0))
+
+    grouped = not unique_points
+    ordered = order is not None and grouped
+    several = {v for v in variables if any(len(c.get(v, [])) > 1 for c in by_date.values())} \
+        if ordered else set()
     flat = [x for day, cols in sorted(by_date.items())
-            for x in (F.lit(day), *[cell(cols, v) for v in variables])]
-    rows = wide.select(
-        point_col, F.stack(F.lit(len(by_date)), *flat).alias("date", *variables))
-    if not unique_points:
-        rows = rows.groupBy(point_col, "date").agg(
-            *[F.min(v).alias(v) for v in variables])
+            for x in (F.lit(day), *[cell(cols, v) for v in variables],
+                      *[column_place(cols, v) for v in sorted(several)])]
+    places = {v: f"_place{i}" for i, v in enumerate(sorted(several))}
+    carried = [F.col(f"`{order}`").alias("_order")] if ordered else []
+    rows = wide.select(point_col, *carried, F.stack(F.lit(len(by_date)), *flat).alias(
+        "date", *variables, *places.values()))
+    if grouped:
+        def first(v: str) -> Column:
+            if not ordered:
+                return first_by(v, None)
+            return first_by(v, F.struct(places[v], "_order") if v in places else F.col("_order"))
+
+        rows = rows.groupBy(point_col, "date").agg(*[first(v).alias(v) for v in variables])
     return rows.dropna(how="all", subset=variables)
 
 

@@ -66,6 +66,23 @@ def radar_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return widen(radar_tidy(spark, sf_dir), "user_id", RADAR_VARS, days)
 
 
+def radar_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, slot, variable_date…): up to three rows a point, with gaps, and a variable in two
+    notations of its dates."""
+    from verdara.operators.tidy import widen
+
+    events = (table(spark, sf_dir, "events").where("event_type <> 'purchase'")
+              .withColumn("user_id", F.col("user_id").cast("string"))
+              .withColumn("slot", F.pmod("event_id", F.lit(3)).cast("int"))
+              .withColumn("date", F.col("ts").cast("date")))
+    days = sorted(r[0] for r in events.select("date").distinct().collect())
+    tidy = (events.groupBy("user_id", "slot", "date").pivot("event_type", list(RADAR_VARS))
+            .agg(F.avg("value")).withColumn("point", F.struct("user_id", "slot")))
+    wide = widen(tidy, "point", RADAR_VARS, days)
+    again = [F.col(f"click_{d:%d%b%Y}").alias(f"error_{d:%Y%m%d}") for d in days]
+    return wide.select("point.user_id", "point.slot", *wide.columns[1:], *again)
+
+
 def order_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(l_orderkey, n_lines, sum_qty, avg_discount, sum_price, sum_charge): one row per order."""
     return (table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(

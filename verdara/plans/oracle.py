@@ -339,6 +339,8 @@ _PLAIN["dmy"] = "CAST(try_strptime(strftime(ts, '%d%m%Y'), '%Y%m%d') AS DATE)"
 
 _SQL: dict[str, str] = {
     "load_table": 'SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer',
+    "load_missing": """SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS c_acctbal,
+  c_custkey % 7 = 0 OR c_acctbal IS NULL AS missing FROM customer""",
     "write_roundtrip": f"WITH {PIX} SELECT raster, row, col, band, {_r('value')} AS value FROM pix",
     "preview": "SELECT event_id, user_id, event_type, value FROM events ORDER BY event_id LIMIT 5",
     "select_xy": "SELECT l_quantity, l_discount, l_tax, l_extendedprice FROM lineitem",
@@ -380,6 +382,22 @@ SELECT event_id, name,
   WHERE val IS NOT NULL""",
     "tidy_wide": f"""WITH {TIDY} SELECT user_id, date, {_r('click')} AS click,
   {_r('error')} AS error, {_r('signup')} AS signup, {_r('view')} AS view FROM tidy""",
+    "tidy_first_row": f"""WITH slots AS (
+  SELECT user_id, event_id % 3 AS slot, CAST(ts AS DATE) AS date, event_type, avg(value) AS val
+  FROM events WHERE event_type <> 'purchase' GROUP BY ALL),
+cells AS (
+  SELECT user_id, date, event_type AS v, 0 AS k, slot, val FROM slots
+  UNION ALL SELECT user_id, date, 'error', 1, slot, val FROM slots WHERE event_type = 'click'),
+firsts AS (SELECT user_id, date, v, arg_min(val, k * 3 + slot) AS val FROM cells GROUP BY ALL)
+SELECT user_id, date, {', '.join(f"round(max(val) FILTER (v = '{v}'), 6) AS {v}" for v in ('click', 'error', 'signup', 'view'))}
+FROM firsts GROUP BY user_id, date""",
+    "pivot_first_row": f"""SELECT user_id, CAST(ts AS DATE) AS date, {', '.join(
+        f"round(arg_min(value, event_id) FILTER (event_type = '{v}'), 6) AS {v}"
+        for v in ('click', 'error', 'signup', 'view'))}
+FROM events WHERE event_id % 5 <> 0 AND event_type <> 'purchase' AND value IS NOT NULL GROUP BY ALL""",
+    "align_two_notations": f"""WITH {FIELD}, {TIDY}, {_nearest('tidy', 'r.view, r.click')}
+SELECT event_id, user_id, day, {_r('value')} AS value, sar_date, CAST(sar_date - day AS INT) AS day_diff,
+  {_r('view')} AS view, {_r('click')} AS click FROM found""",
     "align_exact": f"""WITH {FIELD}, {VIEWS} SELECT event_id, f.user_id, day, {_r('value')} AS value,
   {_r('view')} AS view FROM field f LEFT JOIN views v ON v.user_id = f.user_id AND v.date = f.day""",
     "align_nearest": f"""WITH {FIELD}, {VIEWS}, {_nearest('views', 'r.view')}

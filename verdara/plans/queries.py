@@ -53,6 +53,16 @@ def load_table(spark, sf_dir):
     return tables.read_csv(spark, path).withColumn("c_custkey", F.col("c_custkey").cast("bigint"))
 
 
+@query
+def load_missing(spark, sf_dir):
+    """NaN cells of a file are missing values."""
+    path = src.scratch_dir(spark) + "/customer"
+    nan = F.when(F.col("c_custkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))
+    tables.write_csv(table(spark, sf_dir, "customer").select("c_custkey", nan.alias("c_acctbal")), path)
+    rows = tables.read_csv(spark, path, "c_custkey bigint, c_acctbal double")
+    return rows.withColumn("missing", F.col("c_acctbal").isNull())
+
+
 @query
 def write_roundtrip(spark, sf_dir):
     path = src.scratch_dir(spark) + "/pixels"
@@ -194,6 +204,24 @@ def tidy_wide(spark, sf_dir):
     return rounded(_with_key(tidy.tidy_wide(src.radar_wide(spark, sf_dir), "user_id")))
 
 
+@query
+def tidy_first_row(spark, sf_dir):
+    """Several rows a point: the first value in the order of the files, column before row."""
+    path = src.scratch_dir(spark) + "/radar"
+    tables.write_parquet(src.radar_slots(spark, sf_dir).orderBy("slot", "user_id"), path)
+    wide = tables.read_parquet(spark, path, position="_place").drop("slot")
+    return rounded(_with_key(tidy.tidy_wide(wide, "user_id", order="_place")))
+
+
+@query
+def pivot_first_row(spark, sf_dir):
+    """Several long rows a cell: the first by event."""
+    rows = table(spark, sf_dir, "events").select(
+        "user_id", F.col("event_type").alias("var_base"), F.col("ts").cast("date").alias("date"),
+        F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("val"), "event_id")
+    return rounded(tidy.pivot_tidy(rows, "user_id", src.RADAR_VARS, order="event_id"))
+
+
 def _align(spark, sf_dir, radar_df, **kw):
     out = align.align(src.field_rows(spark, sf_dir), radar_df, "user_id", "ts", "user_id", **kw)
     return rounded(_with_key(out).drop("ts"))
@@ -205,6 +233,17 @@ def align_exact(spark, sf_dir):
         "event_id", "user_id", "day", "value", "view")
 
 
+@query
+def align_two_notations(spark, sf_dir):
+    """Radar points written in two ways are one point; every field row stays once."""
+    long = src.radar_tidy(spark, sf_dir)
+    radar_df = long.select("user_id", "date", "view", F.lit(None).cast("double").alias("click")).unionByName(
+        long.select(F.concat(F.lit(" "), "user_id", F.lit(" ")).alias("user_id"), "date",
+                    F.lit(None).cast("double").alias("view"), "click"))
+    return _align(spark, sf_dir, radar_df).select("event_id", "user_id", "day", "value", "sar_date",
+                                                  "day_diff", "view", "click")
+
+
 @query
 def align_nearest(spark, sf_dir):
     return _align(spark, sf_dir, src.radar_views(spark, sf_dir)).select(

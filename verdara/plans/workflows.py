@@ -35,12 +35,16 @@ def align_wide(field: DataFrame, wide: DataFrame, point_col: str | None = None,
                time_col: str | None = None, radar_point_col: str | None = None,
                keep: Sequence[str] | None = None, prefixes: Sequence[str] | None = None,
                tolerance_days: int | None = 2, probe_col: str | None = None,
-               ) -> tuple[DataFrame, DataFrame]:
-    """Aligned rows and their counters from a wide radar table."""
+               order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Aligned rows and their counters from a wide radar table.
+
+    ``order`` names the column with the position of a row in the files; of several rows of a
+    point the first value counts.
+    """
     radar_point_col = radar_point_col or align.detect_point_col(wide.columns)
     # ids first: rows whose ids differ in notation only belong to one point
     wide = wide.withColumn(radar_point_col, normal_id(F.col(radar_point_col)))
-    rows = align.align(field, tidy.tidy_wide(wide, radar_point_col), point_col, time_col,
+    rows = align.align(field, tidy.tidy_wide(wide, radar_point_col, order=order), point_col, time_col,
                        radar_point_col, keep, prefixes, tolerance_days)
     return rows, align.align_stats(rows, probe_col)
 

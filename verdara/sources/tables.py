@@ -9,26 +9,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _stripped(df: DataFrame) -> DataFrame:
-    return df.toDF(*[c.strip() for c in df.columns])
+def _read(df: DataFrame, position: str | None) -> DataFrame:
+    """Names without blanks around them, NaN as NULL, and the place of each row if wanted."""
+    names = [c.strip() for c in df.columns]
+    if position is None:
+        return nan_to_null(df.toDF(*names))
+    place = F.struct(F.col("_metadata.file_path").alias("file"),
+                     F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
+    return nan_to_null(df.select(*[F.col(f"`{c}`") for c in df.columns], place.alias(position))
+                       .toDF(*names, position))
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str],
-             schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header; blanks around header names are cut, empty cells are NULL.
+             schema: T.StructType | str | None = None, position: str | None = None) -> DataFrame:
+    """CSV with a header; blanks around header names are cut, empty and NaN cells are NULL.
 
     Without a schema the types are inferred, which reads the files twice; large
-    inputs should come with a schema.
+    inputs should come with a schema.  ``position`` names a column that orders the rows as they
+    stand in the files, by path, block and row.
     """
     reader = spark.read.option("header", True).option("nullValue", "")
     if schema is None:
-        return _stripped(reader.option("inferSchema", True).csv(path))
-    return _stripped(reader.schema(schema).csv(path))
+        return _read(reader.option("inferSchema", True).csv(path), position)
+    return _read(reader.schema(schema).csv(path), position)
 
 
-def read_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str | Sequence[str],
+                 position: str | None = None) -> DataFrame:
     paths = [path] if isinstance(path, str) else list(path)
-    return _stripped(spark.read.parquet(*paths))
+    return _read(spark.read.parquet(*paths), position)
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
