@@ -222,3 +222,38 @@ def test_null_groups_and_nan(spark):
     assert (stats[None]["q25"], stats[None]["q50"], stats[None]["q75"]) == (3.25, 3.5, 3.75)
     box = {r["g"]: r for r in describe.box_stats(df, ["g"], ["v"]).collect()}
     assert box[None]["n_outliers"] == 0 and box[None]["whisker_high"] == 4.0 and box["a"]["q50"] == 1.0
+
+
+def test_bootstrap_band_against_brute_force(spark):
+    import datetime as dt
+    import hashlib
+    import math
+
+    r = np.random.default_rng(9)
+    rows = [(i, dt.date(2025, 1 + i % 2, 1 + i % 20), float(v) if i % 11 else None, "g" if i % 3 else None)
+            for i, v in enumerate(r.gamma(2.0, size=600))]
+    df = spark.createDataFrame(rows, "id long, day date, v double, g string").repartition(5)
+    got = {(x["month"].month, x["g"]): x for x in describe.bootstrap_band(df, "day", "v", ["id"], ["g"], 100, seed=3).collect()}
+
+    def weight(i, b):
+        u = int(hashlib.md5(f"3:{i}:{b // 4}".encode()).hexdigest()[8 * (b % 4):8 * (b % 4) + 8], 16) / 2 ** 32
+        k, p, total = 0, math.exp(-1), math.exp(-1)
+        while u >= total and k < 11:
+            k += 1
+            p /= k
+            total += p
+        return k
+
+    assert set(got) == {(1, "g"), (2, "g"), (1, None), (2, None)}
+    for (month, g), x in got.items():
+        own = [(i, v) for i, d, v, h in rows if d.month == month and h == g and v is not None]
+        means = []
+        for b in range(100):
+            w = np.array([weight(i, b) for i, _ in own])
+            means.append((w @ np.array([v for _, v in own])) / w.sum())
+        low, high = np.quantile(means, [0.025, 0.975])
+        assert (x["n"], x["low"], x["high"]) == (len(own), pytest.approx(low), pytest.approx(high))
+        half = 1.96 * np.std([v for _, v in own], ddof=1) / np.sqrt(len(own))
+        assert x["mean"] - 2 * half < x["low"] < x["mean"] < x["high"] < x["mean"] + 2 * half
+    with pytest.raises(ValueError):
+        describe.bootstrap_band(df, "day", "v", ["id"], resamples=30)

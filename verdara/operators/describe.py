@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +52,10 @@ def box_stats(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
                 F.count_if(~inside).alias("n_outliers")))
 
 
+#: Cumulative probabilities of the Poisson distribution of mean 1; more is drawn once in 1e9 times.
+POISSON_STEPS = tuple(accumulate(math.exp(-1) / math.factorial(k) for k in range(12)))
+
+
 def monthly_mean(df: DataFrame, date_col: str, col: str,
                  keys: Sequence[str] = ()) -> DataFrame:
     """(month, keys, n, mean, se): monthly mean and its standard error s/√n."""
@@ -58,6 +64,44 @@ def monthly_mean(df: DataFrame, date_col: str, col: str,
                  (F.stddev_samp(col) / F.sqrt(F.nullif(F.count(col), F.lit(0)))).alias("se")))
 
 
+def bootstrap_band(df: DataFrame, date_col: str, col: str, row_key: Sequence[str],
+                   keys: Sequence[str] = (), resamples: int = 200, level: float = 0.95,
+                   seed: int = 42) -> DataFrame:
+    """(month, keys, n, mean, low, high): monthly mean with its bootstrap interval.
+
+    Drawing n of n rows with replacement gives each row about a Poisson(1) number of places, so
+    every row draws its own number for each resample from a hash of ``row_key``, the resample and
+    the seed.  A resample is one weighted mean: all of them come from one grouped aggregation with
+    map-side combine, and the result does not depend on how rows are spread.
+    """
+    if resamples % 4 or resamples <= 0:
+        raise ValueError("resamples must be a multiple of 4: one hash serves four of them")
+    month = month_start(F.col(date_col)).alias("month")
+    rows = df.where(F.col(col).isNotNull()).select(month, *keys, F.col(col).cast("double").alias("_x"), *[
+        F.col(k).alias(f"_k{i}") for i, k in enumerate(row_key)])
+    hashed = rows.select("month", *keys, "_x", F.explode(F.sequence(F.lit(0), F.lit(resamples // 4 - 1))).alias("_j"),
+                         *[f"_k{i}" for i in range(len(row_key))])
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(f"_k{i}").cast("string") for i in range(len(row_key))],
+                               F.col("_j").cast("string")))
+    hashed = hashed.withColumn("_h", digest)
+
+    def drawn(i: int):
+        u = F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("double") / F.lit(2.0 ** 32)
+        return sum(((u >= F.lit(t)).cast("double") for t in POISSON_STEPS), F.lit(0.0))
+
+    # four weighted sums to a group keep the rows of a resample from being written out
+    sums = hashed.groupBy("month", *keys, "_j").agg(*[a for i in range(4) for a in (
+        F.sum(drawn(i) * F.col("_x")).alias(f"_s{i}"), F.sum(drawn(i)).alias(f"_w{i}"))])
+    means = sums.select("month", *keys, F.explode(F.array(*[
+        F.try_divide(f"_s{i}", f"_w{i}") for i in range(4)])).alias("_m"))
+    tail = (1 - level) / 2
+    band = means.groupBy("month", *keys).agg(
+        F.percentile("_m", F.lit(tail)).alias("low"), F.percentile("_m", F.lit(1 - tail)).alias("high"))
+    mean = rows.groupBy("month", *keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_x").alias("mean"))
+    side, same = null_safe(mean, band, ["month", *keys])
+    return mean.join(side, same).select("month", *keys, "n", "mean", "low", "high")
+
+
 def scatter_pairs(df: DataFrame, id_cols: Sequence[str], veg_cols: Sequence[str],
                   sar_cols: Sequence[str]) -> DataFrame:
     """(ids, veg, sar, x, y): one row per record, target and radar variable."""

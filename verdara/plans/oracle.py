@@ -6,6 +6,7 @@ closed-form regressions), so that a shared mistake is unlikely.
 
 from __future__ import annotations
 
+from verdara.operators.describe import POISSON_STEPS
 from verdara.plans.inputs import (
     DECOMPOSITION_BANDS, INDEX_BANDS, INTENSITY_BANDS, NODATA)
 from verdara.plans.queries import ALPHA_LASSO, ALPHA_RIDGE, H_GRID, H_PREDICT, PARCELS
@@ -528,6 +529,17 @@ FROM frame LEFT JOIN pred USING (raster, row, col)""",
   count(l_quantity) AS n, {_r('avg(l_quantity)', 4)} AS mean,
   {_r('stddev_samp(l_quantity) / sqrt(count(l_quantity))', 4)} AS se
 FROM lineitem GROUP BY ALL""",
+    "bootstrap_band": f"""WITH j AS (
+  SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderstatus, o_totalprice AS x,
+    k * 4 + i AS b, ('0x' || substr(md5('42:' || o_orderkey || ':' || k), CAST(8 * i + 1 AS INT), 8))::BIGINT / 4294967296.0 AS u
+  FROM orders, range(50) a(k), range(4) c(i) WHERE o_totalprice IS NOT NULL),
+means AS (SELECT month, o_orderstatus, b, sum(w * x) / nullif(sum(w), 0) AS m FROM (
+  SELECT *, {' + '.join(f'(u >= {t!r}::DOUBLE)::INT' for t in POISSON_STEPS)} AS w FROM j) GROUP BY ALL),
+band AS (SELECT month, o_orderstatus, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high
+  FROM means GROUP BY ALL)
+SELECT month, o_orderstatus, n, round(mean, 2) AS mean, round(low, 2) AS low, round(high, 2) AS high
+FROM band JOIN (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderstatus, count(o_totalprice) AS n,
+  avg(o_totalprice) AS mean FROM orders GROUP BY ALL) USING (month, o_orderstatus)""",
     "pearson_pairs": f"WITH {ORDERS} " + _pairs(
         ("sum_price", "sum_charge"), REGRESSORS, lambda t, f: f"corr({t}, {f})", "o"),
     "spearman_pairs": f"WITH {ORDERS}, rk AS (SELECT " + ", ".join(

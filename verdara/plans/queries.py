@@ -468,6 +468,12 @@ def monthly_mean(spark, sf_dir):
         table(spark, sf_dir, "lineitem"), "l_shipdate", "l_quantity", ["l_returnflag"]), 4)
 
 
+@query
+def bootstrap_band(spark, sf_dir):
+    return rounded(describe.bootstrap_band(table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice",
+                                           ["o_orderkey"], ["o_orderstatus"]), 2)
+
+
 @query
 def pearson_pairs(spark, sf_dir):
     return rounded(correlate.pearson(src.order_level(spark, sf_dir),
