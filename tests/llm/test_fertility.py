@@ -82,6 +82,17 @@ def test_rejects_junk_and_keeps_clean(spark):
     assert all(kept[i] for i in range(300)) and not any(kept[i] for i in range(300, 305))
 
 
+def test_copies_do_not_narrow_a_band_to_nothing(spark):
+    rng = np.random.default_rng(1)
+    vocabulary = ["".join(rng.choice(list("abcdefghilmnoprst"), rng.integers(2, 8))) for _ in range(400)]
+    texts = [" ".join(rng.choice(vocabulary, 150)) for _ in range(16)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts[:1] * 60 + texts[1:])],
+                                 "doc_id long, text string, lang string")
+    measured = fertility.measure(docs).cache()
+    judged = fertility.judge(measured, fertility.fit_bands(measured)).collect()
+    assert all(r["kept"] for r in judged if r["doc_id"] < 60) and sum(r["kept"] for r in judged) >= 70
+
+
 def test_edge_cases(edge_docs, no_docs):
     measured = fertility.measure(edge_docs).cache()
     rows = fertility.judge(measured, fertility.fit_bands(measured)).collect()

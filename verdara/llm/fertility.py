@@ -36,6 +36,8 @@ _SCHEMA = ", ".join(f"{m} {'long' if m.startswith(('n_', 'word')) else 'double'}
 _GROUPS = 1000
 #: A share of byte-fallback pieces up to this never rejects a text.
 MIN_BYTE_SHARE = 0.05
+#: A band is at least as wide as one whose quartiles lie so far apart.
+LEAST_RANGE = {"f": 0.1, "b": 0.002, "e": 0.1}
 
 
 def repeat_words(words: list) -> int:
@@ -85,6 +87,12 @@ def base_failed() -> Column:
             | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def _judged() -> dict[str, Column]:
+    """The values that bands are fitted on and texts are judged by, rounded alike."""
+    return {"f": F.round("chars_per_token", 2), "b": F.round("byte_share", 3),
+            "e": F.round("entropy", 2)}
+
+
 def fit_bands(measured: DataFrame, lang: str = "lang") -> DataFrame:
     """Quartiles per language: (_lang, tokens, f1, f3, b1, b3, e1, e3); _lang NULL: all others.
 
@@ -92,8 +100,7 @@ def fit_bands(measured: DataFrame, lang: str = "lang") -> DataFrame:
     """
     key = F.coalesce(F.col(f"`{lang}`"), F.lit("")) if lang in measured.columns else F.lit("")
     rows = measured.where(~base_failed()).select(
-        key.alias("_lang"), "n_tokens", F.round("chars_per_token", 2).alias("f"),
-        F.round("byte_share", 3).alias("b"), F.round("entropy", 2).alias("e"))
+        key.alias("_lang"), "n_tokens", *[v.alias(c) for c, v in _judged().items()])
     quarters = F.array(F.lit(0.25), F.lit(0.75))
     found = rows.cube("_lang").agg(
         F.count(F.lit(1)).alias("n"), F.grouping("_lang").alias("pooled"),
@@ -124,11 +131,12 @@ def judge(measured: DataFrame, bands: DataFrame, lang: str = "lang",
     wide = spread * F.greatest(F.lit(1.0), F.sqrt(at["tokens"] / F.col("n_tokens")))
 
     def reach(c: str) -> Column:
-        return wide * (at[f"{c}3"] - at[f"{c}1"])
+        return wide * F.greatest(at[f"{c}3"] - at[f"{c}1"], F.lit(LEAST_RANGE[c]))
 
-    inside = (F.col("chars_per_token").between(at["f1"] - reach("f"), at["f3"] + reach("f"))
-              & (F.col("byte_share") <= F.greatest(at["b3"] + reach("b"), F.lit(MIN_BYTE_SHARE)))
-              & (F.col("entropy") >= at["e1"] - reach("e")))
+    own_value = _judged()
+    inside = (own_value["f"].between(at["f1"] - reach("f"), at["f3"] + reach("f"))
+              & (own_value["b"] <= F.greatest(at["b3"] + reach("b"), F.lit(MIN_BYTE_SHARE)))
+              & (own_value["e"] >= at["e1"] - reach("e")))
     joined = measured.withColumn("_key", key).join(
         F.broadcast(own), F.col("_key") == F.col("_lang"), "left")
     verdict = F.struct(base_failed().alias("base_failed"), (~base_failed() & inside).alias("kept"))
