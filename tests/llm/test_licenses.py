@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import textwrap
 
 from verdara.llm import licenses as L
 
@@ -15,7 +16,21 @@ def brute_matches(text, templates, threshold):
     blocks = (text or "").split("\n")
     if re.search(r"\n[ \t\r]*\n", text or ""):
         blocks = blocks + [p for p in re.split(r"\n[\x20\t\r]*\n[\x20\t\n\f\r]*", text) if "\n" in p]
+    lines = [ws for ws in map(split, (text or "").split("\n")) if ws]
     out = {}
+    for i, first in enumerate(lines):
+        for label, t in templates:
+            ws, own, after = set(split(t)), set(first), 0
+            if not ws & own:
+                continue
+            for line in lines[i + 1:]:
+                if after >= len(split(t)):
+                    break
+                own |= set(line)
+                after += len(line)
+            hit = len(ws & own)
+            if hit >= math.ceil(threshold * len(ws) - 1e-9):
+                out.setdefault(("run", i), []).append((hit / len(ws), len(ws), label))
     for b, block in enumerate(blocks):
         own = set(split(block))
         for label, t in templates:
@@ -47,7 +62,7 @@ def texts():
             ws[r.randrange(len(ws))] = r.choice(["word", "the", "license", ""])
         if r.random() < 0.5:
             r.shuffle(ws)
-        sep = r.choice([" ", " ", "\n", "\n\n"])
+        sep = r.choice([" ", " ", "\n", "\n\n", "\n# "])
         yield "\n".join([r.choice(["intro text", "a\n", "1.0"]), sep.join(ws), r.choice(["", "end of it"])])
 
 
@@ -59,6 +74,17 @@ def test_matches_brute_force(spark):
         assert got[i] == brute(t), repr(t)
 
 
+def test_wrapped_and_commented_notices(spark):
+    grant = dict(L.TEMPLATES[1:2])["mit"]
+    wrapped = textwrap.wrap("Some words before it. " + grant, 40)
+    many = ["filler line of words"] * (3 * L.CHUNK) + wrapped + ["more"] * 200
+    every = ["\n".join(wrapped), "\n".join("# " + x for x in wrapped), "\n\n".join(wrapped), "\n".join(many),
+             "\n".join(["\n".join(grant.split()[:10]), *["other words"] * 100, *grant.split()[10:20]])]
+    docs = spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in L.scan(docs).collect()}
+    assert got == {0: ("mit", 1.0), 1: ("mit", 1.0), 2: ("mit", 1.0), 3: ("mit", 1.0), 4: ("", 0.0)}
+
+
 def test_random_sets_lose_no_match(spark):
     r = random.Random(5)
     words = [f"w{i}" for i in range(30)]

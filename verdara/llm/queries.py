@@ -110,7 +110,7 @@ def _license_sql(threshold: float = 0.8) -> str:
     def quoted(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    templates = ", ".join(f"({quoted(label)}, {quoted(t)})" for label, t in licenses.TEMPLATES)
+    templates = ", ".join(f"({i}, {quoted(label)}, {quoted(t)})" for i, (label, t) in enumerate(licenses.TEMPLATES))
     places = ", ".join(
         f"list_transform(list_filter(range(1, len(ws) + 1), lambda i: "
         + " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(phrase))
@@ -119,7 +119,23 @@ def _license_sql(threshold: float = 0.8) -> str:
     return f"""WITH docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
 tok AS (SELECT id, doc_id, text, {_words_sql('text')} AS ws FROM docs),
 base AS (SELECT id, doc_id, len(ws) AS n_words, flatten([{places}]) AS pl FROM tok),
-tpl AS (SELECT label, list_distinct({_words_sql('t')}) AS tw FROM (VALUES {templates}) v(label, t)),
+tpl AS (SELECT no, label, list_distinct(aw) AS tw, len(aw) AS length
+  FROM (SELECT no, label, {_words_sql('t')} AS aw FROM (VALUES {templates}) v(no, label, t))),
+line AS (
+  SELECT id, k, bw, CAST(sum(len(bw)) OVER (PARTITION BY id ORDER BY k) AS BIGINT) AS upto,
+    upto - len(bw) AS before
+  FROM (SELECT id, k, {_words_sql('b')} AS bw FROM (
+    SELECT id, unnest(string_split(text, chr(10))) AS b, generate_subscripts(string_split(text, chr(10)), 1) AS k
+    FROM docs))),
+tplword AS (SELECT no, label, len(tw) AS n, length, unnest(tw) AS w FROM tpl),
+occ AS (
+  SELECT id, k, upto, before, no, label, n, length, w
+  FROM (SELECT id, k, upto, before, unnest(list_distinct(bw)) AS w FROM line) JOIN tplword USING (w)),
+run AS (
+  SELECT s.id, s.k, s.no, s.label, s.n, count(DISTINCT o.w) / s.n AS c
+  FROM (SELECT DISTINCT id, k, upto, no, label, n, length FROM occ) s JOIN occ o
+    ON s.id = o.id AND s.no = o.no AND (o.k = s.k OR o.k > s.k AND o.before - s.upto < s.length)
+  GROUP BY s.id, s.k, s.no, s.label, s.n HAVING count(DISTINCT o.w) >= ceil({threshold} * s.n - 1e-9)),
 block AS (
   SELECT id, unnest(string_split(text, chr(10))) AS b, generate_subscripts(string_split(text, chr(10)), 1) AS k
   FROM docs
@@ -131,7 +147,8 @@ hit AS (
   SELECT id, k, label, len(tw) AS n, len(list_intersect(bw, tw)) / len(tw) AS c
   FROM (SELECT id, k, list_distinct({_words_sql('b')}) AS bw FROM block), tpl
   WHERE len(list_intersect(bw, tw)) >= ceil({threshold} * len(tw) - 1e-9)),
-best AS (SELECT id, max({{'c': c, 'n': n, 'label': label}}) AS m FROM hit GROUP BY id, k),
+best AS (SELECT id, max({{'c': c, 'n': n, 'label': label}}) AS m FROM hit GROUP BY id, k
+  UNION ALL SELECT id, max({{'c': c, 'n': n, 'label': label}}) FROM run GROUP BY id, k),
 found AS (SELECT id, list(m.label) AS labels, max(m.c) AS c FROM best GROUP BY id)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(pl) AS BIGINT) AS n_base,
   list_min(list_transform(pl, lambda x: x.pos)) AS first_word, list_max(list_transform(pl, lambda x: x.pos)) AS last_word,
