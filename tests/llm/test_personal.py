@@ -91,12 +91,50 @@ def test_one_clear_mention_labels_fifty(field):
     assert len(graph.edges) == 50 and len(graph.where) == 51
     pair = field.pair[P.SKIP]  # a star is a tree: sums over the shared node are exact
     up = np.logaddexp.reduce(field.scores(graph)[:50, :, None] + pair, axis=1)
-    rest = up.sum(axis=0) - up
+    rest = up.sum(axis=0) - up + field.scores(graph)[50]
     want = field.scores(graph)[:50] + np.logaddexp.reduce(pair + rest[:, None, :], axis=2)
     want = np.exp(want - np.logaddexp.reduce(want, axis=1)[:, None])
     assert field.marginals(graph)[0][:50] == pytest.approx(want, abs=1e-4)
 
 
+def test_repetition_alone_is_no_evidence(field):
+    commit = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    for text in (f"deploy {commit} and {commit} or {commit}", f"word {commit} word " * 50,
+                 f"commit {commit}" + f" and later word {commit} again" * 49, f"merge {commit}"):
+        assert P.field_spans([text], field) == [[]], text
+    graphs = []
+    for n in (2, 50):  # mentions with nothing near them leave the shared belief as it is
+        graph = P.Graph()
+        graph.add(0, f"some plain words {commit} here and there " * n)
+        graphs.append(field.marginals(graph)[0][-1])
+    assert graphs[0] == pytest.approx(graphs[1], abs=1e-4)
+    assert np.ptp(np.diag(field.pair[P.SKIP])) < 1e-9 and not field.pair[P.SKIP][~np.eye(6, dtype=bool)].any()
+
+
+def test_clear_single_cases(field):
+    for text, want in (("please call 415-555-2671 today", ["phone"]), ("host 192.168.1.300 is wrong", []),
+                       ("on 2024-05-01 at 12.50", []), ('secret: "9233a8ecf7c5b09fe5949719b6b82bc4"', ["secret"])):
+        assert [k for _, k, _ in P.field_spans([text], field)[0]] == want, text
+
+
+def test_loopy_marginals_are_close_to_exact(field):
+    graph = P.Graph()
+    graph.add(0, "tel 555-5351 2001 and 555-5351 2001")  # two repeated neighbours make a loop
+    score, k, n = field.scores(graph), len(P.LABELS), len(graph.where)
+    assert n == 6 and len(graph.edges) == 6
+    total = np.zeros((k,) * n)
+    for i in range(n):
+        total = total + score[i].reshape([k if j == i else 1 for j in range(n)])
+    for a, b, kind in graph.edges:
+        pair = field.pair[kind] if a < b else field.pair[kind].T
+        total = total + pair.reshape([k if j in (a, b) else 1 for j in range(n)])
+    joint = np.exp(total - total.max())
+    joint /= joint.sum()
+    want = np.array([joint.sum(axis=tuple(j for j in range(n) if j != i)) for i in range(n)])
+    got = field.marginals(graph)[0]
+    assert (got.argmax(axis=1) == want.argmax(axis=1)).all() and np.abs(got - want).max() < 0.1
+
+
 def test_messages_do_not_depend_on_the_batch(field):
     texts = [t for t, _ in P.labelled_texts(20, seed=5)]
     assert P.field_spans(texts, field) == [P.field_spans([t], field)[0] for t in texts]

@@ -5,7 +5,9 @@ that can be personal data at all (those with a digit or an at sign; every other
 "none") and labels them email, ip, card, phone, secret or none.  Neighbouring tokens share chain
 potentials.  Equal or similar tokens anywhere in the document (the same letters and digits)
 share skip potentials, each with one node for all of them, so one clear mention decides the unclear
-ones however many there are.  The graph has loops; sum-product messages are passed over the edges
+ones however many there are.  The shared node holds what the token itself tells, counted once;
+mentions hold what stands near them.  Skip potentials reward equal labels alike, whatever the
+label, so a mention with nothing near it carries labels and never adds evidence.  The graph has loops; sum-product messages are passed over the edges
 of a batch of documents until those of a document stand still.  Tokens with a marginal of at least THRESHOLD for a label
 become spans unless they touch a base span.
 
@@ -113,11 +115,11 @@ _HINTS = {"secret": {"token", "key", "secret", "password", "passwd", "apikey", "
                      "serial", "ticket"}}
 _HINT_OF = {w: k for k, ws in _HINTS.items() for w in ws}
 _SHAPES = [
-    ("quad", r"\d{1,3}(\.\d{1,3}){3}(:\d+)?"), ("at", r"\S+@\S+\.\S+"),
+    ("quad", r"(25[0-5]|2[0-4]\d|[01]?\d?\d)(\.(25[0-5]|2[0-4]\d|[01]?\d?\d)){3}(:\d+)?"), ("at", r"\S+@\S+\.\S+"),
     ("at_word", r"\S+[\[({]at[\])}]\S+"), ("hex", r"(?=.*\d)(?=.*[a-fA-F])[0-9a-fA-F]{24,}"),
     ("mixed", r"(?=.*\d)(?=.*[A-Za-z])[A-Za-z0-9_+/=-]{20,}"), ("plus", r"\+\d[\d().-]*"),
-    ("area", r"\(\d{2,5}\)"), ("dashed", r"\d{2,4}([-.]\d{2,4}){1,3}"), ("date", r"\d{4}-\d\d-\d\d"),
-    ("decimal", r"\d+[.,]\d+"), ("time", r"\d\d?:\d\d(:\d\d)?"), ("four", r"\d{4}"),
+    ("area", r"\(\d{2,5}\)"), ("date", r"\d{4}-\d\d-\d\d"), ("decimal", r"\d+[.,]\d+"),
+    ("line", r"\d{3}[-.]\d{3}[-.]\d{4}"), ("dashed", r"\d{2,4}([-.]\d{2,4}){1,3}"), ("time", r"\d\d?:\d\d(:\d\d)?"), ("four", r"\d{4}"),
     ("short", r"\d{1,3}"), ("middle", r"\d{5,9}"), ("ten", r"\d{10,12}"), ("long", r"\d{13,19}"),
     ("huge", r"\d{20,}")]
 _SHAPES = [(n, re.compile(p)) for n, p in _SHAPES]
@@ -125,13 +127,14 @@ FEATURES = (["bias", "luhn"] + [n for n, _ in _SHAPES] + [f"near_{k}" for k in _
             + [f"near_secret_{n}" for n in ("hex", "mixed")]
             + [f"near_hash_{n}" for n in ("hex", "mixed")] + ["other"])
 _FEATURE = {f: i for i, f in enumerate(FEATURES)}
+_OWN = {i for f, i in _FEATURE.items() if not f.startswith("near_")}  # told by the token itself
 CHAIN, SKIP = 0, 1
 
 
 class Graph:
     """Candidate tokens of some documents with their edges.
 
-    All equal mentions of a document are linked to one shared node, without features or a place.
+    All equal mentions of a document are linked to one shared node without a place.
     """
 
     def __init__(self):
@@ -155,12 +158,16 @@ class Graph:
             self.where.append((doc, m.start() + core.start(), m.start() + core.end()))
             if at == n - 1:
                 self.edges.append((last, node, CHAIN))
-            seen.setdefault(re.sub(r"[^0-9a-z]", "", core[0].lower()), []).append(node)
+            key = re.sub(r"[^0-9a-z]", "", core[0].lower()) or core[0]
+            seen.setdefault(key, []).append(node)
             last, at, near = node, n, [*near[-2:], token]
         for mentions in seen.values():
             if len(mentions) > 1:
                 self.edges += [(m, len(self.where), SKIP) for m in mentions]
-                self.features.append([])
+                own = {f for m in mentions for f in self.features[m] if f in _OWN}
+                self.features.append(sorted(own))
+                for m in mentions:
+                    self.features[m] = [f for f in self.features[m] if f not in _OWN]
                 self.where.append((doc, -1, -1))
 
 
@@ -183,9 +190,10 @@ class Field:
 
     def scores(self, graph: Graph) -> np.ndarray:
         n = np.array([len(f) for f in graph.features])
-        flat = np.array([i for f in graph.features for i in f])
+        flat = np.array([i for f in graph.features for i in f], int)
         out, own = np.zeros((len(n), len(LABELS))), n > 0
-        out[own] = np.add.reduceat(self.unary[flat], (np.cumsum(n) - n)[own], axis=0)
+        if own.any():
+            out[own] = np.add.reduceat(self.unary[flat], (np.cumsum(n) - n)[own], axis=0)
         return out
 
     def marginals(self, graph: Graph) -> tuple[np.ndarray, np.ndarray]:
@@ -257,6 +265,8 @@ def fit(texts: list[tuple[str, list[tuple[int, str, int]]]], rounds: int = 150,
         expected = np.zeros_like(seen)
         np.add.at(expected, edges[:, 2], joint)
         step, step_p = step / len(n) - decay * field.unary, (seen - expected) / len(n) - decay * field.pair
+        gain = np.trace(seen[SKIP] - expected[SKIP]) / seen[SKIP].sum()
+        step_p[SKIP] = np.eye(len(LABELS)) * gain  # one weight for equal labels, free to grow
         speed_u, speed_p = 0.9 * speed_u + step, 0.9 * speed_p + step_p
         field.unary += rate * 5 * speed_u
         field.pair += rate * 5 * speed_p
@@ -291,6 +301,8 @@ def labelled_texts(count: int = TRAINING_TEXTS, seed: int = 7) -> list[tuple]:
     other = [lambda: str(r.randint(1900, 2030)), lambda: digits(r.randint(1, 3)),
              lambda: f"{r.randint(1900, 2030)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}",
              lambda: f"{digits(2)}.{digits(2)}", lambda: f"{digits(2)}:{digits(2)}",
+             lambda: r.choice(["", "deploy "]) + hexes(r.choice([32, 40])),
+             lambda: "host " + ".".join(["192", digits(2), digits(1), str(r.randint(256, 999))]),
              lambda: "order " + digits(r.randint(5, 12)), lambda: "invoice " + digits(16),
              lambda: "commit " + hexes(40), lambda: "sha256 " + hexes(64), lambda: digits(22),
              lambda: "isbn 978-" + digits(1) + "-" + digits(4) + "-" + digits(4),
@@ -327,7 +339,8 @@ def labelled_texts(count: int = TRAINING_TEXTS, seed: int = 7) -> list[tuple]:
             elif draw < 0.6 and again:
                 put(*r.choice(again))
             elif draw < 0.9:
-                put(r.choice(other)())
+                put(value := r.choice(other)())
+                again.append((value.split()[-1], None))
         out.append((" ".join(parts), spans))
     return out
 
