@@ -202,7 +202,7 @@ def test_trees(spark, data, tmp_path):
 
 
 def test_search_parameters():
-    for bad in ({"max_depth": None}, {"max_depth": 31}, {"min_samples_split": 4}):
+    for bad in ({"max_depth": None}, {"max_depth": 31}, {"max_leaf_nodes": 4}):
         with pytest.raises(ValueError):
             trees.forest("y", **bad)
     assert trees.spark_value("max_features", None) == "all"

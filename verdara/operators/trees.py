@@ -20,11 +20,13 @@ from verdara.operators.linear import FEATURES, assembler, scaling_stage
 from verdara.operators.ordered import medians
 from verdara.operators.prep import Scaling, contiguous_folds
 from verdara.operators.reuse import held
+from verdara.operators.split_forest import SplitForestRegressor
 
 # Search grids and the Spark parameter each name maps to.
 FOREST_GRID = {
     "n_estimators": list(range(100, 1500, 100)),
     "max_depth": list(range(10, 31, 5)),
+    "min_samples_split": list(range(2, 21, 2)),
     "min_samples_leaf": list(range(1, 21, 2)),
     "max_features": ["sqrt", "log2", None],
     "bootstrap": [True, False],
@@ -40,6 +42,7 @@ BOOST_GRID = {
 FOREST_PARAMS = {
     "n_estimators": "numTrees", "max_depth": "maxDepth", "min_samples_leaf":
     "minInstancesPerNode", "max_features": "featureSubsetStrategy", "bootstrap": "bootstrap",
+    "min_samples_split": "minSamplesSplit",
 }
 BOOST_PARAMS = {
     "n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize",
@@ -84,9 +87,9 @@ def _prepare(train: DataFrame, target: str, features: Sequence[str], keep=()):
     return stage, pack, ready
 
 
-def forest(target: str, seed: int = 42, **params) -> RandomForestRegressor:
-    return RandomForestRegressor(featuresCol=FEATURES, labelCol=target, seed=seed,
-                                 **_checked(params, FOREST_PARAMS))
+def forest(target: str, seed: int = 42, **params) -> RandomForestRegressor | SplitForestRegressor:
+    kind = SplitForestRegressor if "min_samples_split" in params else RandomForestRegressor
+    return kind(featuresCol=FEATURES, labelCol=target, seed=seed, **_checked(params, FOREST_PARAMS))
 
 
 def boosted(target: str, seed: int = 42, **params) -> GBTRegressor:
@@ -160,8 +163,9 @@ def random_search(train: DataFrame, target: str, features: Sequence[str], order_
     known = FOREST_PARAMS if kind == "forest" else BOOST_PARAMS
     grid = grid or (FOREST_GRID if kind == "forest" else BOOST_GRID)
     make = forest if kind == "forest" else boosted
-    est = make(target, seed)
     combos = draw_params(grid, draws, seed)
+    least = {"min_samples_split": 2} if "min_samples_split" in grid else {}
+    est = make(target, seed, **least)
     maps = [{est.getParam(k): v for k, v in _checked(c, known).items()} for c in combos]
     with held(train.select(*dict.fromkeys([order_col, *features, target]))) as kept:
         folded = contiguous_folds(kept, order_col, folds, "_fold")
