@@ -712,6 +712,13 @@ def gbt_split_counts(spark, sf_dir):
     return trees.split_counts(path, REGRESSORS, spark)
 
 
+@query
+def rf_min_split(spark, sf_dir):
+    return rounded(trees.importance_by_target(
+        src.stored(src.order_level(spark, sf_dir)), ["sum_price"], REGRESSORS, min_samples_split=20,
+        **SMALL_TREES))
+
+
 @query
 def rf_search(spark, sf_dir):
     grid = {"n_estimators": [3, 5], "max_depth": [3, 5], "min_samples_leaf": [1, 5]}
