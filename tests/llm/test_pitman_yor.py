@@ -57,13 +57,103 @@ def test_base_is_exact_and_contexts_help(corpus):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1) for r in got)
 
 
-def test_rare_and_frequent_paths_agree(corpus, monkeypatch):
+def test_paths_agree(corpus, monkeypatch):
+    """The table of frequent pairs, split restaurants and whole ones hold the same model."""
     rows, docs = corpus
     scores = []
-    for contexts in (1024, 1):  # all words frequent; none frequent, one shared context
-        monkeypatch.setattr(Y, "CONTEXTS", contexts)
+    for frequent, shared in ((1024, 8192), (1, 8192), (1, 1)):
+        monkeypatch.setattr(Y, "FREQUENT", frequent)
+        monkeypatch.setattr(Y, "SHARED", shared)
         scores.append({r["doc_id"]: r["score"] for r in check(docs, rows)})
-    assert sum(scores[0].values()) > sum(scores[1].values())
+    total = [sum(s.values()) for s in scores]
+    assert total[1] == pytest.approx(total[0], rel=2e-3) and total[2] == pytest.approx(total[0], rel=2e-3)
+    assert all(s[k] == pytest.approx(scores[0][k], rel=0.03) for s in scores for k in s)
+
+
+def seatings(customers, strength, discount, parent):
+    """Distribution of the numbers of tables, by all ways to seat one customer after the other."""
+    ways = {(): 1.0}
+    for _ in range(customers):
+        more = Counter()
+        for sizes, weight in ways.items():
+            for i, n in enumerate(sizes):
+                more[tuple(sorted((*sizes[:i], n + 1, *sizes[i + 1:])))] += weight * (n - discount)
+            more[tuple(sorted((*sizes, 1)))] += weight * (strength + discount * len(sizes)) * parent
+        ways = more
+    tables = Counter()
+    for sizes, weight in ways.items():
+        tables[len(sizes)] += weight
+    return {k: w / sum(tables.values()) for k, w in tables.items()}
+
+
+@pytest.mark.parametrize("customers, others, parent", [(2, 0, 0.3), (5, 0, 0.1), (7, 6, 0.5), (9, 40, 0.02)])
+def test_tables_are_drawn_from_their_distribution(customers, others, parent):
+    n, d = 60_000, 0.6
+    want = seatings(customers, Y.STRENGTH + d * others, d, parent)
+    got = Y.draw_tables(np.full(n, customers), np.full(n, others), np.full(n, parent), d,
+                        np.random.default_rng(4))
+    for k in range(1, customers + 1):
+        assert (got == k).mean() == pytest.approx(want[k], abs=0.01)
+
+
+def gibbs(texts, discount, root_discount, known, sweeps, burn):
+    """Customers taken out and seated again one at a time, with the sizes of all tables."""
+    random = np.random.default_rng(9)
+    pairs = [p for t in texts for p in zip([b"", *tokens(t)], tokens(t))]
+    house, root = {}, {}
+
+    def root_p(w):
+        own, total = root.get(w, []), sum(map(sum, root.values()))
+        return (max(sum(own) - root_discount * len(own), 0) + (Y.STRENGTH + root_discount * sum(
+            map(len, root.values()))) / (known + 1)) / (Y.STRENGTH + total)
+
+    def sit(tables, d, new):
+        chances = np.array([n - d for n in tables] + [new])
+        at = random.choice(len(chances), p=chances / chances.sum())
+        if at == len(tables):
+            tables.append(0)
+        tables[at] += 1
+        return tables[at] == 1
+
+    def leave(tables):
+        at = random.choice(len(tables), p=np.array(tables) / sum(tables))
+        tables[at] -= 1
+        if not tables[at]:
+            del tables[at]
+            return True
+        return False
+
+    mean = Counter()
+    for s in range(sweeps):
+        for u, w in pairs:
+            own = house.setdefault(u, {}).setdefault(w, [])
+            if s and leave(own):
+                leave(root[w])
+            if sit(own, discount, (Y.STRENGTH + discount * sum(map(len, house[u].values()))) * root_p(w)):
+                sit(root.setdefault(w, []), root_discount, (Y.STRENGTH + root_discount * sum(
+                    map(len, root.values()))) / (known + 1))
+        if s >= burn:
+            for u, w in set(pairs):
+                own, n = house[u][w], sum(map(sum, house[u].values()))
+                mean[u, w] += (sum(own) - discount * len(own) + (Y.STRENGTH + discount * sum(
+                    map(len, house[u].values()))) * root_p(w)) / (Y.STRENGTH + n) / (sweeps - burn)
+    return mean
+
+
+def test_scores_are_near_those_of_a_brute_force_sampler(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{min(int(rng.zipf(1.6)), 12)}" for _ in range(8))) for i in range(40)]
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    pairs = Counter(p for t in train for p in zip([b"", *tokens(t)], tokens(t)))
+    n = Counter(pairs.values())
+    monkeypatch.setattr(Y, "FREQUENT", 20)
+    got = {r["doc_id"]: r["score"] for r in Y.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    known = len({w for _, w in pairs})
+    mean = gibbs(train, Y._discount(n[1], n[2]), 0.5, known, 60, 20)
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            want = sum(math.log10(mean[p]) for p in zip([b"", *tokens(t)], tokens(t)))
+            assert got[i] == pytest.approx(want, rel=0.05)
 
 
 def test_layout_does_not_change_words_or_base(corpus):
@@ -75,23 +165,14 @@ def test_layout_does_not_change_words_or_base(corpus):
 
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
-    word, context = np.nonzero(rng.random((200, 5)) < 0.4)
-    word = np.unique(word, return_inverse=True)[1]
-    count = rng.integers(1, 30, len(word))
-    chain = Y.Chain(word, context, count, 3)
-    shared = []
-    for _ in range(6):
-        shared.append(Y._shared(chain.sums(5), 5))
-        chain.sweep(shared[-1])
-    s = Y._shared(chain.sums(5), 5)  # settings and seating of one state
-    root = s.root(chain.root_customers, chain.root_tables)
-    unknown = (Y.STRENGTH + s.discount * s.root_tables) / (Y.STRENGTH + s.root_customers) / (s.known + 1)
-    assert root.sum() + unknown == pytest.approx(1)
-    for u in range(5):
-        at = chain.contexts == u
-        missing = np.setdiff1d(np.arange(chain.n), chain.cells[at])
-        assert chain.predictive(s)[at].sum() + s.back_off(np.array([u]))[0] * (
-            root[missing].sum() + unknown) == pytest.approx(1)
+    count = rng.integers(0, 30, (5, 200)) * (rng.random((5, 200)) < 0.4)
+    parent = rng.random(201)
+    parent /= parent.sum()  # the last word is unknown
+    context, word = (x.ravel().astype(np.uint64) for x in np.indices((5, 201)))
+    full = np.hstack([count, np.zeros((5, 1), int)]).ravel()
+    shared = Y.Shared(0.6, np.zeros(0), np.zeros(0))
+    p = Y.predictive(context | Y._RARE, full, parent[word.astype(int)], shared, 0)
+    assert p.reshape(5, 201).sum(axis=1) == pytest.approx(np.ones(5))
 
 
 def test_seating_has_the_expected_number_of_tables():

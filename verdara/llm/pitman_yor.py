@@ -1,23 +1,26 @@
 """Scores of texts under a hierarchical Pitman-Yor model.
 
-Tokens are the words of a text (A-Z in lower case) and one end.  There is one context restaurant
-for every preceding word with a share of at least 1/CONTEXTS of the training tokens, one for the
-begin of a text and one that all rarer preceding words share; so there are at most CONTEXTS + 2.
-All context restaurants share the root restaurant as their parent, whose base measure is uniform
-over the known words and one unknown word.  Customers of a context are the training tokens, the
-tables of contexts send one customer each to the root.
-
-Seating is sampled by Gibbs.  Given the numbers of tables per restaurant, the seating of one word
-in all restaurants depends on that word alone, so words are dealt by hash, every part runs the
-chain of its words, and between sweeps only one number per restaurant is brought together.  A
-seating of c customers is drawn customer by customer; long runs of customers are drawn as
-binomial blocks of an eighth of those seated.  After the burn-in sweeps, the predictive
-probabilities of SAMPLES seatings are averaged.
-
-Rows of the shuffle: a token occurrence of a rare word costs about eight bytes, packed per batch
-of texts; frequent words (share of at least 1/CONTEXTS, so at most CONTEXTS of them) are counted
-in a table of words by contexts and never shuffled by word, so no part holds a hot word.  Words
-are told apart by 64-bit hashes.
+Tokens are the words of a text (A-Z in lower case) and one end.  Every preceding word has its own
+context restaurant, and so has the begin of a text.  All context restaurants share the root
+restaurant as their parent, whose base measure is uniform over the known words and one unknown
+word.  Customers of a context are the training tokens, the tables of contexts send one customer
+each to the root.  What is learned of contexts so grows with the input; no context is pooled.
+
+Seating is sampled by Gibbs, by numbers of tables: the tables of a cell (context, word) are drawn from
+their distribution given the customers of the cell, the other tables of its restaurant and the root
+probability of the word (generalised Stirling numbers); cells with more than EXACT customers are
+seated customer by customer, long runs of them as binomial blocks.  The cells of a restaurant are
+drawn together from the totals of the sweep before.  A cell of one customer has one table, so sweeps
+only pass on cells of several.  After BURN_IN sweeps the root stays, and the predictive
+probabilities of SAMPLES seatings are averaged.  Discounts are those of absolute discounting, one for
+contexts and one for the root.
+
+Layout: cells are dealt to parts by the hash of their context, so a restaurant is whole in one part;
+those of words with a share of 1/SHARED are split by word, and their totals (at most 8/7 SHARED
+numbers) are brought together after each sweep.  Pairs of two words with a share of 1/FREQUENT are
+counted in one bounded table and never shuffled by pair, so no part holds a hot pair.  The root's
+customers are rows (word, number), summed by word and joined back to the parts that ask for the
+word.  Words are told apart by 63-bit hashes.
 
 Defined results: NULL or empty text: the end token alone.  Repeated rows count each in training
 and get equal scores.  Rows with the same key and text share one score.  NULL key: crc32 of the
@@ -28,7 +31,9 @@ probability.  Columns beside key and text are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -41,16 +46,18 @@ from xxhash import xxh64_intdigest
 from verdara.llm.common import ship
 from verdara.sources.scratch import stored
 
-CONTEXTS = 1024
+#: Shares from which on a word has a row in the table of word pairs (at most FREQUENT words) and from
+#: which on its restaurant is split over parts (at most 8/7 SHARED).  The model depends on neither.
+FREQUENT, SHARED = 1024, 8192
 BURN_IN, SAMPLES = 2, 4
 STRENGTH = 1.0
+#: Customers of a cell up to which its tables are drawn from the exact conditional distribution.
+EXACT = 128
 BATCH_BYTES = 1_500_000
 PART_CHARS = 4_000_000
-#: Texts whose sums a scoring task holds, and scoring tasks per core: sums go back once per text and
-#: task, so their number must not grow with the number of parts.
-HELD_ROWS, TASKS_PER_CORE = 500_000, 4
 _END = b" end"  # words hold no blanks
 _SEED = 20
+_RARE = np.uint64(1 << 63)  # set in the codes of words without a number
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -87,179 +94,181 @@ def _in_slices(fn, types: dict[str, pa.DataType], keep: tuple[str, ...] = ()):
     return run
 
 
-# --- frequent words ---
+# --- numbered words ---
 
 def _candidates(part: pd.DataFrame) -> dict:
-    """Words with a share of 1/(8 CONTEXTS) of a batch, and the batch's tokens (NULL word)."""
+    """Words with a share of 1/(8 SHARED) of a batch, and the batch's tokens (NULL word)."""
     seen: Counter = Counter()
     for text in part["_text"][part["_train"].to_numpy(bool)]:
         seen.update(_words(text))
     total = seen.total()
-    own = [(w, n) for w, n in seen.items() if n * 8 * CONTEXTS >= total]
+    own = [(w, n) for w, n in seen.items() if n * 8 * SHARED >= total]
     return {"word": [w for w, _ in own] + [None], "n": [n for _, n in own] + [total]}
 
 
-def _candidate_words(rows: DataFrame) -> tuple[list[bytes], int]:
-    """Words that may have a share of 1/CONTEXTS of the training tokens; number of those tokens.
+def numbered_words(rows: DataFrame) -> tuple[list[bytes], int, int]:
+    """Words that may have a share of 1/SHARED of the training tokens, most frequent first; how many
+    of them are frequent; number of training tokens.
 
-    A word's count in batches where it is rarer than 1/(8 CONTEXTS) is missing from its sum; that
-    is less than an eighth of the share asked for.  So at most 8/7 CONTEXTS words are kept.
+    A word's count in batches where it is rarer than 1/(8 SHARED) is missing from its sum; that is
+    less than an eighth of the share asked for.  So at most 8/7 SHARED words are kept.
     """
     sums = stored(rows.mapInArrow(
         _in_slices(_candidates, {"word": pa.binary(), "n": pa.int64()}), "word binary, n long").groupBy("word")
                   .agg(F.sum("n").alias("n")))
     total = sums.where("word IS NULL").first()
     total = int(total["n"]) if total else 0
-    found = sums.where(F.col("word").isNotNull() & (F.col("n") * (8 * CONTEXTS) >= 7 * total)).collect()
-    return sorted(bytes(r["word"]) for r in found), total
+    found = sums.where(F.col("word").isNotNull() & (F.col("n") * (8 * SHARED) >= 7 * total)).collect()
+    found = sorted(found, key=lambda r: (-r["n"], bytes(r["word"])))
+    return [bytes(r["word"]) for r in found], sum(r["n"] * FREQUENT >= total for r in found), total
 
 
 # --- tokens of a batch ---
 
 class Tokens:
-    """Arrays of a batch: hash, frequent-word number (-1: rare) and preceding one, document."""
+    """Codes of the words of a batch and of the words before them, and their texts.
 
-    def __init__(self, part: pd.DataFrame, index: dict[bytes, int], hashed: bool = True):
-        words: list[bytes] = []
+    The code of a word is its number or else its hash with the highest bit set; len(index): begin.
+    """
+
+    def __init__(self, texts: Iterable[str | None], index: dict[bytes, int]):
+        seen: dict[bytes, int] = {}
+        at: list[int] = []
         size = []
-        for text in part["_text"]:
+        for text in texts:
             own = _words(text)
-            words += own
+            at += [seen.setdefault(w, len(seen)) for w in own]
             size.append(len(own))
+        code = np.array([index[w] if w in index else _hash(w) | int(_RARE) for w in seen], np.uint64)
         self.size = np.array(size, int)
         self.doc = np.repeat(np.arange(len(size)), self.size)
-        self.number = np.array([index.get(w, -1) for w in words], int)
-        self.rare = np.flatnonzero(self.number < 0)
-        self.hash = np.array([_hash(words[i]) for i in self.rare.tolist()] if hashed else [],
-                             np.uint64)
-        # contexts: frequent word k, len(index): rare word, len(index) + 1: begin
-        before = np.where(self.number < 0, len(index), self.number)
-        self.context = np.concatenate(([0], before[:-1])) if len(before) else before
-        self.context[np.cumsum(self.size) - self.size] = len(index) + 1
-
-
-def _table(index: dict[bytes, int]):
-    """Training tokens of frequent words by (word, context)."""
+        self.word = code[np.array(at, int)]
+        self.context = np.roll(self.word, 1)
+        self.context[np.cumsum(self.size) - self.size] = len(index)
+
+    def in_table(self, frequent: int, begin: int) -> np.ndarray:
+        """Tokens whose word and context have a place in the table of frequent pairs."""
+        return (self.word < frequent) & ((self.context < frequent) | (self.context == begin))
+
+
+def _place(context: np.ndarray, frequent: int) -> np.ndarray:
+    """Column of a frequent context in the table; begin comes last."""
+    return np.minimum(context, np.uint64(frequent)).astype(int)
+
+
+def _table(index: dict[bytes, int], frequent: int):
+    """Training tokens of frequent pairs by (word, context)."""
     def fn(part: pd.DataFrame) -> dict:
-        t = Tokens(part[part["_train"].to_numpy(bool)], index, hashed=False)
-        own = t.number >= 0
-        cell, n = np.unique(t.number[own] << 32 | t.context[own], return_counts=True)
-        return {"word": cell >> 32, "context": cell & 0xFFFFFFFF, "n": n}
+        t = Tokens(part["_text"][part["_train"].to_numpy(bool)], index)
+        own = t.in_table(frequent, len(index))
+        cell, n = np.unique(t.word[own].astype(int) * (frequent + 1)
+                            + _place(t.context[own], frequent), return_counts=True)
+        return {"cell": cell, "n": n}
 
     return fn
 
 
-def frequent_words(rows: DataFrame) -> tuple[list[bytes], np.ndarray, int]:
-    """The words with a share of at least 1/CONTEXTS of the training tokens, their training counts
-    by context (word, rare, begin) and the number of training tokens."""
-    words, total = _candidate_words(rows)
-    index = {w: i for i, w in enumerate(words)}
-    cells = (rows.mapInArrow(_in_slices(_table(index), dict.fromkeys(
-        ("word", "context", "n"), pa.int64())), "word long, context long, n long")
-             .groupBy("word", "context").agg(F.sum("n").alias("n")).toPandas())
-    n = len(words)
-    counts = np.zeros((n, n + 2), np.int64)  # bounded by CONTEXTS alone
-    counts[cells["word"], cells["context"]] = cells["n"]
-    kept = np.flatnonzero(counts.sum(axis=1) * CONTEXTS >= max(total, 1))
-    rest = np.setdiff1d(np.arange(n), kept)
-    table = counts[kept][:, [*kept, n, n + 1]]
-    table[:, len(kept)] += counts[np.ix_(kept, rest)].sum(axis=1)  # no context of their own
-    return [words[i] for i in kept], table, total
-
-
-def _occurrences(index: dict[bytes, int], parts: int):
-    """Rows (part, payload): the rare tokens of a batch by ranges of the hash."""
-    def fn(frame: pd.DataFrame) -> dict:
-        t = Tokens(frame, index)
-        keys, train = frame["_row"].to_numpy(np.int64), frame["_train"].to_numpy(bool)
-        doc, context = t.doc[t.rare], t.context[t.rare]
-        order = np.argsort(t.hash, kind="stable")
-        part = ((t.hash[order] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(int)
-        cuts = [c for c in np.split(np.arange(len(order)), np.flatnonzero(np.diff(part)) + 1) if len(c)]
-        return {"part": [int(part[c[0]]) for c in cuts],
-                "payload": [_pack(t.hash[order[c]], context[order[c]], doc[order[c]], keys, train)
-                            for c in cuts]}
+def frequent_table(rows: DataFrame, index: dict[bytes, int], frequent: int) -> np.ndarray:
+    """Training counts of frequent pairs; FREQUENT alone bounds their number."""
+    cells = (rows.mapInArrow(_in_slices(_table(index, frequent), dict.fromkeys(
+        ("cell", "n"), pa.int64())), "cell long, n long")
+             .groupBy("cell").agg(F.sum("n").alias("n")).toPandas())
+    table = np.zeros(frequent * (frequent + 1), np.int64)
+    table[cells["cell"]] = cells["n"]
+    return table.reshape(frequent, frequent + 1)
 
-    return fn
 
+def _mixed(code: np.ndarray) -> np.ndarray:
+    """Bits spread over the whole number."""
+    for _ in range(2):
+        code = (code ^ code >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return code
 
-def _pack(word: np.ndarray, context: np.ndarray, doc: np.ndarray, keys: np.ndarray,
-          train: np.ndarray) -> bytes:
-    """Distinct words with run lengths, then contexts, then documents by a table of their keys."""
-    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-    docs, local = np.unique(doc, return_inverse=True)
-    kind = "<u2" if len(docs) < 1 << 16 else "<u4"
-    head = np.array([len(first), len(word), len(docs), int(kind[-1])], "<i8")
-    return b"".join([head.tobytes(), word[first].astype("<u8").tobytes(),
-                     np.diff(np.append(first, len(word))).astype("<u4").tobytes(),
-                     context.astype("<u2").tobytes(), keys[docs].astype("<i8").tobytes(),
-                     train[docs].astype("u1").tobytes(), local.astype(kind).tobytes()])
 
+def _part_of(context: np.ndarray, word: np.ndarray, parts: int) -> np.ndarray:
+    """By the context; split restaurants by the pair."""
+    mixed = np.where(context >= _RARE, context, context * np.uint64(0x9E3779B97F4A7C15) + word)
+    return ((_mixed(mixed) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(int)
 
-def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
-    n_words, n, n_docs, width = np.frombuffer(data, "<i8", 4).tolist()
-    at = 32
 
-    def take(kind: str, count: int) -> np.ndarray:
-        nonlocal at
-        own = np.frombuffer(data, kind, count, at)
-        at += own.nbytes
-        return own
+def _firsts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Positions where a new combination begins."""
+    if not len(sorted_columns[0]):
+        return np.zeros(0, int)
+    new = np.zeros(len(sorted_columns[0]), bool)
+    new[0] = True
+    for c in sorted_columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
-    word = take("<u8", n_words)
-    word = np.repeat(word, take("<u4", n_words))
-    context, keys, train = take("<u2", n), take("<i8", n_docs), take("u1", n_docs)
-    local = take(f"<u{width}", n)
-    return word, context, keys[local], train[local].astype(bool)
 
+_TOKENS = {"part": pa.int64(), **dict.fromkeys(
+    ("contexts", "runs", "words", "sizes", "docs", "train", "doc_of"), pa.binary())}
 
-def _gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One row per part: words, cells (word, context, training count) and occurrences."""
-    held = [_unpack(p) for p in rows["payload"]]
-    word, context, doc, train = (np.concatenate([h[i] for h in held]) for i in range(4))
-    order = np.lexsort((context, word))
-    word, context, doc, train = word[order], context[order], doc[order], train[order]
-    first = np.concatenate(([True], (word[1:] != word[:-1]) | (context[1:] != context[:-1])))
-    cell = np.cumsum(first) - 1
-    count = np.bincount(cell, weights=train).astype(np.int64)
-    begin = np.flatnonzero(first)
-    new = np.concatenate(([True], word[begin][1:] != word[begin][:-1]))
-    docs, local = np.unique(doc, return_inverse=True)
-    return pd.DataFrame({
-        "part": [int(key[0])], "cells": [(np.cumsum(new) - 1).astype("<u4").tobytes()],
-        "contexts": [context[begin].astype("<u2").tobytes()],
-        "counts": [count.astype("<u4").tobytes()], "docs": [docs.astype("<i8").tobytes()],
-        "cell_of": [cell.astype("<u4").tobytes()], "doc_of": [local.astype("<u4").tobytes()]})
 
+def _dealt(index: dict[bytes, int], frequent: int, parts: int, with_docs: bool):
+    """One row per part: the batch's cells by context, with their tokens (``sizes``) and the texts
+    of those; without texts ``sizes`` counts training tokens."""
+    def fn(frame: pd.DataFrame) -> dict:
+        t = Tokens(frame["_text"], index)
+        keys, train = frame["_row"].to_numpy(np.int64), frame["_train"].to_numpy(bool)
+        own = ~t.in_table(frequent, len(index))
+        word, context, doc = t.word[own], t.context[own], t.doc[own]
+        part = _part_of(context, word, parts)
+        order = np.lexsort((word, context, part))
+        word, context, doc, part = word[order], context[order], doc[order], part[order]
+        begin = _firsts(part)
+        out: dict = {n: [] for n in _TOKENS}
+        for a, b in zip(begin, np.append(begin, len(part))[1:]):
+            u, w, d = context[a:b], word[a:b], doc[a:b]
+            cell = _firsts(u, w)
+            first = _firsts(u[cell])
+            out["part"].append(int(part[a]))
+            out["contexts"].append(u[cell][first].tobytes())
+            out["runs"].append(np.diff(np.append(first, len(cell))).astype("<u4").tobytes())
+            out["words"].append(w[cell].tobytes())
+            if with_docs:
+                docs, local = np.unique(d, return_inverse=True)
+                out["sizes"].append(np.diff(np.append(cell, len(u))).astype("<u4").tobytes())
+                out["docs"].append(keys[docs].astype("<i8").tobytes())
+                out["train"].append(train[docs].astype("u1").tobytes())
+                out["doc_of"].append(local.astype("<u4").tobytes())
+            else:
+                out["sizes"].append(np.add.reduceat(train[d].astype(int), cell).astype("<u4").tobytes())
+                for n in ("docs", "train", "doc_of"):
+                    out[n].append(None)
+        return out
 
-_PART = ("part long, cells binary, contexts binary, counts binary, docs binary, cell_of binary, "
-         "doc_of binary")
+    return fn
 
 
-# --- seating ---
+def _cells(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, word and size of all cells of a part's rows, one after the other."""
+    def all_of(name: str, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join(rows[name]), kind)
 
-class Restaurants:
-    """What all words share: discounts, strength, tables and customers per restaurant."""
+    return (np.repeat(all_of("contexts", "<u8"), all_of("runs", "<u4")), all_of("words", "<u8"),
+            all_of("sizes", "<u4").astype(np.int64))
 
-    def __init__(self, tables: np.ndarray, customers: np.ndarray, known: int, discount: float,
-                 root_tables: float, root_customers: float):
-        self.tables, self.customers, self.known = tables, customers, known
-        self.discount, self.root_tables, self.root_customers = discount, root_tables, root_customers
 
-    def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """Predictive probability in the root, from a word's customers and tables there."""
-        d, total = self.discount, STRENGTH + self.root_customers
-        own = np.maximum(customers - d * tables, 0) / total
-        return own + (STRENGTH + d * self.root_tables) / total / (self.known + 1)
+# --- seating ---
 
-    def back_off(self, context: np.ndarray) -> np.ndarray:
-        return ((STRENGTH + self.discount * self.tables[context])
-                / (STRENGTH + self.customers[context]))
+@lru_cache(maxsize=4)
+def _stirling(discount: float) -> np.ndarray:
+    """log of the weight of seatings of c customers at t tables, without the tables' own weights."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[0, 0] = 0.0
+    tables = np.arange(1, EXACT + 1)
+    for c in range(1, EXACT + 1):
+        join = np.full(EXACT, -np.inf)
+        join[:c - 1] = np.log(c - 1 - discount * tables[:c - 1]) + out[c - 1, 1:c]
+        out[c, 1:] = np.logaddexp(join, out[c - 1, :-1])
+    return out
 
 
 def seat(customers: np.ndarray, new_weight: np.ndarray, discount: float,
          random: np.random.Generator) -> np.ndarray:
-    """Tables of each group of customers of one word in one restaurant.
+    """Tables of each group of customers of one word in one restaurant, customer by customer.
 
     ``new_weight``: weight of a new table, (strength + discount * tables) * parent probability.
     The first customer opens a table; a later one joins with weight seated - discount * tables.
@@ -281,143 +290,377 @@ def seat(customers: np.ndarray, new_weight: np.ndarray, discount: float,
     return tables
 
 
-class Chain:
-    """Gibbs chain of the words of one part."""
-
-    def __init__(self, cells: np.ndarray, contexts: np.ndarray, counts: np.ndarray, seed: int):
-        self.cells, self.contexts, self.counts = cells.astype(int), contexts.astype(int), counts.astype(np.int64)
-        self.n = int(self.cells[-1]) + 1 if len(cells) else 0
-        self.random = np.random.default_rng(seed)
-        self.tables = np.minimum(self.counts, 1)
-        self.root_customers = np.bincount(self.cells, self.tables, self.n).astype(np.int64)
-        self.root_tables = np.minimum(self.root_customers, 1)
-
-    def sweep(self, shared: Restaurants) -> None:
-        p = shared.root(self.root_customers, self.root_tables)
-        weight = (STRENGTH + shared.discount * shared.tables[self.contexts]) * p[self.cells]
-        self.tables = seat(self.counts, weight, shared.discount, self.random)
-        self.root_customers = np.bincount(self.cells, self.tables, self.n).astype(np.int64)
-        base = np.full(self.n, (STRENGTH + shared.discount * shared.root_tables) / (shared.known + 1))
-        self.root_tables = seat(self.root_customers, base, shared.discount, self.random)
-
-    def predictive(self, shared: Restaurants) -> np.ndarray:
-        """Probability of each cell's word in its context."""
-        own = np.maximum(self.counts - shared.discount * self.tables, 0) / (
-            STRENGTH + shared.customers[self.contexts])
-        return own + shared.back_off(self.contexts) * shared.root(
-            self.root_customers, self.root_tables)[self.cells]
-
-    def sums(self, size: int) -> np.ndarray:
-        """Tables and customers per context; root tables and customers; words; ones; twos."""
-        return np.concatenate([
-            np.bincount(self.contexts, self.tables, size), np.bincount(self.contexts, self.counts, size),
-            [self.root_tables.sum(), self.root_customers.sum(),
-             (np.bincount(self.cells, self.counts, self.n) > 0).sum(),
-             (self.counts == 1).sum(), (self.counts == 2).sum()]])
-
-
-def _shared(sums: np.ndarray, size: int) -> Restaurants:
-    root_tables, root_customers, known, ones, twos = sums[2 * size:]
-    # discount as for absolute discounting, inside its open range
-    discount = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones + twos else 0.5
-    return Restaurants(sums[:size], sums[size:2 * size], int(known), float(discount),
-                       float(root_tables), float(root_customers))
-
-
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """One dict per part; the columns are views into the Arrow batch, not copies."""
-    for batch in batches:
-        names = batch.schema.names
-        for i in range(batch.num_rows):
-            yield {n: batch.column(n)[i].as_py() if n == "part" else batch.column(n)[i].as_buffer()
-                   for n in names}
-
-
-def _chain_of(part: dict) -> Chain:
-    return Chain(np.frombuffer(part["cells"], "<u4"), np.frombuffer(part["contexts"], "<u2"),
-                 np.frombuffer(part["counts"], "<u4"), _SEED + 1000 * part["part"])
-
-
-def _sweeps(shared: list[Restaurants], size: int):
-    """Sums of the parts of a task after a sweep under each of the settings so far."""
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * size + 5)
-        for part in _parts(batches):
-            chain = _chain_of(part)
-            for s in shared:
-                chain.sweep(s)
-            total += chain.sums(size)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["at", "value"])
+def draw_tables(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float,
+                random: np.random.Generator, uniform: np.ndarray | None = None) -> np.ndarray:
+    """Tables of each cell given the ``others`` of its restaurant and the parent probability."""
+    uniform = random.random(len(customers)) if uniform is None else uniform
+    others = np.maximum(others, 0)  # totals of split restaurants are those of the sweep before
+    tables = np.minimum(customers, 1).astype(np.int64)
+    weight = _stirling(discount)
+    sizes = np.unique(customers[(customers > 1) & (customers <= EXACT)])
+    for c in sizes.tolist():
+        at = np.flatnonzero(customers == c)
+        t = np.arange(c)
+        opened = np.log(STRENGTH + discount * (others[at, None] + t)) + np.log(parent[at, None])
+        logs = weight[c, 1:c + 1] + np.cumsum(opened, axis=1)
+        sums = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
+        tables[at] = 1 + (uniform[at, None] * sums[:, -1:] > sums).sum(axis=1)
+    at = np.flatnonzero(customers > EXACT)
+    tables[at] = seat(customers[at], (STRENGTH + discount * others[at]) * parent[at], discount, random)
+    return tables
 
-    return fn
 
+class Shared(NamedTuple):
+    """What parts have in common: discount of contexts; tables and customers of the restaurants that
+    are split, by number (the begin last)."""
 
-def _samples(chain: Chain, shared: list[Restaurants]) -> np.ndarray:
-    """Predictive probabilities of the cells, averaged over SAMPLES seatings after the burn-in."""
-    for s in shared:
-        chain.sweep(s)
-    mean = np.zeros(len(chain.counts))
-    for _ in range(SAMPLES):
-        chain.sweep(shared[-1])
-        mean += chain.predictive(shared[-1]) / SAMPLES
-    return mean
+    discount: float
+    tables: np.ndarray
+    customers: np.ndarray
 
 
-def _rare_scores(shared: list[Restaurants], tokens: int):
-    """Sums per text over all parts of a task; past HELD_ROWS they are handed on and begun anew."""
-    names = ["score", "base", "known", "tokens"]
+def _discount(ones: float, twos: float) -> float:
+    """As for absolute discounting, inside its open range."""
+    return float(min(0.95, max(0.05, ones / (ones + 2 * twos)))) if ones + twos else 0.5
 
-    def made(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys), *[pa.array(sums[:, i]) for i in range(len(names))]],
-            names=["_row", *names])
 
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums = np.zeros(0, np.int64), np.zeros((0, len(names)))
-        for part in _parts(batches):
-            own, values = _part_scores(part, shared, tokens)
-            both, at = np.unique(np.concatenate([keys, own]), return_inverse=True)
-            merged = np.zeros((len(both), len(names)))
-            merged[at[:len(keys)]] = sums
-            merged[at[len(keys):]] += values
-            keys, sums = both, merged
-            if len(keys) > HELD_ROWS:
-                yield made(keys, sums)
-                keys, sums = keys[:0], sums[:0]
-        yield made(keys, sums)
+def _totals(codes: np.ndarray, own: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Totals of restaurants: of those that are split from ``shared``, else the part's own."""
+    if not len(shared):
+        return own
+    split = codes < _RARE
+    return np.where(split, shared[np.where(split, codes, 0).astype(int)], own)
+
+
+# --- parts ---
+
+_HELD = {"part": pa.int64(), "words": pa.binary(), "tokens": pa.binary(), "alone": pa.binary(),
+         "codes": pa.binary(), "context": pa.binary(), "count": pa.binary(), "tables": pa.binary(),
+         "contexts": pa.binary(), "singles": pa.binary(), "customers": pa.binary(),
+         "ones": pa.int64(), "twos": pa.int64()}
+_HELD_DDL = ", ".join(f"{n} {'long' if t == pa.int64() else 'binary'}" for n, t in _HELD.items())
+
+
+def _gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """One row per part: its words with training tokens and cells of one customer; the cells of
+    several customers; the restaurants that have such cells or are split."""
+    context, word, n = _cells(rows)
+    order = np.lexsort((word, context))
+    context, word, n = context[order], word[order], n[order]
+    cell = _firsts(context, word)
+    context, word, n = context[cell], word[cell], np.add.reduceat(n, cell)
+    words, of = np.unique(word, return_inverse=True)
+    several = n > 1
+    houses, house = np.unique(context, return_inverse=True)
+    keep = (houses < _RARE) | (np.bincount(house, several, len(houses)) > 0)
+    place = np.cumsum(keep) - 1
+    return pd.DataFrame({
+        "part": [int(key[0])], "words": [words.tobytes()],
+        "tokens": [np.bincount(of, n, len(words)).astype("<i8").tobytes()],
+        "alone": [np.bincount(of, n == 1, len(words)).astype("<i8").tobytes()],
+        "codes": [word[several].tobytes()], "context": [place[house[several]].astype("<u4").tobytes()],
+        "count": [n[several].astype("<i8").tobytes()],
+        "tables": [np.ones(several.sum(), "<i8").tobytes()], "contexts": [houses[keep].tobytes()],
+        "singles": [np.bincount(house, n == 1, len(houses))[keep].astype("<i8").tobytes()],
+        "customers": [np.bincount(house, n, len(houses))[keep].astype("<i8").tobytes()],
+        "ones": [int((n == 1).sum())], "twos": [int((n == 2).sum())]})
+
+
+def _view(row, name: str, kind: str = "<i8") -> np.ndarray:
+    return np.frombuffer(row[name], kind)
+
+
+def _unfold(fn, names: tuple[str, ...]):
+    """For ``mapInArrow``: ``fn`` makes columns of longs of each part."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                made = fn({n: c[i].as_buffer() if c.type == pa.binary() else c[i].as_py()
+                           for n, c in zip(batch.schema.names, batch.columns)})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in made], names=list(names))
+
+    return run
+
+
+def _rows(held: DataFrame, fn, *names: str) -> DataFrame:
+    return held.mapInArrow(_unfold(fn, names), ", ".join(f"{n} long" for n in names))
+
+
+def _whole(row, values: np.ndarray) -> np.ndarray:
+    return np.full(len(values), row["part"], np.int64)
+
+
+def _asked_words(row) -> tuple[np.ndarray, ...]:
+    words = _view(row, "words", "<u8")
+    return _whole(row, words), words
+
+
+def _asked_codes(row) -> tuple[np.ndarray, ...]:
+    codes = np.unique(_view(row, "codes", "<u8"))
+    return _whole(row, codes), codes
+
+
+def _word_counts(row) -> tuple[np.ndarray, ...]:
+    return _view(row, "words", "<u8"), _view(row, "tokens"), _view(row, "alone")
+
+
+def _word_tables(row) -> tuple[np.ndarray, ...]:
+    codes, of = np.unique(_view(row, "codes", "<u8"), return_inverse=True)
+    return codes, np.zeros(len(codes), np.int64), np.bincount(
+        of, _view(row, "tables"), len(codes)).astype(np.int64)
+
+
+def _house_tables(row) -> np.ndarray:
+    houses = len(_view(row, "contexts"))
+    return _view(row, "singles") + np.bincount(
+        _view(row, "context", "<u4"), _view(row, "tables"), houses).astype(np.int64)
+
+
+def _split_totals(row) -> tuple[np.ndarray, ...]:
+    codes = _view(row, "contexts", "<u8")
+    split = codes < _RARE
+    return codes[split], _house_tables(row)[split], _view(row, "customers")[split]
+
+
+def _parents(codes: np.ndarray, roots: pd.DataFrame, column: str, missing: float) -> np.ndarray:
+    """The column's value for each code."""
+    known = roots["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    known, values = known[order], roots[column].to_numpy(float)[order]
+    at = np.minimum(np.searchsorted(known, codes), max(len(known) - 1, 0))
+    return np.where(known[at] == codes, values[at], missing) if len(known) else np.full(len(codes), missing)
+
+
+def _sweep(shared: Shared, number: int):
+    """Draws the tables of a part's cells of several customers anew."""
+    def fn(key: tuple, held: pd.DataFrame, roots: pd.DataFrame) -> pd.DataFrame:
+        if not len(held):
+            return held
+        row = held.iloc[0]
+        codes, house, tables = _view(row, "codes", "<u8"), _view(row, "context", "<u4"), _view(row, "tables")
+        totals = _totals(_view(row, "contexts", "<u8"), _house_tables(row), shared.tables)
+        drawn = draw_tables(_view(row, "count"), totals[house] - tables,
+                            _parents(codes, roots, "p", 1.0), shared.discount,
+                            np.random.default_rng([_SEED, number, int(key[0])]))
+        return held.assign(tables=[drawn.astype("<i8").tobytes()])
 
     return fn
 
 
-def _part_scores(part: dict, shared: list[Restaurants], tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """Texts of a part and their sums: score, base score, known tokens, tokens."""
-    chain = _chain_of(part)
-    log_p = np.log10(_samples(chain, shared))
-    known = np.bincount(chain.cells, chain.counts, chain.n)[chain.cells]
-    log_base = np.log10((known + 0.5) / (tokens + 0.5 * (shared[-1].known + 1)))
-    cell, doc = np.frombuffer(part["cell_of"], "<u4"), np.frombuffer(part["doc_of"], "<u4")
-    docs = np.frombuffer(part["docs"], "<i8")
-    return docs, np.stack([np.bincount(doc, log_p[cell], len(docs)),
-                           np.bincount(doc, log_base[cell], len(docs)),
-                           np.bincount(doc, known[cell] > 0, len(docs)),
-                           np.bincount(doc, minlength=len(docs))], axis=1)
+def _score_part(shared: Shared, unknown: float, n_known: int, tokens: int):
+    """Sums per text over the tokens of a part: score, base score, known tokens, tokens."""
+    def fn(key: tuple, rows: pd.DataFrame, roots: pd.DataFrame) -> pd.DataFrame:
+        docs, train, of, past = [], [], [], 0
+        for row in rows.itertuples():
+            own = np.frombuffer(row.docs, "<i8")
+            docs.append(own)
+            train.append(np.frombuffer(row.train, "u1"))
+            of.append(np.frombuffer(row.doc_of, "<u4").astype(np.int64) + past)
+            past += len(own)
+        if not docs:
+            return pd.DataFrame({n: np.zeros(0, t) for n, t in (
+                ("_row", np.int64), *[(c, float) for c in ("score", "base", "known", "tokens")])})
+        docs, train, of = np.concatenate(docs), np.concatenate(train), np.concatenate(of)
+        context, word, size = _cells(rows)
+        context, word = np.repeat(context, size), np.repeat(word, size)
+        order = np.lexsort((word, context))
+        context, word, of = context[order], word[order], of[order]
+        cell = _firsts(context, word)
+        size = np.diff(np.append(cell, len(word)))
+        count = np.add.reduceat(train[of].astype(np.int64), cell)
+        context, word = context[cell], word[cell]
+        p = _parents(word, roots, "p", unknown)
+        log_p = np.log10(predictive(context, count, p, shared, int(key[0])))
+        n = _parents(word, roots, "n", 0.0)
+        log_base = np.log10((n + 0.5) / (tokens + 0.5 * (n_known + 1)))
+        docs, place = np.unique(docs, return_inverse=True)
+        of = place[of]
+        return pd.DataFrame({"_row": docs, **{name: np.bincount(of, np.repeat(v, size), len(docs))
+                                              for name, v in (("score", log_p), ("base", log_base),
+                                                              ("known", n > 0), ("tokens", np.ones(len(n))))}})
+
+    return fn
+
+
+def predictive(context: np.ndarray, count: np.ndarray, parent: np.ndarray, shared: Shared,
+               part: int) -> np.ndarray:
+    """Probability of each cell's word in its context, averaged over SAMPLES seatings."""
+    houses, house = np.unique(context, return_inverse=True)
+    customers = _totals(houses, np.bincount(house, count, len(houses)), shared.customers)[house]
+    tables = np.minimum(count, 1)
+    mean = np.zeros(len(count))
+    random = np.random.default_rng([_SEED, BURN_IN, part])
+    for sweep in range(BURN_IN + SAMPLES):
+        totals = _totals(houses, np.bincount(house, tables, len(houses)), shared.tables)[house]
+        tables = draw_tables(count, totals - tables, parent, shared.discount, random)
+        if sweep >= BURN_IN:
+            totals = _totals(houses, np.bincount(house, tables, len(houses)), shared.tables)[house]
+            mean += (np.maximum(count - shared.discount * tables, 0)
+                     + (STRENGTH + shared.discount * totals) * parent) / (STRENGTH + customers)
+    return mean / SAMPLES
+
+
+# --- root ---
+
+class Root(NamedTuple):
+    """(word, n, p) of the known words; probability of an unknown one; number of known words."""
+
+    words: DataFrame
+    unknown: float
+    known: int
 
 
-def _frequent_scores(index: dict[bytes, int], logs):
-    """Tokens of each text, and sums over its frequent words."""
+def _root_tables(discount: float, parent: float, others: float, number: int):
+    """Tables of words in the root; chance depends on the word alone, so that the order and number
+    of batches do not matter."""
+    def drawn(r: np.ndarray, word: int = 0, uniform: np.ndarray | None = None) -> np.ndarray:
+        return draw_tables(r, np.full(len(r), others), np.full(len(r), parent), discount,
+                           np.random.default_rng([_SEED, number, word]), uniform)
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, n, r = (batch.column(c).to_numpy() for c in ("word", "n", "r"))
+            code = word.view(np.uint64)
+            few = r <= EXACT
+            mixed = _mixed(code + np.uint64(number))
+            tables = drawn(np.where(few, r, 0), uniform=(mixed >> np.uint64(11)) / 2.0 ** 53)
+            for i in np.flatnonzero(~few).tolist():
+                tables[i:i + 1] = drawn(r[i:i + 1], int(code[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (word, n, r, tables)],
+                                             names=["word", "n", "r", "t"])
+
+    return fn
+
+
+def seat_root(counts: DataFrame, number: int) -> Root:
+    """Seats the root from (word, n, r): training tokens and customers in the root."""
+    sums = stored(counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("r").alias("r")).where("n > 0"))
+    of = sums.agg(F.count(F.lit(1)).alias("known"), F.sum("r").alias("r"), F.count_if(F.col("r") == 1).alias("ones"),
+                  F.count_if(F.col("r") == 2).alias("twos")).first()
+    known, customers, discount = of["known"], of["r"] or 0, _discount(of["ones"], of["twos"])
+    # the tables of the others are close to the number of known words, as the base is uniform
+    seated = stored(sums.mapInArrow(_root_tables(discount, 1 / (known + 1), max(known - 1, 0), number),
+                                    "word long, n long, r long, t long"))
+    tables = seated.agg(F.sum("t")).first()[0] or 0
+    back = (STRENGTH + discount * tables) / (known + 1)
+    p = (F.greatest(F.col("r") - discount * F.col("t"), F.lit(0.0)) + back) / (STRENGTH + customers)
+    return Root(seated.select("word", "n", p.alias("p")), back / (STRENGTH + customers), known)
+
+
+class Table:
+    """Seating of the frequent pairs."""
+
+    def __init__(self, counts: np.ndarray, begin: int):
+        self.counts = counts
+        self.word, place = np.nonzero(counts)
+        self.count = counts[self.word, place]
+        self.place, self.code = place, np.where(place == counts.shape[0], begin, place)
+        self.tables = np.ones(len(self.count), np.int64)
+        self.random = np.random.default_rng([_SEED, begin])
+
+    def sweep(self, shared: Shared, p: np.ndarray) -> None:
+        self.tables = draw_tables(self.count, shared.tables[self.code] - self.tables, p[self.word],
+                                  shared.discount, self.random)
+
+    def log_predictive(self, shared: Shared, p: np.ndarray, begin: int) -> np.ndarray:
+        """log10 by (word, column)."""
+        codes = np.append(np.arange(self.counts.shape[0]), begin)
+        mean = np.zeros(self.counts.shape)
+        for _ in range(SAMPLES):
+            self.sweep(shared, p)
+            own = np.zeros(self.counts.shape)
+            own[self.word, self.place] = np.maximum(self.count - shared.discount * self.tables, 0)
+            mean += (own + (STRENGTH + shared.discount * shared.tables[codes]) * p[:, None]) / (
+                STRENGTH + shared.customers[codes]) / SAMPLES
+        return np.log10(mean)
+
+
+def _frequent_scores(index: dict[bytes, int], frequent: int, logs):
+    """Tokens of each text, and sums over its frequent pairs."""
     def fn(frame: pd.DataFrame) -> dict:
         log_p, log_base = logs.value
-        t = Tokens(frame, index, hashed=False)
-        own = t.number >= 0
-        number, context, doc, n = t.number[own], t.context[own], t.doc[own], len(frame)
-        return {"n_tokens": t.size, "score": np.bincount(doc, log_p[number, context], n),
+        t = Tokens(frame["_text"], index)
+        own = t.in_table(frequent, len(index))
+        number, doc, n = t.word[own].astype(int), t.doc[own], len(frame)
+        return {"n_tokens": t.size,
+                "score": np.bincount(doc, log_p[number, _place(t.context[own], frequent)], n),
                 "base": np.bincount(doc, log_base[number], n),
                 "known": np.bincount(doc, minlength=n).astype(float)}
 
     return fn
 
 
+class Model(NamedTuple):
+    """A fitted model: what all parts share, the root, the parts' words and the frequent pairs."""
+
+    index: dict[bytes, int]
+    frequent: int
+    parts: int
+    tokens: int
+    shared: Shared
+    root: Root
+    held: DataFrame
+    log_table: np.ndarray
+    log_base: np.ndarray
+
+
+def fit(rows: DataFrame) -> Model:
+    """Counts and samples the seating of the rows (_text, _row, _train)."""
+    spark = rows.sparkSession
+    words, frequent, tokens = numbered_words(rows)
+    index, begin = {w: i for i, w in enumerate(words)}, len(words)
+    table = Table(frequent_table(rows, index, frequent), begin)
+    chars = rows.agg(F.sum(F.char_length("_text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // PART_CHARS)
+    held = stored(_dealt_rows(rows, index, frequent, parts, False)
+                  .groupBy("part").applyInPandas(_gather, _HELD_DDL))
+    counts = stored(_rows(held.select("words", "tokens", "alone"), _word_counts, "word", "n", "r")
+                    .groupBy("word").agg(F.sum("n").alias("n"), F.sum("r").alias("r")))
+    of = held.agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).first()
+    discount = _discount((of["ones"] or 0) + (table.count == 1).sum(), (of["twos"] or 0) + (table.count == 2).sum())
+    cells = held.select("part", "codes", "context", "count", "tables", "contexts", "singles", "customers")
+    kind = ", ".join(f"{n} {t}" for n, t in cells.dtypes)
+    for number in range(BURN_IN + 1):
+        shared = Shared(discount, *_collected(cells, table, begin))
+        own = [(int(w), int(n), int(t)) for w, (n, t) in enumerate(zip(
+            table.counts.sum(axis=1), np.bincount(table.word, table.tables, frequent)))]
+        more = _rows(cells.select("codes", "tables"), _word_tables, "word", "n", "r")
+        root = seat_root(reduce(DataFrame.unionByName, [
+            counts, more, spark.createDataFrame(own, "word long, n long, r long")]), number)
+        p = np.full(frequent, root.unknown)
+        for r in root.words.where(F.col("word").between(0, frequent - 1)).collect():
+            p[r["word"]] = r["p"]
+        if number < BURN_IN:
+            table.sweep(shared, p)
+            asked = _rows(cells.select("part", "codes"), _asked_codes, "part", "word").join(root.words, "word")
+            cells = stored(cells.groupBy("part").cogroup(asked.select("part", "word", "p").groupBy("part"))
+                           .applyInPandas(_sweep(shared, number), kind))
+    n = np.zeros(frequent)
+    for r in root.words.where(F.col("word").between(0, frequent - 1)).collect():
+        n[r["word"]] = r["n"]
+    return Model(index, frequent, parts, tokens, shared, root, held, table.log_predictive(shared, p, begin),
+                 np.log10((n + 0.5) / (tokens + 0.5 * (root.known + 1))))
+
+
+def _dealt_rows(rows: DataFrame, index: dict[bytes, int], frequent: int, parts: int,
+                with_docs: bool) -> DataFrame:
+    return rows.mapInArrow(_in_slices(_dealt(index, frequent, parts, with_docs), _TOKENS),
+                           "part long, contexts binary, runs binary, words binary, sizes binary, "
+                           "docs binary, train binary, doc_of binary")
+
+
+def _collected(cells: DataFrame, table: Table, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tables and customers of the split restaurants, by number."""
+    found = (_rows(cells, _split_totals, "code", "tables", "customers")
+             .groupBy("code").agg(F.sum("tables").alias("tables"), F.sum("customers").alias("customers")).toPandas())
+    tables = np.bincount(table.code, table.tables, begin + 1)
+    customers = np.bincount(table.code, table.count, begin + 1)
+    tables[found["code"]] += found["tables"]
+    customers[found["code"]] += found["customers"]
+    return tables, customers
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity)."""
     spark = docs.sparkSession
@@ -427,61 +670,26 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"),
                        F.xxhash64(name, F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_row"),
                        (F.crc32(name.cast("binary")) % 5 != 1).alias("_train"))
-    words, table, tokens = frequent_words(rows)
-    index, size = {w: i for i, w in enumerate(words)}, len(words) + 2
-    chars = rows.agg(F.sum(F.char_length("_text"))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // PART_CHARS)
-    held = stored(rows.mapInArrow(_in_slices(_occurrences(index, parts), {
-        "part": pa.int64(), "payload": pa.binary()}), "part long, payload binary")
-                  .groupBy("part").applyInPandas(_gather, _PART))
-
-    word, context = np.nonzero(table)
-    own = Chain(word, context, table[word, context], _SEED)
-    shared: list[Restaurants] = []
-    for _ in range(BURN_IN + 1):
-        found = (held.select("part", "cells", "contexts", "counts")
-                 .mapInArrow(_sweeps(shared, size), "at int, value double")
-                 .groupBy("at").agg(F.sum("value").alias("value")).toPandas())
-        sums = own.sums(size)
-        sums[found["at"]] += found["value"]
-        shared.append(_shared(sums, size))
-        own.sweep(shared[-1])
-    own = Chain(word, context, table[word, context], _SEED)
-    logs = spark.sparkContext.broadcast(_frequent_logs(own, shared, table, tokens))
+    m = fit(rows)
+    asked = _rows(m.held.select("part", "words"), _asked_words, "part", "word").join(m.root.words, "word")
+    sums = ["score", "base", "known", "tokens"]
+    rare = (_dealt_rows(rows, m.index, m.frequent, m.parts, True).groupBy("part")
+            .cogroup(asked.select("part", "word", "n", "p").groupBy("part"))
+            .applyInPandas(_score_part(m.shared, m.root.unknown, m.root.known, m.tokens),
+                           "_row long, " + ", ".join(f"{c} double" for c in sums))
+            .groupBy("_row").agg(*[F.sum(c).alias(f"_{c}") for c in sums]))
+    logs = spark.sparkContext.broadcast((m.log_table, m.log_base))
     frequent = rows.mapInArrow(
-        _in_slices(_frequent_scores(index, logs), {"n_tokens": pa.int64()} | dict.fromkeys(
+        _in_slices(_frequent_scores(m.index, m.frequent, logs), {"n_tokens": pa.int64()} | dict.fromkeys(
             ("score", "base", "known"), pa.float64()), keep=("_key", "_row", "_train")),
         f"_key {kind}, _row long, _train boolean, n_tokens long, score double, base double, "
         "known double")
-    sums = ["score", "base", "known", "tokens"]
-    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
-    rare = (held.coalesce(tasks).mapInArrow(_rare_scores(shared, tokens), "_row long, " + ", ".join(
-        f"{c} double" for c in sums))
-            .groupBy("_row").agg(*[F.sum(c).alias(f"_{c}") for c in sums]))
     # rows of one key and text have added up: each gets its share
     share = (F.col("n_tokens") - F.col("known")) / F.col("_tokens")
     total = {c: F.col(c) + F.coalesce(F.col(f"_{c}") * share, F.lit(0.0)) for c in sums[:3]}
     return (frequent.join(rare, "_row", "left")
             .select(F.col("_key").alias(key), (~F.col("_train")).alias("held_out"), "n_tokens",
                     F.round(total["known"]).cast("long").alias("n_known"),
-                    F.lit(tokens).cast("long").alias("train_tokens"),
+                    F.lit(m.tokens).cast("long").alias("train_tokens"),
                     total["base"].alias("base_score"), total["score"].alias("score"))
             .withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))))
-
-
-def _frequent_logs(own: Chain, shared: list[Restaurants], table: np.ndarray,
-                   tokens: int) -> tuple[np.ndarray, np.ndarray]:
-    """log10 probabilities of frequent words: by (word, context), and of the base model."""
-    for s in shared:
-        own.sweep(s)
-    last, contexts = shared[-1], np.arange(table.shape[1])
-    mean = np.zeros(table.shape)
-    for _ in range(SAMPLES):
-        own.sweep(last)
-        seated = np.zeros(table.shape)
-        seated[own.cells, own.contexts] = own.counts - last.discount * own.tables
-        root = last.root(own.root_customers, own.root_tables)
-        mean += (seated / (STRENGTH + last.customers)
-                 + last.back_off(contexts) * root[:, None]) / SAMPLES
-    base = (table.sum(axis=1) + 0.5) / (tokens + 0.5 * (last.known + 1))
-    return np.log10(mean), np.log10(base)
