@@ -42,6 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from verdara.llm.common import ship
 from verdara.sources.scratch import stored
@@ -53,7 +54,7 @@ BURN_IN, SAMPLES = 2, 4
 STRENGTH = 1.0
 #: Customers of a cell up to which its tables are drawn from the exact conditional distribution.
 EXACT = 128
-BATCH_BYTES = 1_500_000
+BATCH_BYTES = 6_000_000
 PART_CHARS = 4_000_000
 _END = b" end"  # words hold no blanks
 _SEED = 20
@@ -203,13 +204,19 @@ def _firsts(*sorted_columns: np.ndarray) -> np.ndarray:
 
 
 _TOKENS = {"part": pa.int64(), **dict.fromkeys(
-    ("contexts", "runs", "words", "sizes", "docs", "train", "doc_of"), pa.binary())}
+    ("contexts", "runs", "words", "at", "sizes", "docs", "train", "doc_of"), pa.binary())}
 
 
 def _dealt(index: dict[bytes, int], frequent: int, parts: int, with_docs: bool):
     """One row per part: the batch's cells by context, with their tokens (``sizes``) and the texts
-    of those; without texts ``sizes`` counts training tokens."""
+    of those; without texts ``sizes`` counts training tokens.  A cell names its word by the place
+    (``at``) among the row's words."""
     def fn(frame: pd.DataFrame) -> dict:
+        small = ZstdCompressor(level=1)
+
+        def packed(numbers: np.ndarray) -> bytes:
+            return small.compress(numbers.astype("<u4").tobytes())
+
         t = Tokens(frame["_text"], index)
         keys, train = frame["_row"].to_numpy(np.int64), frame["_train"].to_numpy(bool)
         own = ~t.in_table(frequent, len(index))
@@ -225,16 +232,18 @@ def _dealt(index: dict[bytes, int], frequent: int, parts: int, with_docs: bool):
             first = _firsts(u[cell])
             out["part"].append(int(part[a]))
             out["contexts"].append(u[cell][first].tobytes())
-            out["runs"].append(np.diff(np.append(first, len(cell))).astype("<u4").tobytes())
-            out["words"].append(w[cell].tobytes())
+            out["runs"].append(packed(np.diff(np.append(first, len(cell)))))
+            words, at = np.unique(w[cell], return_inverse=True)
+            out["words"].append(words.tobytes())
+            out["at"].append(packed(at))
             if with_docs:
                 docs, local = np.unique(d, return_inverse=True)
-                out["sizes"].append(np.diff(np.append(cell, len(u))).astype("<u4").tobytes())
+                out["sizes"].append(packed(np.diff(np.append(cell, len(u)))))
                 out["docs"].append(keys[docs].astype("<i8").tobytes())
                 out["train"].append(train[docs].astype("u1").tobytes())
-                out["doc_of"].append(local.astype("<u4").tobytes())
+                out["doc_of"].append(packed(local))
             else:
-                out["sizes"].append(np.add.reduceat(train[d].astype(int), cell).astype("<u4").tobytes())
+                out["sizes"].append(packed(np.add.reduceat(train[d].astype(int), cell)))
                 for n in ("docs", "train", "doc_of"):
                     out[n].append(None)
         return out
@@ -242,13 +251,16 @@ def _dealt(index: dict[bytes, int], frequent: int, parts: int, with_docs: bool):
     return fn
 
 
+def _unpacked(numbers: bytes) -> np.ndarray:
+    return np.frombuffer(ZstdDecompressor().decompress(numbers), "<u4").astype(np.int64)
+
+
 def _cells(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Context, word and size of all cells of a part's rows, one after the other."""
-    def all_of(name: str, kind: str) -> np.ndarray:
-        return np.frombuffer(b"".join(rows[name]), kind)
-
-    return (np.repeat(all_of("contexts", "<u8"), all_of("runs", "<u4")), all_of("words", "<u8"),
-            all_of("sizes", "<u4").astype(np.int64))
+    made = [(np.repeat(np.frombuffer(r.contexts, "<u8"), _unpacked(r.runs)),
+             np.frombuffer(r.words, "<u8")[_unpacked(r.at)], _unpacked(r.sizes)) for r in rows.itertuples()]
+    context, word, size = (np.concatenate(c) for c in zip(*made))
+    return context, word, size
 
 
 # --- seating ---
@@ -456,7 +468,7 @@ def _score_part(shared: Shared, unknown: float, n_known: int, tokens: int):
             own = np.frombuffer(row.docs, "<i8")
             docs.append(own)
             train.append(np.frombuffer(row.train, "u1"))
-            of.append(np.frombuffer(row.doc_of, "<u4").astype(np.int64) + past)
+            of.append(_unpacked(row.doc_of) + past)
             past += len(own)
         if not docs:
             return pd.DataFrame({n: np.zeros(0, t) for n, t in (
@@ -646,8 +658,8 @@ def fit(rows: DataFrame) -> Model:
 def _dealt_rows(rows: DataFrame, index: dict[bytes, int], frequent: int, parts: int,
                 with_docs: bool) -> DataFrame:
     return rows.mapInArrow(_in_slices(_dealt(index, frequent, parts, with_docs), _TOKENS),
-                           "part long, contexts binary, runs binary, words binary, sizes binary, "
-                           "docs binary, train binary, doc_of binary")
+                           "part long, contexts binary, runs binary, words binary, at binary, "
+                           "sizes binary, docs binary, train binary, doc_of binary")
 
 
 def _collected(cells: DataFrame, table: Table, begin: int) -> tuple[np.ndarray, np.ndarray]:
