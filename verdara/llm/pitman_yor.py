@@ -54,7 +54,7 @@ BURN_IN, SAMPLES = 2, 4
 STRENGTH = 1.0
 #: Customers of a cell up to which its tables are drawn from the exact conditional distribution.
 EXACT = 128
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 3_000_000
 PART_CHARS = 4_000_000
 _END = b" end"  # words hold no blanks
 _SEED = 20
