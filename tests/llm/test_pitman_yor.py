@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from verdara.llm import pitman_yor as Y
@@ -194,3 +195,47 @@ def test_edge_cases(edge_docs, no_docs, edge_rows, spark):
     only = spark.createDataFrame([(held, "no training here")], "doc_id long, text string")
     row, = Y.score(only).collect()
     assert row["train_tokens"] == 0 and row["n_known"] == 0 and math.isfinite(row["score"])
+
+
+def test_cells_are_dealt_in_less_room_than_their_texts():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"word{int(x)}" for x in rng.zipf(1.3, 200) % 50_000) for _ in range(2000)]
+    train = rng.random(len(texts)) < 0.8
+    row = dict(zip(Y._SLICE, (7, *Y._coded(pa.array(texts), train))))
+    own = sorted(zip(row["own_n"], row["own"]), reverse=True)
+
+    class Sent:
+        value = Y.Numbers.of([w for _, w in own[:500]], 5)
+
+    batch = pa.RecordBatch.from_arrays([pa.array([row[c]], Y._SLICE[c]) for c in Y._WORK], names=Y._WORK)
+    dealt, = Y._deal(Sent, 9)(iter([batch]))
+    dealt = dealt.to_pylist()
+    assert sum(len(r["rare"]) + len(r["numbers"]) for r in dealt) < sum(map(len, texts))
+    code = {w: Y.xxh64_intdigest(w) | 1 << 63 for t in texts for w in tokens(t)}
+    code |= {w: i for i, (_, w) in enumerate(own[:500])}
+    want = Counter()
+    for text, learned in zip(texts, train):
+        ids = [code[w] for w in tokens(text)]
+        for u, w in zip([500, *ids], ids):
+            if not (w < 5 and (u < 5 or u == 500)):
+                want[u, w] += int(learned)
+    got = {}
+    for r in dealt:
+        for u, w, n in zip(*(x.tolist() for x in Y._dealt_cells(r["rare"], r["numbers"]))):
+            assert (u, w) not in got
+            got[u, w] = n
+    assert got == want and 0 in got.values()
+
+
+def test_every_white_space_parts_words():
+    texts = ["a\tB\x0bc\x0cd\re\nf  g ", None, "", "\u00a0x \u0130\x1cY"]
+    made = dict(zip(list(Y._SLICE)[1:], Y._coded(pa.array(texts), np.ones(4, bool))))
+    hashes = np.frombuffer(made["hashes"], "<u8")[Y._unpacked(made["at"])].tolist()
+    want = [w for t in texts for w in tokens(t)]
+    assert hashes == [Y.xxh64_intdigest(w) | 1 << 63 for w in want]
+    assert Y._unpacked(made["sizes"]).tolist() == [len(tokens(t)) for t in texts] and made["tokens"] == len(want)
+
+
+def test_scores_are_packed_closely():
+    x = np.log10(np.random.default_rng(1).random(1000))
+    assert Y._unpacked_floats(Y._packed_floats(x)) == pytest.approx(x, rel=1e-10)

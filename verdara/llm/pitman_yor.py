@@ -15,30 +15,34 @@ only pass on cells of several.  After BURN_IN sweeps the root stays, and the pre
 probabilities of SAMPLES seatings are averaged.  Discounts are those of absolute discounting, one for
 contexts and one for the root.
 
-Layout: cells are dealt to parts by the hash of their context, so a restaurant is whole in one part;
-those of words with a share of 1/SHARED are split by word, and their totals (at most 8/7 SHARED
-numbers) are brought together after each sweep.  Pairs of two words with a share of 1/FREQUENT are
-counted in one bounded table and never shuffled by pair, so no part holds a hot pair.  The root's
-customers are rows (word, number), summed by word and joined back to the parts that ask for the
-word.  Words are told apart by 63-bit hashes.
+Layout: texts are split into words once and kept as slices of word numbers (``coded_slices``).  The
+cells of a slice, one of each pair of words, are dealt to parts by the hash of their context, so a
+restaurant is whole in one part; those of words with a share of 1/SHARED are split by word, and their
+totals (at most 8/7 SHARED numbers) are brought together after each sweep.  A part answers each
+slice with the scores of its cells in the order in which they came, and the slice adds them up by
+text, so cells are dealt once and neither texts nor tokens leave their slice.  Pairs of two words
+with a share of 1/FREQUENT are counted in one bounded table and never shuffled by pair, so no part
+holds a hot pair.  The root's customers are rows (word, number), summed by word and joined back to
+the parts that ask for the word.  Words are told apart by 63-bit hashes.
 
 Defined results: NULL or empty text: the end token alone.  Repeated rows count each in training
-and get equal scores.  Rows with the same key and text share one score.  NULL key: crc32 of the
+and get equal scores.  NULL key: crc32 of the
 empty text decides.  Empty table: no rows.  No training tokens: every token has the base
 probability.  Columns beside key and text are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -54,21 +58,42 @@ BURN_IN, SAMPLES = 2, 4
 STRENGTH = 1.0
 #: Customers of a cell up to which its tables are drawn from the exact conditional distribution.
 EXACT = 128
-BATCH_BYTES = 3_000_000
-PART_CHARS = 4_000_000
+#: Chances of numbers of tables, and words of the root, that are held at once.
+CELLS, WORDS = 500_000, 200_000
+BATCH_BYTES = 6_000_000
+PART_CHARS = 10_000_000
 _END = b" end"  # words hold no blanks
 _SEED = 20
 _RARE = np.uint64(1 << 63)  # set in the codes of words without a number
 
 
-def _words(text: str | None) -> list[bytes]:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    words.append(_END)
-    return words
+def _packed(numbers: np.ndarray, width: int = 4) -> bytes:
+    """Numbers of so many bytes, by the places of the bytes, compressed."""
+    planes = np.ascontiguousarray(numbers, f"<u{width}").view("u1").reshape(-1, width).T
+    return ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def _hash(word: bytes) -> int:
-    return xxh64_intdigest(word)
+def _unpacked(data: bytes, width: int = 4) -> np.ndarray:
+    planes = np.frombuffer(ZstdDecompressor().decompress(data), "u1").reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+def _packed_codes(codes: np.ndarray) -> bytes:
+    """Codes by their differences, which are small where they ascend."""
+    return _packed(np.diff(codes, prepend=np.uint64(0)), 8)
+
+
+def _unpacked_codes(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, 8).view(np.uint64))
+
+
+def _packed_floats(values: np.ndarray) -> bytes:
+    """Rounded to 36 bits after the point, which leaves 6 bytes each."""
+    return _packed((np.ascontiguousarray(values, "<f8").view(np.uint64) + np.uint64(1 << 15)) >> np.uint64(16), 8)
+
+
+def _unpacked_floats(data: bytes) -> np.ndarray:
+    return (_unpacked(data, 8).view(np.uint64) << np.uint64(16)).view(float)
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -81,101 +106,165 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, end - at)
 
 
-def _in_slices(fn, types: dict[str, pa.DataType], keep: tuple[str, ...] = ()):
-    """For ``mapInArrow``: ``fn`` gets a frame and returns columns; ``keep`` names input columns
-    that go along.  Only the texts of one slice become Python objects at a time."""
+def _as_rows(fn, kinds: dict[str, pa.DataType]):
+    """For ``mapInArrow``: ``fn`` gets a row as a dict, binary columns as buffers, and yields rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch):
-                out = fn(part.to_pandas())
+            for row in _each(batch):
+                made = list(fn(row))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in keep] + [pa.array(out[n], t) for n, t in types.items()],
-                    names=[*keep, *types])
+                    [pa.array([m[i] for m in made], t) for i, t in enumerate(kinds.values())], names=list(kinds))
 
     return run
 
 
-# --- numbered words ---
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    for i in range(batch.num_rows):
+        yield {n: c[i].as_buffer() if c.type == pa.binary() else c[i].as_py()
+               for n, c in zip(batch.schema.names, batch.columns)}
+
+
+# --- slices ---
+
+_SLICE = {"slice": pa.int64(), "train": pa.binary(), "sizes": pa.binary(), "hashes": pa.binary(), "at": pa.binary(),
+          "own": pa.list_(pa.binary()), "own_n": pa.list_(pa.int64()), "tokens": pa.int64()}
+_SLICE_DDL = ("slice long, train binary, sizes binary, hashes binary, at binary, own array<binary>, "
+              "own_n array<long>, tokens long")
+
+
+def _coded(texts: pa.Array, train: np.ndarray) -> tuple:
+    """Words of texts by their order of appearance, then the end; hashes of the words; words with a
+    share of 1/(8 SHARED) of the training tokens and their counts; number of training tokens."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = split.flatten()
+    kept = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    past = np.concatenate([[0], np.cumsum(kept)])
+    size = np.diff(past[split.offsets.to_numpy() - split.offsets[0].as_py()]) + 1
+    coded = words.filter(pa.array(kept)).dictionary_encode()
+    distinct = [*coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False), _END]
+    end = np.zeros(size.sum(), bool)
+    end[np.cumsum(size) - 1] = True
+    at = np.full(len(end), len(distinct) - 1)
+    at[~end] = coded.indices.to_numpy()
+    hashes = np.fromiter(map(xxh64_intdigest, distinct), np.uint64, len(distinct)) | _RARE
+    n = np.bincount(at[np.repeat(train, size)], minlength=len(distinct))
+    own = np.flatnonzero((n * (8 * SHARED) >= n.sum()) & (n > 0))
+    return (train.astype("u1").tobytes(), _packed(size), hashes.tobytes(), _packed(at),
+            [distinct[i] for i in own.tolist()], n[own].tolist(), int(n.sum()))
+
+
+def coded_slices(rows: DataFrame) -> DataFrame:
+    """Slices of the rows (_key, _text, _train): numbers of the words of each text in place of the texts."""
+    kind = dict(rows.dtypes)["_key"]
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = count(TaskContext.get().partitionId() << 32)
+        for batch in batches:
+            for part in _slices(batch):
+                made = _coded(part.column("_text"), part.column("_train").to_numpy(zero_copy_only=False))
+                keys = part.column("_key")
+                keys = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+                yield pa.RecordBatch.from_arrays(
+                    [keys, *[pa.array([x], t) for x, t in zip((next(number), *made), _SLICE.values())]],
+                    names=["keys", *_SLICE])
 
-def _candidates(part: pd.DataFrame) -> dict:
-    """Words with a share of 1/(8 SHARED) of a batch, and the batch's tokens (NULL word)."""
-    seen: Counter = Counter()
-    for text in part["_text"][part["_train"].to_numpy(bool)]:
-        seen.update(_words(text))
-    total = seen.total()
-    own = [(w, n) for w, n in seen.items() if n * 8 * SHARED >= total]
-    return {"word": [w for w, _ in own] + [None], "n": [n for _, n in own] + [total]}
+    return stored(rows.mapInArrow(fn, f"keys array<{kind}>, {_SLICE_DDL}"))
 
 
-def numbered_words(rows: DataFrame) -> tuple[list[bytes], int, int]:
+def numbered_words(slices: DataFrame) -> tuple[list[bytes], int, int]:
     """Words that may have a share of 1/SHARED of the training tokens, most frequent first; how many
     of them are frequent; number of training tokens.
 
-    A word's count in batches where it is rarer than 1/(8 SHARED) is missing from its sum; that is
+    A word's count in slices where it is rarer than 1/(8 SHARED) is missing from its sum; that is
     less than an eighth of the share asked for.  So at most 8/7 SHARED words are kept.
     """
-    sums = stored(rows.mapInArrow(
-        _in_slices(_candidates, {"word": pa.binary(), "n": pa.int64()}), "word binary, n long").groupBy("word")
-                  .agg(F.sum("n").alias("n")))
-    total = sums.where("word IS NULL").first()
-    total = int(total["n"]) if total else 0
-    found = sums.where(F.col("word").isNotNull() & (F.col("n") * (8 * SHARED) >= 7 * total)).collect()
+    total = slices.agg(F.sum("tokens")).first()[0] or 0
+    found = (slices.select(F.explode(F.arrays_zip("own", "own_n")).alias("x"))
+             .groupBy(F.col("x.own").alias("word")).agg(F.sum("x.own_n").alias("n"))
+             .where(F.col("n") * (8 * SHARED) >= 7 * total).collect())
     found = sorted(found, key=lambda r: (-r["n"], bytes(r["word"])))
     return [bytes(r["word"]) for r in found], sum(r["n"] * FREQUENT >= total for r in found), total
 
 
-# --- tokens of a batch ---
+class Numbers(NamedTuple):
+    """Hashes of the numbered words in order and their numbers; how many words are frequent."""
 
-class Tokens:
-    """Codes of the words of a batch and of the words before them, and their texts.
+    hashes: np.ndarray
+    numbers: np.ndarray
+    frequent: int
 
-    The code of a word is its number or else its hash with the highest bit set; len(index): begin.
-    """
+    @classmethod
+    def of(cls, words: list[bytes], frequent: int) -> Numbers:
+        hashes = np.array([xxh64_intdigest(w) for w in words], np.uint64) | _RARE
+        order = np.argsort(hashes)
+        return cls(hashes[order], order.astype(np.uint64), frequent)
 
-    def __init__(self, texts: Iterable[str | None], index: dict[bytes, int]):
-        seen: dict[bytes, int] = {}
-        at: list[int] = []
-        size = []
-        for text in texts:
-            own = _words(text)
-            at += [seen.setdefault(w, len(seen)) for w in own]
-            size.append(len(own))
-        code = np.array([index[w] if w in index else _hash(w) | int(_RARE) for w in seen], np.uint64)
-        self.size = np.array(size, int)
-        self.doc = np.repeat(np.arange(len(size)), self.size)
-        self.word = code[np.array(at, int)]
-        self.context = np.roll(self.word, 1)
-        self.context[np.cumsum(self.size) - self.size] = len(index)
+    @property
+    def begin(self) -> int:
+        return len(self.hashes)
 
-    def in_table(self, frequent: int, begin: int) -> np.ndarray:
-        """Tokens whose word and context have a place in the table of frequent pairs."""
-        return (self.word < frequent) & ((self.context < frequent) | (self.context == begin))
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        """The code of a word is its number or else its hash with the highest bit set."""
+        if not self.begin:
+            return hashes
+        at = np.minimum(np.searchsorted(self.hashes, hashes), self.begin - 1)
+        return np.where(self.hashes[at] == hashes, self.numbers[at], hashes)
 
 
-def _place(context: np.ndarray, frequent: int) -> np.ndarray:
-    """Column of a frequent context in the table; begin comes last."""
-    return np.minimum(context, np.uint64(frequent)).astype(int)
+class Tokens:
+    """Tokens of a slice: ``codes`` of its words and the begin in order; places of the words of the
+    tokens and of those before them among ``codes``; which are frequent pairs, in the table."""
+
+    def __init__(self, row: dict, numbers: Numbers):
+        begin = np.uint64(numbers.begin)
+        code = numbers.codes(np.frombuffer(row["hashes"], "<u8"))
+        self.codes, place = np.unique(np.append(code, begin), return_inverse=True)
+        self.size = _unpacked(row["sizes"])
+        self.train = np.repeat(np.frombuffer(row["train"], "u1"), self.size) > 0
+        self.word = place[_unpacked(row["at"])]
+        self.context = np.roll(self.word, 1)
+        self.context[np.cumsum(self.size) - self.size] = place[-1]
+        frequent = self.codes < numbers.frequent
+        self.in_table = frequent[self.word] & (frequent | (self.codes == begin))[self.context]
 
+    def table_cells(self, own: np.ndarray, frequent: int) -> np.ndarray:
+        """Cells of the table, by (word, context), of tokens in it; begin comes last."""
+        column = np.minimum(self.codes, np.uint64(frequent)).astype(int)
+        return column[self.word[own]] * (frequent + 1) + column[self.context[own]]
 
-def _table(index: dict[bytes, int], frequent: int):
-    """Training tokens of frequent pairs by (word, context)."""
-    def fn(part: pd.DataFrame) -> dict:
-        t = Tokens(part["_text"][part["_train"].to_numpy(bool)], index)
-        own = t.in_table(frequent, len(index))
-        cell, n = np.unique(t.word[own].astype(int) * (frequent + 1)
-                            + _place(t.context[own], frequent), return_counts=True)
-        return {"cell": cell, "n": n}
+    def cells(self, parts: int) -> tuple[np.ndarray, ...]:
+        """Places of context and word of the cells outside the table, by (part, context, word); their
+        parts; the cell of each token outside."""
+        rest = ~self.in_table
+        cell, of = np.unique(self.context[rest] * len(self.codes) + self.word[rest], return_inverse=True)
+        context, word = np.divmod(cell, len(self.codes))
+        part = _part_of(self.codes[context], self.codes[word], parts)
+        order = np.argsort(part, kind="stable")
+        rank = np.empty(len(order), int)
+        rank[order] = np.arange(len(order))
+        return context[order], word[order], part[order], rank[of]
 
-    return fn
 
+_WORK = ["slice", "train", "sizes", "hashes", "at"]
 
-def frequent_table(rows: DataFrame, index: dict[bytes, int], frequent: int) -> np.ndarray:
+
+def frequent_table(slices: DataFrame, numbers) -> np.ndarray:
     """Training counts of frequent pairs; FREQUENT alone bounds their number."""
-    cells = (rows.mapInArrow(_in_slices(_table(index, frequent), dict.fromkeys(
-        ("cell", "n"), pa.int64())), "cell long, n long")
+    frequent = numbers.value.frequent
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(frequent * (frequent + 1), np.int64)
+        for batch in batches:
+            for row in _each(batch):
+                t = Tokens(row, numbers.value)
+                table += np.bincount(t.table_cells(t.in_table & t.train, frequent), minlength=len(table))
+        cell = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(table[cell])], names=["cell", "n"])
+
+    found = (slices.select(*_WORK).mapInArrow(fn, "cell long, n long")
              .groupBy("cell").agg(F.sum("n").alias("n")).toPandas())
     table = np.zeros(frequent * (frequent + 1), np.int64)
-    table[cells["cell"]] = cells["n"]
+    table[found["cell"]] = found["n"]
     return table.reshape(frequent, frequent + 1)
 
 
@@ -203,64 +292,42 @@ def _firsts(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-_TOKENS = {"part": pa.int64(), **dict.fromkeys(
-    ("contexts", "runs", "words", "at", "sizes", "docs", "train", "doc_of"), pa.binary())}
-
+_DEALT = {"part": pa.int64(), "slice": pa.int64(), "rare": pa.binary(), "numbers": pa.binary()}
 
-def _dealt(index: dict[bytes, int], frequent: int, parts: int, with_docs: bool):
-    """One row per part: the batch's cells by context, with their tokens (``sizes``) and the texts
-    of those; without texts ``sizes`` counts training tokens.  A cell names its word by the place
-    (``at``) among the row's words."""
-    def fn(frame: pd.DataFrame) -> dict:
-        small = ZstdCompressor(level=1)
 
-        def packed(numbers: np.ndarray) -> bytes:
-            return small.compress(numbers.astype("<u4").tobytes())
-
-        t = Tokens(frame["_text"], index)
-        keys, train = frame["_row"].to_numpy(np.int64), frame["_train"].to_numpy(bool)
-        own = ~t.in_table(frequent, len(index))
-        word, context, doc = t.word[own], t.context[own], t.doc[own]
-        part = _part_of(context, word, parts)
-        order = np.lexsort((word, context, part))
-        word, context, doc, part = word[order], context[order], doc[order], part[order]
+def _deal(numbers, parts: int):
+    """One row per part: the slice's cells by context, with their training tokens.  A cell names its
+    word by the place among the row's words."""
+    def fn(row: dict) -> Iterator[tuple]:
+        t = Tokens(row, numbers.value)
+        context, word, part, of = t.cells(parts)
+        size = np.bincount(of, t.train[~t.in_table], len(part)).astype(np.int64)
         begin = _firsts(part)
-        out: dict = {n: [] for n in _TOKENS}
-        for a, b in zip(begin, np.append(begin, len(part))[1:]):
-            u, w, d = context[a:b], word[a:b], doc[a:b]
-            cell = _firsts(u, w)
-            first = _firsts(u[cell])
-            out["part"].append(int(part[a]))
-            out["contexts"].append(u[cell][first].tobytes())
-            out["runs"].append(packed(np.diff(np.append(first, len(cell)))))
-            words, at = np.unique(w[cell], return_inverse=True)
-            out["words"].append(words.tobytes())
-            out["at"].append(packed(at))
-            if with_docs:
-                docs, local = np.unique(d, return_inverse=True)
-                out["sizes"].append(packed(np.diff(np.append(cell, len(u)))))
-                out["docs"].append(keys[docs].astype("<i8").tobytes())
-                out["train"].append(train[docs].astype("u1").tobytes())
-                out["doc_of"].append(packed(local))
-            else:
-                out["sizes"].append(packed(np.add.reduceat(train[d].astype(int), cell)))
-                for n in ("docs", "train", "doc_of"):
-                    out[n].append(None)
-        return out
-
-    return fn
-
-
-def _unpacked(numbers: bytes) -> np.ndarray:
-    return np.frombuffer(ZstdDecompressor().decompress(numbers), "<u4").astype(np.int64)
-
-
-def _cells(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context, word and size of all cells of a part's rows, one after the other."""
-    made = [(np.repeat(np.frombuffer(r.contexts, "<u8"), _unpacked(r.runs)),
-             np.frombuffer(r.words, "<u8")[_unpacked(r.at)], _unpacked(r.sizes)) for r in rows.itertuples()]
-    context, word, size = (np.concatenate(c) for c in zip(*made))
-    return context, word, size
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(part)]):
+            first = _firsts(context[a:b])
+            words, at = np.unique(word[a:b], return_inverse=True)
+            contexts, words = t.codes[context[a:b][first]], t.codes[words]
+            low, low_words = contexts[contexts < _RARE], words[words < _RARE]
+            yield (int(part[a]), row["slice"],
+                   _packed_codes(np.concatenate([contexts[len(low):], words[len(low_words):]])),
+                   _packed(np.concatenate([x.astype(np.int64) for x in (
+                       [np.array([len(low), len(contexts), len(low_words)])]
+                       + [np.diff(x, prepend=np.uint64(0)) for x in (low, low_words)]
+                       + [np.diff(np.append(first, b - a)), at, size[a:b]])])))
+
+    return _as_rows(fn, _DEALT)
+
+
+def _dealt_cells(rare: bytes, numbers: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, word and training tokens of the cells of a row of ``_deal``."""
+    low, n, low_words, *_ = x = _unpacked(numbers)
+    high = _unpacked_codes(rare)
+    x = x[3:]
+    contexts = np.concatenate([np.cumsum(x[:low]).astype(np.uint64), high[:n - low]])
+    words = np.concatenate([np.cumsum(x[low:low + low_words]).astype(np.uint64), high[n - low:]])
+    x = x[low + low_words:]
+    at, size = x[n:].reshape(2, -1)
+    return np.repeat(contexts, x[:n]), words[at], size
 
 
 # --- seating ---
@@ -309,9 +376,14 @@ def draw_tables(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, d
     others = np.maximum(others, 0)  # totals of split restaurants are those of the sweep before
     tables = np.minimum(customers, 1).astype(np.int64)
     weight = _stirling(discount)
-    sizes = np.unique(customers[(customers > 1) & (customers <= EXACT)])
-    for c in sizes.tolist():
-        at = np.flatnonzero(customers == c)
+    several = np.flatnonzero((customers > 1) & (customers <= EXACT))
+    several = several[np.argsort(customers[several], kind="stable")]
+    first = _firsts(customers[several])
+    blocks = [several[i:min(i + CELLS // customers[several[a]], b)]
+              for a, b in zip(first.tolist(), [*first[1:].tolist(), len(several)])
+              for i in range(a, b, CELLS // customers[several[a]])]
+    for at in blocks:
+        c = int(customers[at[0]])
         t = np.arange(c)
         opened = np.log(STRENGTH + discount * (others[at, None] + t)) + np.log(parent[at, None])
         logs = weight[c, 1:c + 1] + np.cumsum(opened, axis=1)
@@ -346,51 +418,62 @@ def _totals(codes: np.ndarray, own: np.ndarray, shared: np.ndarray) -> np.ndarra
 
 # --- parts ---
 
-_HELD = {"part": pa.int64(), "words": pa.binary(), "tokens": pa.binary(), "alone": pa.binary(),
-         "codes": pa.binary(), "context": pa.binary(), "count": pa.binary(), "tables": pa.binary(),
-         "contexts": pa.binary(), "singles": pa.binary(), "customers": pa.binary(),
-         "ones": pa.int64(), "twos": pa.int64()}
-_HELD_DDL = ", ".join(f"{n} {'long' if t == pa.int64() else 'binary'}" for n, t in _HELD.items())
+#: Of the cells of several customers: codes, code_at, context, count; of all cells: words, word_at, n,
+#: houses, runs; of the slices' cells: slices, sizes, steps.
+_CODES = ("codes", "contexts", "words", "houses")
+_PACKED = ("code_at", "context", "count", "tables", "singles", "customers", "tokens", "alone", "word_at", "n", "runs",
+           "sizes", "steps")
+_HELD_DDL = "part long, ones long, twos long, " + ", ".join(
+    f"{c} binary" for c in ("slices", *_CODES, *_PACKED))
 
 
 def _gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """One row per part: its words with training tokens and cells of one customer; the cells of
-    several customers; the restaurants that have such cells or are split."""
-    context, word, n = _cells(rows)
+    """One row per part: its cells and their words with training tokens and cells of one customer;
+    the cells of several customers; the restaurants that have such cells or are split; for each
+    slice the steps between its cells."""
+    made = [_dealt_cells(a, b) for a, b in zip(rows["rare"], rows["numbers"])]
+    sizes = np.array([len(m[0]) for m in made])
+    context, word, n = (np.concatenate(c) for c in zip(*made))
+    del made
     order = np.lexsort((word, context))
     context, word, n = context[order], word[order], n[order]
     cell = _firsts(context, word)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.repeat(np.arange(len(cell)), np.diff(np.append(cell, len(order))))
+    steps = np.diff(of, prepend=0)  # a slice's cells are in order, too
+    steps[np.cumsum(sizes) - sizes] = of[np.cumsum(sizes) - sizes]
     context, word, n = context[cell], word[cell], np.add.reduceat(n, cell)
-    words, of = np.unique(word, return_inverse=True)
+    words, word_at = np.unique(word, return_inverse=True)
     several = n > 1
-    houses, house = np.unique(context, return_inverse=True)
+    first = _firsts(context)
+    houses, runs = context[first], np.diff(np.append(first, len(context)))
+    house = np.repeat(np.arange(len(houses)), runs)
     keep = (houses < _RARE) | (np.bincount(house, several, len(houses)) > 0)
     place = np.cumsum(keep) - 1
-    return pd.DataFrame({
-        "part": [int(key[0])], "words": [words.tobytes()],
-        "tokens": [np.bincount(of, n, len(words)).astype("<i8").tobytes()],
-        "alone": [np.bincount(of, n == 1, len(words)).astype("<i8").tobytes()],
-        "codes": [word[several].tobytes()], "context": [place[house[several]].astype("<u4").tobytes()],
-        "count": [n[several].astype("<i8").tobytes()],
-        "tables": [np.ones(several.sum(), "<i8").tobytes()], "contexts": [houses[keep].tobytes()],
-        "singles": [np.bincount(house, n == 1, len(houses))[keep].astype("<i8").tobytes()],
-        "customers": [np.bincount(house, n, len(houses))[keep].astype("<i8").tobytes()],
-        "ones": [int((n == 1).sum())], "twos": [int((n == 2).sum())]})
+    codes, code_at = np.unique(word[several], return_inverse=True)
+    packed = (code_at, place[house[several]], n[several], np.ones(several.sum()),
+              np.bincount(house, n == 1, len(houses))[keep], np.bincount(house, n, len(houses))[keep],
+              np.bincount(word_at, n, len(words)), np.bincount(word_at, n == 1, len(words)), word_at, n, runs,
+              sizes, steps)
+    return pd.DataFrame({"part": [int(key[0])], "ones": [int((n == 1).sum())], "twos": [int((n == 2).sum())],
+                         "slices": [rows["slice"].to_numpy("<i8").tobytes()]}
+                        | {c: [_packed_codes(x)] for c, x in zip(_CODES, (codes, houses[keep], words, houses))}
+                        | {c: [_packed(x.astype("<u4"))] for c, x in zip(_PACKED, packed)})
 
 
-def _view(row, name: str, kind: str = "<i8") -> np.ndarray:
-    return np.frombuffer(row[name], kind)
+def _view(row, name: str) -> np.ndarray:
+    if name in _PACKED:
+        return _unpacked(row[name])
+    return _unpacked_codes(row[name]) if name in _CODES else np.frombuffer(row[name], "<i8")
 
 
 def _unfold(fn, names: tuple[str, ...]):
     """For ``mapInArrow``: ``fn`` makes columns of longs of each part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                made = fn({n: c[i].as_buffer() if c.type == pa.binary() else c[i].as_py()
-                           for n, c in zip(batch.schema.names, batch.columns)})
+            for row in _each(batch):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in made], names=list(names))
+                    [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fn(row)], names=list(names))
 
     return run
 
@@ -399,38 +482,25 @@ def _rows(held: DataFrame, fn, *names: str) -> DataFrame:
     return held.mapInArrow(_unfold(fn, names), ", ".join(f"{n} long" for n in names))
 
 
-def _whole(row, values: np.ndarray) -> np.ndarray:
-    return np.full(len(values), row["part"], np.int64)
-
-
-def _asked_words(row) -> tuple[np.ndarray, ...]:
-    words = _view(row, "words", "<u8")
-    return _whole(row, words), words
-
-
-def _asked_codes(row) -> tuple[np.ndarray, ...]:
-    codes = np.unique(_view(row, "codes", "<u8"))
-    return _whole(row, codes), codes
-
-
 def _word_counts(row) -> tuple[np.ndarray, ...]:
-    return _view(row, "words", "<u8"), _view(row, "tokens"), _view(row, "alone")
+    tokens = _view(row, "tokens")
+    known = tokens > 0
+    return _view(row, "words")[known], tokens[known], _view(row, "alone")[known]
 
 
 def _word_tables(row) -> tuple[np.ndarray, ...]:
-    codes, of = np.unique(_view(row, "codes", "<u8"), return_inverse=True)
+    codes = _view(row, "codes")
     return codes, np.zeros(len(codes), np.int64), np.bincount(
-        of, _view(row, "tables"), len(codes)).astype(np.int64)
+        _view(row, "code_at"), _view(row, "tables"), len(codes)).astype(np.int64)
 
 
 def _house_tables(row) -> np.ndarray:
-    houses = len(_view(row, "contexts"))
     return _view(row, "singles") + np.bincount(
-        _view(row, "context", "<u4"), _view(row, "tables"), houses).astype(np.int64)
+        _view(row, "context"), _view(row, "tables"), len(_view(row, "contexts"))).astype(np.int64)
 
 
 def _split_totals(row) -> tuple[np.ndarray, ...]:
-    codes = _view(row, "contexts", "<u8")
+    codes = _view(row, "contexts")
     split = codes < _RARE
     return codes[split], _house_tables(row)[split], _view(row, "customers")[split]
 
@@ -444,53 +514,86 @@ def _parents(codes: np.ndarray, roots: pd.DataFrame, column: str, missing: float
     return np.where(known[at] == codes, values[at], missing) if len(known) else np.full(len(codes), missing)
 
 
+def _root_of(codes: np.ndarray, roots: int) -> np.ndarray:
+    """Part of the root that seats a word; grows with the code."""
+    return ((codes >> np.uint64(32)) * np.uint64(roots) >> np.uint64(32)).astype(int)
+
+
+def _answer(unknown: float):
+    """Root probabilities and training tokens of the words asked for by each part."""
+    def fn(key: tuple, asked: pd.DataFrame, roots: pd.DataFrame) -> pd.DataFrame:
+        words = [_unpacked_codes(w) for w in asked["words"]]
+        if not words:
+            return pd.DataFrame({"part": [], "root": [], "p": [], "n": []})
+        ends, words = np.cumsum(list(map(len, words)))[:-1], np.concatenate(words)
+        p, n = _parents(words, roots, "p", unknown), _parents(words, roots, "n", 0.0).astype(np.int64)
+        return pd.DataFrame({"part": asked["part"], "root": int(key[0]),
+                             "p": [_packed(x.view(np.uint64), 8) for x in np.split(p, ends)],
+                             "n": [_packed(x, 8) for x in np.split(n, ends)]})
+
+    return fn
+
+
+def ask(held: DataFrame, name: str, root: Root, parts: int) -> DataFrame:
+    """What the root knows of the codes of each part, packed: (part, root, p, n) in the order of root."""
+    roots = 2 * parts  # the highest bit is set in nearly all codes
+
+    def fn(row: dict) -> Iterator[tuple]:
+        codes = _view(row, name)
+        of = _root_of(codes, roots)
+        for own, at in zip(np.split(codes, _firsts(of)[1:]), of[_firsts(of)].tolist()):
+            yield at, row["part"], _packed_codes(own)
+
+    asked = held.select("part", name).mapInArrow(
+        _as_rows(fn, {"root": pa.int64(), "part": pa.int64(), "words": pa.binary()}), "root long, part long, words binary")
+    at = F.shiftrightunsigned(F.shiftrightunsigned("word", 32) * F.lit(roots).cast("long"), 32)
+    return (asked.groupBy("root").cogroup(root.words.withColumn("root", at).groupBy("root"))
+            .applyInPandas(_answer(root.unknown), "part long, root long, p binary, n binary"))
+
+
+def _answered(answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """p and n of a part's codes."""
+    answers = answers.sort_values("root")
+    p, n = (np.concatenate([np.zeros(0, np.int64), *[_unpacked(x, 8) for x in answers[c]]]) for c in ("p", "n"))
+    return p.view(float), n
+
+
 def _sweep(shared: Shared, number: int):
     """Draws the tables of a part's cells of several customers anew."""
-    def fn(key: tuple, held: pd.DataFrame, roots: pd.DataFrame) -> pd.DataFrame:
+    def fn(key: tuple, held: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(held):
             return held
         row = held.iloc[0]
-        codes, house, tables = _view(row, "codes", "<u8"), _view(row, "context", "<u4"), _view(row, "tables")
-        totals = _totals(_view(row, "contexts", "<u8"), _house_tables(row), shared.tables)
+        house, tables = _view(row, "context"), _view(row, "tables")
+        totals = _totals(_view(row, "contexts"), _house_tables(row), shared.tables)
         drawn = draw_tables(_view(row, "count"), totals[house] - tables,
-                            _parents(codes, roots, "p", 1.0), shared.discount,
+                            _answered(answers)[0][_view(row, "code_at")], shared.discount,
                             np.random.default_rng([_SEED, number, int(key[0])]))
-        return held.assign(tables=[drawn.astype("<i8").tobytes()])
+        return held.assign(tables=[_packed(drawn)])
 
     return fn
 
 
-def _score_part(shared: Shared, unknown: float, n_known: int, tokens: int):
-    """Sums per text over the tokens of a part: score, base score, known tokens, tokens."""
-    def fn(key: tuple, rows: pd.DataFrame, roots: pd.DataFrame) -> pd.DataFrame:
-        docs, train, of, past = [], [], [], 0
-        for row in rows.itertuples():
-            own = np.frombuffer(row.docs, "<i8")
-            docs.append(own)
-            train.append(np.frombuffer(row.train, "u1"))
-            of.append(_unpacked(row.doc_of) + past)
-            past += len(own)
-        if not docs:
-            return pd.DataFrame({n: np.zeros(0, t) for n, t in (
-                ("_row", np.int64), *[(c, float) for c in ("score", "base", "known", "tokens")])})
-        docs, train, of = np.concatenate(docs), np.concatenate(train), np.concatenate(of)
-        context, word, size = _cells(rows)
-        context, word = np.repeat(context, size), np.repeat(word, size)
-        order = np.lexsort((word, context))
-        context, word, of = context[order], word[order], of[order]
-        cell = _firsts(context, word)
-        size = np.diff(np.append(cell, len(word)))
-        count = np.add.reduceat(train[of].astype(np.int64), cell)
-        context, word = context[cell], word[cell]
-        p = _parents(word, roots, "p", unknown)
-        log_p = np.log10(predictive(context, count, p, shared, int(key[0])))
-        n = _parents(word, roots, "n", 0.0)
-        log_base = np.log10((n + 0.5) / (tokens + 0.5 * (n_known + 1)))
-        docs, place = np.unique(docs, return_inverse=True)
-        of = place[of]
-        return pd.DataFrame({"_row": docs, **{name: np.bincount(of, np.repeat(v, size), len(docs))
-                                              for name, v in (("score", log_p), ("base", log_base),
-                                                              ("known", n > 0), ("tokens", np.ones(len(n))))}})
+_ANSWER = "slice long, part long, score binary, n binary"
+
+
+def _score_part(shared: Shared):
+    """One row per slice: log10 probabilities of its cells and training tokens of their words."""
+    def fn(key: tuple, held: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        out: dict = {c: [] for c in ("slice", "part", "score", "n")}
+        for _, row in held.iterrows():
+            at = _view(row, "word_at")
+            p, n = (x[at] for x in _answered(answers))
+            context = np.repeat(_view(row, "houses"), _view(row, "runs"))
+            log_p = np.log10(predictive(context, _view(row, "n"), p, shared, int(key[0])))
+            ends = np.cumsum(_view(row, "sizes"))
+            for number, steps in zip(_view(row, "slices").tolist(), np.split(_view(row, "steps"), ends[:-1])):
+                of = np.cumsum(steps)
+                out["slice"].append(number)
+                out["part"].append(int(key[0]))
+                out["score"].append(_packed_floats(log_p[of]))
+                out["n"].append(_packed(n[of], 8))
+        return pd.DataFrame(out)
 
     return fn
 
@@ -523,6 +626,19 @@ class Root(NamedTuple):
     known: int
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Small batches as tables of about WORDS rows."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= WORDS:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _root_tables(discount: float, parent: float, others: float, number: int):
     """Tables of words in the root; chance depends on the word alone, so that the order and number
     of batches do not matter."""
@@ -531,7 +647,7 @@ def _root_tables(discount: float, parent: float, others: float, number: int):
                            np.random.default_rng([_SEED, number, word]), uniform)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _together(batches):
             word, n, r = (batch.column(c).to_numpy() for c in ("word", "n", "r"))
             code = word.view(np.uint64)
             few = r <= EXACT
@@ -588,26 +704,39 @@ class Table:
         return np.log10(mean)
 
 
-def _frequent_scores(index: dict[bytes, int], frequent: int, logs):
-    """Tokens of each text, and sums over its frequent pairs."""
-    def fn(frame: pd.DataFrame) -> dict:
+def _texts(numbers, logs, parts: int, tokens: int, known: int):
+    """Sums over the tokens of each text of a slice, from the answers of the parts."""
+    def fn(key: tuple, slices: pa.Table, answers: pa.Table) -> pa.Table:
+        row = slices.combine_chunks().to_batches()[0]
+        t = Tokens(next(_each(row.select(_WORK))), numbers.value)
         log_p, log_base = logs.value
-        t = Tokens(frame["_text"], index)
-        own = t.in_table(frequent, len(index))
-        number, doc, n = t.word[own].astype(int), t.doc[own], len(frame)
-        return {"n_tokens": t.size,
-                "score": np.bincount(doc, log_p[number, _place(t.context[own], frequent)], n),
-                "base": np.bincount(doc, log_base[number], n),
-                "known": np.bincount(doc, minlength=n).astype(float)}
+        n_texts, doc = len(t.size), np.repeat(np.arange(len(t.size)), t.size)
+        frequent, own = numbers.value.frequent, t.in_table
+        cell = t.table_cells(own, frequent)
+        sums = {"score": np.bincount(doc[own], log_p.ravel()[cell], n_texts),
+                "base": np.bincount(doc[own], log_base[cell // (frequent + 1)], n_texts),
+                "known": np.bincount(doc[own], minlength=n_texts)}
+        if len(answers):
+            answers = answers.sort_by("part")
+            of, doc = t.cells(parts)[3], doc[~own]
+            log_p = np.concatenate([_unpacked_floats(x.as_buffer()) for x in answers.column("score")])
+            n = np.concatenate([_unpacked(x.as_buffer(), 8) for x in answers.column("n")])
+            log_base = np.log10((n + 0.5) / (tokens + 0.5 * (known + 1)))
+            for name, value in (("score", log_p), ("base", log_base), ("known", n > 0)):
+                sums[name] = sums[name] + np.bincount(doc, value[of], n_texts)
+        train = np.frombuffer(row.column("train")[0].as_buffer(), "u1") > 0
+        return pa.table([row.column("keys").flatten(), pa.array(~train), pa.array(t.size),
+                         pa.array(np.rint(sums["known"]).astype(np.int64)), pa.array(sums["base"]),
+                         pa.array(sums["score"])],
+                        names=["_key", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return fn
 
 
 class Model(NamedTuple):
-    """A fitted model: what all parts share, the root, the parts' words and the frequent pairs."""
+    """A fitted model: the numbered words, what all parts share, the root, the parts and the frequent pairs."""
 
-    index: dict[bytes, int]
-    frequent: int
+    numbers: object
     parts: int
     tokens: int
     shared: Shared
@@ -617,27 +746,26 @@ class Model(NamedTuple):
     log_base: np.ndarray
 
 
-def fit(rows: DataFrame) -> Model:
-    """Counts and samples the seating of the rows (_text, _row, _train)."""
-    spark = rows.sparkSession
-    words, frequent, tokens = numbered_words(rows)
-    index, begin = {w: i for i, w in enumerate(words)}, len(words)
-    table = Table(frequent_table(rows, index, frequent), begin)
-    chars = rows.agg(F.sum(F.char_length("_text"))).first()[0] or 0
+def fit(slices: DataFrame, chars: int) -> Model:
+    """Counts and samples the seating of the slices of texts of so many characters."""
+    spark = slices.sparkSession
+    words, frequent, tokens = numbered_words(slices)
+    numbers, begin = spark.sparkContext.broadcast(Numbers.of(words, frequent)), len(words)
+    table = Table(frequent_table(slices, numbers), begin)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // PART_CHARS)
-    held = stored(_dealt_rows(rows, index, frequent, parts, False)
+    held = stored(slices.select(*_WORK).mapInArrow(_deal(numbers, parts), "part long, slice long, rare binary, numbers binary")
                   .groupBy("part").applyInPandas(_gather, _HELD_DDL))
     counts = stored(_rows(held.select("words", "tokens", "alone"), _word_counts, "word", "n", "r")
                     .groupBy("word").agg(F.sum("n").alias("n"), F.sum("r").alias("r")))
     of = held.agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).first()
     discount = _discount((of["ones"] or 0) + (table.count == 1).sum(), (of["twos"] or 0) + (table.count == 2).sum())
-    cells = held.select("part", "codes", "context", "count", "tables", "contexts", "singles", "customers")
+    cells = held.select("part", "codes", "code_at", "context", "count", "tables", "contexts", "singles", "customers")
     kind = ", ".join(f"{n} {t}" for n, t in cells.dtypes)
     for number in range(BURN_IN + 1):
         shared = Shared(discount, *_collected(cells, table, begin))
         own = [(int(w), int(n), int(t)) for w, (n, t) in enumerate(zip(
             table.counts.sum(axis=1), np.bincount(table.word, table.tables, frequent)))]
-        more = _rows(cells.select("codes", "tables"), _word_tables, "word", "n", "r")
+        more = _rows(cells.select("codes", "code_at", "tables"), _word_tables, "word", "n", "r")
         root = seat_root(reduce(DataFrame.unionByName, [
             counts, more, spark.createDataFrame(own, "word long, n long, r long")]), number)
         p = np.full(frequent, root.unknown)
@@ -645,23 +773,15 @@ def fit(rows: DataFrame) -> Model:
             p[r["word"]] = r["p"]
         if number < BURN_IN:
             table.sweep(shared, p)
-            asked = _rows(cells.select("part", "codes"), _asked_codes, "part", "word").join(root.words, "word")
-            cells = stored(cells.groupBy("part").cogroup(asked.select("part", "word", "p").groupBy("part"))
+            cells = stored(cells.groupBy("part").cogroup(ask(cells, "codes", root, parts).groupBy("part"))
                            .applyInPandas(_sweep(shared, number), kind))
     n = np.zeros(frequent)
     for r in root.words.where(F.col("word").between(0, frequent - 1)).collect():
         n[r["word"]] = r["n"]
-    return Model(index, frequent, parts, tokens, shared, root, held, table.log_predictive(shared, p, begin),
+    return Model(numbers, parts, tokens, shared, root, held, table.log_predictive(shared, p, begin),
                  np.log10((n + 0.5) / (tokens + 0.5 * (root.known + 1))))
 
 
-def _dealt_rows(rows: DataFrame, index: dict[bytes, int], frequent: int, parts: int,
-                with_docs: bool) -> DataFrame:
-    return rows.mapInArrow(_in_slices(_dealt(index, frequent, parts, with_docs), _TOKENS),
-                           "part long, contexts binary, runs binary, words binary, at binary, "
-                           "sizes binary, docs binary, train binary, doc_of binary")
-
-
 def _collected(cells: DataFrame, table: Table, begin: int) -> tuple[np.ndarray, np.ndarray]:
     """Tables and customers of the split restaurants, by number."""
     found = (_rows(cells, _split_totals, "code", "tables", "customers")
@@ -680,28 +800,16 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     kind = dict(docs.dtypes)[key]
     name = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"),
-                       F.xxhash64(name, F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_row"),
                        (F.crc32(name.cast("binary")) % 5 != 1).alias("_train"))
-    m = fit(rows)
-    asked = _rows(m.held.select("part", "words"), _asked_words, "part", "word").join(m.root.words, "word")
-    sums = ["score", "base", "known", "tokens"]
-    rare = (_dealt_rows(rows, m.index, m.frequent, m.parts, True).groupBy("part")
-            .cogroup(asked.select("part", "word", "n", "p").groupBy("part"))
-            .applyInPandas(_score_part(m.shared, m.root.unknown, m.root.known, m.tokens),
-                           "_row long, " + ", ".join(f"{c} double" for c in sums))
-            .groupBy("_row").agg(*[F.sum(c).alias(f"_{c}") for c in sums]))
+    slices = coded_slices(rows)
+    m = fit(slices, rows.agg(F.sum(F.char_length("_text"))).first()[0] or 0)
+    scoring = m.held.select("part", "word_at", "n", "houses", "runs", "slices", "sizes", "steps")
+    answers = (scoring.groupBy("part").cogroup(ask(m.held, "words", m.root, m.parts).groupBy("part"))
+               .applyInPandas(_score_part(m.shared), _ANSWER))
     logs = spark.sparkContext.broadcast((m.log_table, m.log_base))
-    frequent = rows.mapInArrow(
-        _in_slices(_frequent_scores(m.index, m.frequent, logs), {"n_tokens": pa.int64()} | dict.fromkeys(
-            ("score", "base", "known"), pa.float64()), keep=("_key", "_row", "_train")),
-        f"_key {kind}, _row long, _train boolean, n_tokens long, score double, base double, "
-        "known double")
-    # rows of one key and text have added up: each gets its share
-    share = (F.col("n_tokens") - F.col("known")) / F.col("_tokens")
-    total = {c: F.col(c) + F.coalesce(F.col(f"_{c}") * share, F.lit(0.0)) for c in sums[:3]}
-    return (frequent.join(rare, "_row", "left")
-            .select(F.col("_key").alias(key), (~F.col("_train")).alias("held_out"), "n_tokens",
-                    F.round(total["known"]).cast("long").alias("n_known"),
-                    F.lit(m.tokens).cast("long").alias("train_tokens"),
-                    total["base"].alias("base_score"), total["score"].alias("score"))
+    found = (slices.select("keys", *_WORK).groupBy("slice").cogroup(answers.groupBy("slice"))
+             .applyInArrow(_texts(m.numbers, logs, m.parts, m.tokens, m.root.known),
+                           f"_key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
+    return (found.select(F.col("_key").alias(key), "held_out", "n_tokens", "n_known",
+                         F.lit(m.tokens).cast("long").alias("train_tokens"), "base_score", "score")
             .withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))))
