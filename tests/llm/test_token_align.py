@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import pandas as pd
@@ -129,3 +130,19 @@ def test_edge_cases(edge_docs, no_docs, libraries, pair):
             assert (r["n_a"], r["n_b"], r["n_groups"], r["n_overlaps"]) == (len(a), len(b), len(groups), n_overlaps)
     none = T.align(no_docs)
     assert T.judge(none, T.count_links(none, T.vocabulary_size()).toPandas()).collect() == []
+
+
+def test_alignment_costs_less_than_the_encoding(pair):
+    r = random.Random(3)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(5000)]
+    texts = [" ".join(r.choices(words, k=200)) for _ in range(150)]
+
+    def cost(fn):
+        took = []
+        for _ in range(5):
+            begun = time.process_time()
+            fn(texts)
+            took.append(time.process_time() - begun)
+        return min(took)
+
+    assert cost(pair.align) < 2.1 * cost(pair.encode)

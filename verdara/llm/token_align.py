@@ -1,8 +1,8 @@
 """Alignment of the tokens of two public tokenizers over the same bytes.
 
 Both tokenizers split blank + text, so the tokens of both cover the same byte range.  Inside a
-batch each token start looks up the other side's token that covers it (``pandas.merge_asof`` keyed
-by document, in both directions); the union of both directions is every overlapping pair of tokens,
+batch each token start looks up the other side's token that covers it (an as-of join of the sorted
+starts by binary search, in both directions); the union of both directions is every overlapping pair of tokens,
 and the overlaps whose ranges end together are the links.  They cut the tokens into groups.
 
 How often an id pair is linked is counted over all documents by one grouped aggregation.  Of two
@@ -83,36 +83,36 @@ class Pair:
         """Ids of both sides per text; none where the joined bytes of one differ from the text's."""
         a = [byte_ids(self.first, " " + t) if t else [] for t in texts]
         b = self.second.encode(texts, num_threads=1)
-        for k, text in enumerate(texts):
+        n_a = np.array(list(map(len, a)))
+        ends = np.concatenate([[0], np.cumsum(self.a_size[_flat(a)])])[np.concatenate([[0], np.cumsum(n_a)])]
+        for k, (text, length) in enumerate(zip(texts, np.diff(ends).tolist())):
             want = (" " + text).encode()
-            if any(b"".join(map(spelled.__getitem__, ids)) != want
-                   for ids, spelled in ((a[k], self.a_bytes), (b[k], self.b_bytes))):
+            # tokens of the A side are bytes of the text in turn, so their length tells whether all are there
+            if length != len(want) or b"".join(map(self.b_bytes.__getitem__, b[k])) != want:
                 a[k], b[k] = [], []
         return a, b
 
-    def side(self, own: list[list[int]], size: np.ndarray) -> pd.DataFrame:
-        """One row per token: document, byte range within the batch, id."""
-        ids = np.fromiter(chain.from_iterable(own), np.int64, sum(map(len, own)))
+    def side(self, own: list[list[int]], size: np.ndarray) -> dict[str, np.ndarray]:
+        """Columns of the tokens: document, byte range within the batch, id, position."""
+        ids = _flat(own)
         ends = np.cumsum(size[ids])
         doc = np.repeat(np.arange(len(own)), list(map(len, own)))
-        return pd.DataFrame({"doc": doc, "start": ends - size[ids], "end": ends, "id": ids,
-                             "at": np.arange(len(ids))})
+        return {"doc": doc, "start": ends - size[ids], "end": ends, "id": ids, "at": np.arange(len(ids))}
 
     def align(self, texts: list[str]) -> pd.DataFrame:
         own_a, own_b = self.encode(texts)
         a, b = self.side(own_a, self.a_size), self.side(own_b, self.b_size)
         both = overlaps(a, b)
-        a_end, b_end = a["end"].to_numpy(), b["end"].to_numpy()
         i, j = both["a"].to_numpy(), both["b"].to_numpy()
-        together = a_end[i] == b_end[j]
-        n_overlaps = np.bincount(a["doc"].to_numpy()[i], minlength=len(texts))
+        together = a["end"][i] == b["end"][j]
+        n_overlaps = np.bincount(a["doc"][i], minlength=len(texts))
         i, j = np.sort(i[together]), np.sort(j[together])  # in turn: a token has one end
         n_a, n_b = (np.array(list(map(len, own))) for own in (own_a, own_b))
-        n_links = np.bincount(a["doc"].to_numpy()[i], minlength=len(texts))
-        code, place = self._in_turn(a["id"].to_numpy(), b["id"].to_numpy(), i, j)
+        n_links = np.bincount(a["doc"][i], minlength=len(texts))
+        code, place = self._in_turn(a["id"], b["id"], i, j)
         ordered = np.empty(len(code), np.int64)
         ordered[place] = code
-        link = a["id"].to_numpy()[i] * len(self.b_bytes) + b["id"].to_numpy()[j]
+        link = a["id"][i] * len(self.b_bytes) + b["id"][j]
         digests, links, at, link_at = [], [], 0, 0
         for n, k in zip((n_a + n_b).tolist(), n_links.tolist()):
             text = b"".join(map(self.spelled.__getitem__, ordered[at:at + n].tolist()))
@@ -134,20 +134,30 @@ class Pair:
         return np.concatenate([a + last_a, b + last_b + 2 * n_a]), place
 
 
-def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+def _flat(own: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(own), np.int64, sum(map(len, own)))
+
+
+def overlaps(a, b) -> pd.DataFrame:
     """(a, b): positions of all pairs of tokens of a document whose byte ranges overlap.
 
-    Both sides hold (doc, start, at) in the order of start.  Two ranges overlap if and only if one
-    of them covers the other's start.
+    Both sides hold (doc, start, at) in the order of start; starts grow from document to document.
+    Two ranges overlap if and only if one of them covers the other's start.
     """
-    a = a[["doc", "start", "at"]].rename(columns={"at": "a"})
-    b = b[["doc", "start", "at"]].rename(columns={"at": "b"})
-    if not len(a) or not len(b):
-        return pd.DataFrame({"a": np.array([], int), "b": np.array([], int)})
-    in_b = pd.merge_asof(a, b.assign(other=b["start"]), on="start", by="doc")
-    in_a = pd.merge_asof(b, a.assign(other=a["start"]), on="start", by="doc")
-    in_a = in_a[in_a["start"] != in_a["other"]]  # equal starts are found from both sides
-    return pd.concat([in_b[["a", "b"]], in_a[["a", "b"]]], ignore_index=True)
+    a, b = ({c: np.asarray(x[c]) for c in ("doc", "start", "at")} for x in (a, b))
+    in_b, own_a = _covering(b, a)
+    in_a, own_b = _covering(a, b)
+    new = a["start"][in_a] != b["start"][own_b]  # equal starts are found from both sides
+    return pd.DataFrame({"a": np.concatenate([a["at"][own_a], a["at"][in_a[new]]]),
+                         "b": np.concatenate([b["at"][in_b], b["at"][own_b[new]]])})
+
+
+def _covering(side: dict[str, np.ndarray], other: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``side`` that cover the starts of ``other``'s rows, and these rows."""
+    at = np.searchsorted(side["start"], other["start"], side="right") - 1
+    own = np.flatnonzero(at >= 0)
+    own = own[side["doc"][at[own]] == other["doc"][own]]
+    return at[own], own
 
 
 def possible_pairs(a: list[bytes], b: list[bytes]) -> int:
