@@ -1,12 +1,15 @@
 import math
 import zlib
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from verdara.llm import pitman_yor as Y
+from verdara.sources import scratch
 
 
 def tokens(text):
@@ -239,3 +242,38 @@ def test_every_white_space_parts_words():
 def test_scores_are_packed_closely():
     x = np.log10(np.random.default_rng(1).random(1000))
     assert Y._unpacked_floats(Y._packed_floats(x)) == pytest.approx(x, rel=1e-10)
+
+
+def test_only_tables_that_are_read_again_stay_and_slices_are_not_shuffled(corpus, spark, capsys):
+    rows, docs = corpus
+    top = Path(urlparse(scratch.shared_dir(spark)).path)
+    before = set(top.iterdir())
+    got = Y.score(docs)
+    tables = [spark.read.parquet(f"file:{t}/table") for t in set(top.iterdir()) - before]
+    kept = sorted({"keys": "slices", "houses": "parts", "root": "answers"}.get(next(
+        (c for c in ("keys", "houses", "root") if c in t.columns), ""), str(t.columns)) for t in tables if t.count())
+    assert kept == ["answers", "parts", "slices"]
+    got.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning(slice") == 1  # the scores of the cells
+    assert plan.count("Exchange hashpartitioning(part") == 1  # what the root answers
+    assert got.count() == len(rows)
+
+
+def test_one_group_is_seated_as_in_an_array():
+    rng = np.random.default_rng(8)
+    for customers, weight in zip([0, 1, 2, 129, 1000, 54_321], [3.0, 0.1, 0.4, 0.6, 25.0, 1e-4]):
+        for seed in range(20):
+            d = float(rng.random())
+            want = Y.seat(np.array([customers]), np.array([weight]), d, np.random.default_rng(seed))
+            assert Y.seat_one(customers, weight, d, np.random.default_rng(seed)) == want[0]
+
+
+def test_totals_of_split_restaurants_leave_a_task_once():
+    rare = np.uint64(1 << 63 | 5)
+    row = dict(zip(Y._CELLS, Y._packed_columns(dict(zip(Y._CELLS, (
+        np.array([7], np.uint64), np.array([0, 3, rare], np.uint64), *(np.array(x) for x in (
+            [0, 0], [1, 2], [4, 2], [2, 1], [5, 0, 1], [5, 4, 3])))))).values()))
+    batch = pa.RecordBatch.from_arrays([pa.array([row[c]] * 30, pa.binary()) for c in Y._CELLS], names=Y._CELLS)
+    made, = Y._split_totals(3)(iter([batch, batch]))
+    assert made.to_pydict() == {"code": [0, 3], "tables": [300, 120], "customers": [300, 240]}

@@ -49,7 +49,7 @@ from xxhash import xxh64_intdigest
 from zstandard import ZstdCompressor, ZstdDecompressor
 
 from verdara.llm.common import ship
-from verdara.sources.scratch import stored
+from verdara.sources.scratch import brief_shuffles, bucketed, emptied, scratch_dir, stored
 
 #: Shares from which on a word has a row in the table of word pairs (at most FREQUENT words) and from
 #: which on its restaurant is split over parts (at most 8/7 SHARED).  The model depends on neither.
@@ -127,14 +127,15 @@ def _each(batch: pa.RecordBatch) -> Iterator[dict]:
 # --- slices ---
 
 _SLICE = {"slice": pa.int64(), "train": pa.binary(), "sizes": pa.binary(), "hashes": pa.binary(), "at": pa.binary(),
-          "own": pa.list_(pa.binary()), "own_n": pa.list_(pa.int64()), "tokens": pa.int64()}
+          "own": pa.list_(pa.binary()), "own_n": pa.list_(pa.int64()), "tokens": pa.int64(), "chars": pa.int64()}
 _SLICE_DDL = ("slice long, train binary, sizes binary, hashes binary, at binary, own array<binary>, "
-              "own_n array<long>, tokens long")
+              "own_n array<long>, tokens long, chars long")
 
 
 def _coded(texts: pa.Array, train: np.ndarray) -> tuple:
     """Words of texts by their order of appearance, then the end; hashes of the words; words with a
-    share of 1/(8 SHARED) of the training tokens and their counts; number of training tokens."""
+    share of 1/(8 SHARED) of the training tokens and their counts; numbers of training tokens and
+    of characters."""
     split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     words = split.flatten()
     kept = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
@@ -150,11 +151,13 @@ def _coded(texts: pa.Array, train: np.ndarray) -> tuple:
     n = np.bincount(at[np.repeat(train, size)], minlength=len(distinct))
     own = np.flatnonzero((n * (8 * SHARED) >= n.sum()) & (n > 0))
     return (train.astype("u1").tobytes(), _packed(size), hashes.tobytes(), _packed(at),
-            [distinct[i] for i in own.tolist()], n[own].tolist(), int(n.sum()))
+            [distinct[i] for i in own.tolist()], n[own].tolist(), int(n.sum()),
+            pc.sum(pc.utf8_length(texts)).as_py() or 0)
 
 
 def coded_slices(rows: DataFrame) -> DataFrame:
-    """Slices of the rows (_key, _text, _train): numbers of the words of each text in place of the texts."""
+    """Slices of the rows (_key, _text, _train): numbers of the words of each text in place of the texts.
+    They are bucketed, so that answers of the parts come to them without a shuffle of the slices."""
     kind = dict(rows.dtypes)["_key"]
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,22 +171,23 @@ def coded_slices(rows: DataFrame) -> DataFrame:
                     [keys, *[pa.array([x], t) for x, t in zip((next(number), *made), _SLICE.values())]],
                     names=["keys", *_SLICE])
 
-    return stored(rows.mapInArrow(fn, f"keys array<{kind}>, {_SLICE_DDL}"))
+    return bucketed(rows.mapInArrow(fn, f"keys array<{kind}>, {_SLICE_DDL}"), "slice",
+                    int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def numbered_words(slices: DataFrame) -> tuple[list[bytes], int, int]:
+def numbered_words(slices: DataFrame) -> tuple[list[bytes], int, int, int]:
     """Words that may have a share of 1/SHARED of the training tokens, most frequent first; how many
-    of them are frequent; number of training tokens.
+    of them are frequent; numbers of training tokens and of characters.
 
     A word's count in slices where it is rarer than 1/(8 SHARED) is missing from its sum; that is
     less than an eighth of the share asked for.  So at most 8/7 SHARED words are kept.
     """
-    total = slices.agg(F.sum("tokens")).first()[0] or 0
+    total, chars = (x or 0 for x in slices.agg(F.sum("tokens"), F.sum("chars")).first())
     found = (slices.select(F.explode(F.arrays_zip("own", "own_n")).alias("x"))
              .groupBy(F.col("x.own").alias("word")).agg(F.sum("x.own_n").alias("n"))
              .where(F.col("n") * (8 * SHARED) >= 7 * total).collect())
     found = sorted(found, key=lambda r: (-r["n"], bytes(r["word"])))
-    return [bytes(r["word"]) for r in found], sum(r["n"] * FREQUENT >= total for r in found), total
+    return [bytes(r["word"]) for r in found], sum(r["n"] * FREQUENT >= total for r in found), total, chars
 
 
 class Numbers(NamedTuple):
@@ -369,6 +373,16 @@ def seat(customers: np.ndarray, new_weight: np.ndarray, discount: float,
     return tables
 
 
+def seat_one(customers: int, new_weight: float, discount: float, random: np.random.Generator) -> int:
+    """``seat`` for a single group, with the same draws; much faster than arrays of one number."""
+    seated = tables = min(customers, 1)
+    while seated < customers:
+        block = min(max(1, seated // 8), customers - seated)
+        tables += int(random.binomial(block, min(new_weight / (new_weight + seated - discount * tables), 1.0)))
+        seated += block
+    return tables
+
+
 def draw_tables(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float,
                 random: np.random.Generator, uniform: np.ndarray | None = None) -> np.ndarray:
     """Tables of each cell given the ``others`` of its restaurant and the parent probability."""
@@ -418,19 +432,22 @@ def _totals(codes: np.ndarray, own: np.ndarray, shared: np.ndarray) -> np.ndarra
 
 # --- parts ---
 
-#: Of the cells of several customers: codes, code_at, context, count; of all cells: words, word_at, n,
-#: houses, runs; of the slices' cells: slices, sizes, steps.
+#: Of all cells: words, word_at, n, houses, runs; of the slices' cells: slices, sizes, steps.
+_HELD = ("slices", "words", "houses", "tokens", "alone", "word_at", "n", "runs", "sizes", "steps")
+#: Of the cells of several customers, for the sweeps.
+_CELLS = ("codes", "contexts", "code_at", "context", "count", "tables", "singles", "customers")
 _CODES = ("codes", "contexts", "words", "houses")
-_PACKED = ("code_at", "context", "count", "tables", "singles", "customers", "tokens", "alone", "word_at", "n", "runs",
-           "sizes", "steps")
-_HELD_DDL = "part long, ones long, twos long, " + ", ".join(
-    f"{c} binary" for c in ("slices", *_CODES, *_PACKED))
+_PACKED = tuple(c for c in _HELD[1:] + _CELLS if c not in _CODES)
+_HELD_DDL = "part long, ones long, twos long, " + ", ".join(f"{c} binary" for c in _HELD)
+
+
+def _packed_columns(values: dict[str, np.ndarray]) -> dict[str, bytes]:
+    return {c: _packed_codes(x) if c in _CODES else _packed(x.astype("<u4")) for c, x in values.items()}
 
 
 def _gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """One row per part: its cells and their words with training tokens and cells of one customer;
-    the cells of several customers; the restaurants that have such cells or are split; for each
-    slice the steps between its cells."""
+    for each slice the steps between its cells."""
     made = [_dealt_cells(a, b) for a, b in zip(rows["rare"], rows["numbers"])]
     sizes = np.array([len(m[0]) for m in made])
     context, word, n = (np.concatenate(c) for c in zip(*made))
@@ -444,21 +461,26 @@ def _gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     steps[np.cumsum(sizes) - sizes] = of[np.cumsum(sizes) - sizes]
     context, word, n = context[cell], word[cell], np.add.reduceat(n, cell)
     words, word_at = np.unique(word, return_inverse=True)
-    several = n > 1
     first = _firsts(context)
-    houses, runs = context[first], np.diff(np.append(first, len(context)))
-    house = np.repeat(np.arange(len(houses)), runs)
-    keep = (houses < _RARE) | (np.bincount(house, several, len(houses)) > 0)
-    place = np.cumsum(keep) - 1
-    codes, code_at = np.unique(word[several], return_inverse=True)
-    packed = (code_at, place[house[several]], n[several], np.ones(several.sum()),
-              np.bincount(house, n == 1, len(houses))[keep], np.bincount(house, n, len(houses))[keep],
-              np.bincount(word_at, n, len(words)), np.bincount(word_at, n == 1, len(words)), word_at, n, runs,
-              sizes, steps)
+    packed = {"words": words, "houses": context[first], "tokens": np.bincount(word_at, n, len(words)),
+              "alone": np.bincount(word_at, n == 1, len(words)), "word_at": word_at, "n": n,
+              "runs": np.diff(np.append(first, len(context))), "sizes": sizes, "steps": steps}
     return pd.DataFrame({"part": [int(key[0])], "ones": [int((n == 1).sum())], "twos": [int((n == 2).sum())],
                          "slices": [rows["slice"].to_numpy("<i8").tobytes()]}
-                        | {c: [_packed_codes(x)] for c, x in zip(_CODES, (codes, houses[keep], words, houses))}
-                        | {c: [_packed(x.astype("<u4"))] for c, x in zip(_PACKED, packed)})
+                        | {c: [x] for c, x in _packed_columns(packed).items()})
+
+
+def _several(row: dict) -> Iterator[tuple]:
+    """Of a part, the cells of several customers; the restaurants that have such cells or are split."""
+    n, houses = _view(row, "n"), _view(row, "houses")
+    house = np.repeat(np.arange(len(houses)), _view(row, "runs"))
+    several = n > 1
+    keep = (houses < _RARE) | (np.bincount(house, several, len(houses)) > 0)
+    place = np.cumsum(keep) - 1
+    codes, code_at = np.unique(_view(row, "words")[_view(row, "word_at")[several]], return_inverse=True)
+    yield (row["part"], *_packed_columns(dict(zip(_CELLS, (
+        codes, houses[keep], code_at, place[house[several]], n[several], np.ones(several.sum()),
+        np.bincount(house, n == 1, len(houses))[keep], np.bincount(house, n, len(houses))[keep])))).values())
 
 
 def _view(row, name: str) -> np.ndarray:
@@ -499,10 +521,23 @@ def _house_tables(row) -> np.ndarray:
         _view(row, "context"), _view(row, "tables"), len(_view(row, "contexts"))).astype(np.int64)
 
 
-def _split_totals(row) -> tuple[np.ndarray, ...]:
-    codes = _view(row, "contexts")
-    split = codes < _RARE
-    return codes[split], _house_tables(row)[split], _view(row, "customers")[split]
+def _split_totals(begin: int):
+    """Tables and customers of the split restaurants in all parts of a task together: nearly every
+    part has each of them."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, customers = np.zeros((2, begin + 1), np.int64)
+        for batch in batches:
+            for row in _each(batch):
+                codes = _view(row, "contexts")
+                split = codes < _RARE
+                own = codes[split].astype(int)
+                tables[own] += _house_tables(row)[split]
+                customers[own] += _view(row, "customers")[split]
+        code = np.flatnonzero(customers)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (code, tables[code], customers[code])],
+                                         names=["code", "tables", "customers"])
+
+    return fn
 
 
 def _parents(codes: np.ndarray, roots: pd.DataFrame, column: str, missing: float) -> np.ndarray:
@@ -619,9 +654,11 @@ def predictive(context: np.ndarray, count: np.ndarray, parent: np.ndarray, share
 # --- root ---
 
 class Root(NamedTuple):
-    """(word, n, p) of the known words; probability of an unknown one; number of known words."""
+    """(word, n, p) of the known words and the path of their table; probability of an unknown one;
+    number of known words."""
 
     words: DataFrame
+    path: str
     unknown: float
     known: int
 
@@ -642,9 +679,10 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _root_tables(discount: float, parent: float, others: float, number: int):
     """Tables of words in the root; chance depends on the word alone, so that the order and number
     of batches do not matter."""
-    def drawn(r: np.ndarray, word: int = 0, uniform: np.ndarray | None = None) -> np.ndarray:
-        return draw_tables(r, np.full(len(r), others), np.full(len(r), parent), discount,
-                           np.random.default_rng([_SEED, number, word]), uniform)
+    def large(customers: int, word: int) -> int:
+        random = np.random.default_rng([_SEED, number, word])
+        random.random()  # draw_tables takes one for each cell
+        return seat_one(customers, (STRENGTH + discount * others) * parent, discount, random)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _together(batches):
@@ -652,9 +690,10 @@ def _root_tables(discount: float, parent: float, others: float, number: int):
             code = word.view(np.uint64)
             few = r <= EXACT
             mixed = _mixed(code + np.uint64(number))
-            tables = drawn(np.where(few, r, 0), uniform=(mixed >> np.uint64(11)) / 2.0 ** 53)
-            for i in np.flatnonzero(~few).tolist():
-                tables[i:i + 1] = drawn(r[i:i + 1], int(code[i]))
+            tables = draw_tables(np.where(few, r, 0), np.full(len(r), others), np.full(len(r), parent), discount,
+                                 np.random.default_rng(_SEED), (mixed >> np.uint64(11)) / 2.0 ** 53)
+            many = np.flatnonzero(~few)
+            tables[many] = [large(x, w) for x, w in zip(r[many].tolist(), code[many].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (word, n, r, tables)],
                                              names=["word", "n", "r", "t"])
 
@@ -663,17 +702,20 @@ def _root_tables(discount: float, parent: float, others: float, number: int):
 
 def seat_root(counts: DataFrame, number: int) -> Root:
     """Seats the root from (word, n, r): training tokens and customers in the root."""
-    sums = stored(counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("r").alias("r")).where("n > 0"))
+    spark = counts.sparkSession
+    at, path = (scratch_dir(spark) + "/table" for _ in range(2))
+    sums = stored(counts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("r").alias("r")).where("n > 0"), at)
     of = sums.agg(F.count(F.lit(1)).alias("known"), F.sum("r").alias("r"), F.count_if(F.col("r") == 1).alias("ones"),
                   F.count_if(F.col("r") == 2).alias("twos")).first()
     known, customers, discount = of["known"], of["r"] or 0, _discount(of["ones"], of["twos"])
     # the tables of the others are close to the number of known words, as the base is uniform
     seated = stored(sums.mapInArrow(_root_tables(discount, 1 / (known + 1), max(known - 1, 0), number),
-                                    "word long, n long, r long, t long"))
+                                    "word long, n long, r long, t long"), path)
+    emptied(spark, at)
     tables = seated.agg(F.sum("t")).first()[0] or 0
     back = (STRENGTH + discount * tables) / (known + 1)
     p = (F.greatest(F.col("r") - discount * F.col("t"), F.lit(0.0)) + back) / (STRENGTH + customers)
-    return Root(seated.select("word", "n", p.alias("p")), back / (STRENGTH + customers), known)
+    return Root(seated.select("word", "n", p.alias("p")), path, back / (STRENGTH + customers), known)
 
 
 class Table:
@@ -734,33 +776,37 @@ def _texts(numbers, logs, parts: int, tokens: int, known: int):
 
 
 class Model(NamedTuple):
-    """A fitted model: the numbered words, what all parts share, the root, the parts and the frequent pairs."""
+    """A fitted model: the numbered words, what all parts share, the number of known words, the parts, what
+    the root answers to them, and the frequent pairs."""
 
     numbers: object
     parts: int
     tokens: int
     shared: Shared
-    root: Root
+    known: int
     held: DataFrame
+    answers: DataFrame
     log_table: np.ndarray
     log_base: np.ndarray
 
 
-def fit(slices: DataFrame, chars: int) -> Model:
-    """Counts and samples the seating of the slices of texts of so many characters."""
+def fit(slices: DataFrame) -> Model:
+    """Counts and samples the seating of the slices.  Tables and shuffles go when nobody reads them any more."""
     spark = slices.sparkSession
-    words, frequent, tokens = numbered_words(slices)
+    words, frequent, tokens, chars = numbered_words(slices)
     numbers, begin = spark.sparkContext.broadcast(Numbers.of(words, frequent)), len(words)
     table = Table(frequent_table(slices, numbers), begin)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // PART_CHARS)
-    held = stored(slices.select(*_WORK).mapInArrow(_deal(numbers, parts), "part long, slice long, rare binary, numbers binary")
-                  .groupBy("part").applyInPandas(_gather, _HELD_DDL))
+    held = bucketed(slices.select(*_WORK).mapInArrow(_deal(numbers, parts), "part long, slice long, rare binary, numbers binary")
+                    .groupBy("part").applyInPandas(_gather, _HELD_DDL), "part", parts)
+    counts_at, at = (scratch_dir(spark) + "/table" for _ in range(2))
     counts = stored(_rows(held.select("words", "tokens", "alone"), _word_counts, "word", "n", "r")
-                    .groupBy("word").agg(F.sum("n").alias("n"), F.sum("r").alias("r")))
+                    .groupBy("word").agg(F.sum("n").alias("n"), F.sum("r").alias("r")), counts_at)
     of = held.agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).first()
     discount = _discount((of["ones"] or 0) + (table.count == 1).sum(), (of["twos"] or 0) + (table.count == 2).sum())
-    cells = held.select("part", "codes", "code_at", "context", "count", "tables", "contexts", "singles", "customers")
-    kind = ", ".join(f"{n} {t}" for n, t in cells.dtypes)
+    kind = "part long, " + ", ".join(f"{c} binary" for c in _CELLS)
+    cells = stored(held.select("part", "words", "houses", "word_at", "n", "runs").mapInArrow(
+        _as_rows(_several, {"part": pa.int64()} | dict.fromkeys(_CELLS, pa.binary())), kind), at)
     for number in range(BURN_IN + 1):
         shared = Shared(discount, *_collected(cells, table, begin))
         own = [(int(w), int(n), int(t)) for w, (n, t) in enumerate(zip(
@@ -769,22 +815,27 @@ def fit(slices: DataFrame, chars: int) -> Model:
         root = seat_root(reduce(DataFrame.unionByName, [
             counts, more, spark.createDataFrame(own, "word long, n long, r long")]), number)
         p = np.full(frequent, root.unknown)
+        n = np.zeros(frequent)
         for r in root.words.where(F.col("word").between(0, frequent - 1)).collect():
-            p[r["word"]] = r["p"]
+            p[r["word"]], n[r["word"]] = r["p"], r["n"]
         if number < BURN_IN:
             table.sweep(shared, p)
+            before, at = at, scratch_dir(spark) + "/table"
             cells = stored(cells.groupBy("part").cogroup(ask(cells, "codes", root, parts).groupBy("part"))
-                           .applyInPandas(_sweep(shared, number), kind))
-    n = np.zeros(frequent)
-    for r in root.words.where(F.col("word").between(0, frequent - 1)).collect():
-        n[r["word"]] = r["n"]
-    return Model(numbers, parts, tokens, shared, root, held, table.log_predictive(shared, p, begin),
+                           .applyInPandas(_sweep(shared, number), kind), at)
+            for path in (before, root.path):
+                emptied(spark, path)
+    for path in (counts_at, at):
+        emptied(spark, path)
+    answers = stored(ask(held, "words", root, parts))
+    emptied(spark, root.path)
+    return Model(numbers, parts, tokens, shared, root.known, held, answers, table.log_predictive(shared, p, begin),
                  np.log10((n + 0.5) / (tokens + 0.5 * (root.known + 1))))
 
 
 def _collected(cells: DataFrame, table: Table, begin: int) -> tuple[np.ndarray, np.ndarray]:
     """Tables and customers of the split restaurants, by number."""
-    found = (_rows(cells, _split_totals, "code", "tables", "customers")
+    found = (cells.mapInArrow(_split_totals(begin), "code long, tables long, customers long")
              .groupBy("code").agg(F.sum("tables").alias("tables"), F.sum("customers").alias("customers")).toPandas())
     tables = np.bincount(table.code, table.tables, begin + 1)
     customers = np.bincount(table.code, table.count, begin + 1)
@@ -801,14 +852,15 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     name = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"),
                        (F.crc32(name.cast("binary")) % 5 != 1).alias("_train"))
-    slices = coded_slices(rows)
-    m = fit(slices, rows.agg(F.sum(F.char_length("_text"))).first()[0] or 0)
+    with brief_shuffles(spark):
+        slices = coded_slices(rows)
+        m = fit(slices)
     scoring = m.held.select("part", "word_at", "n", "houses", "runs", "slices", "sizes", "steps")
-    answers = (scoring.groupBy("part").cogroup(ask(m.held, "words", m.root, m.parts).groupBy("part"))
+    answers = (scoring.groupBy("part").cogroup(m.answers.groupBy("part"))
                .applyInPandas(_score_part(m.shared), _ANSWER))
     logs = spark.sparkContext.broadcast((m.log_table, m.log_base))
     found = (slices.select("keys", *_WORK).groupBy("slice").cogroup(answers.groupBy("slice"))
-             .applyInArrow(_texts(m.numbers, logs, m.parts, m.tokens, m.root.known),
+             .applyInArrow(_texts(m.numbers, logs, m.parts, m.tokens, m.known),
                            f"_key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"))
     return (found.select(F.col("_key").alias(key), "held_out", "n_tokens", "n_known",
                          F.lit(m.tokens).cast("long").alias("train_tokens"), "base_score", "score")
