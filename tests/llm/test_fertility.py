@@ -8,6 +8,7 @@ import tiktoken
 
 from verdara.llm import fertility
 from verdara.llm.vocab import BYTE_RANKS, PIECES, Store, WordTokens, file_bytes, read_ranks
+from verdara.sources.scratch import stored
 
 
 @pytest.fixture(scope="module")
@@ -70,6 +71,33 @@ def test_text_with_more_words_than_the_store_holds(tokens, monkeypatch):
     assert tokens.stats(words) == want
 
 
+def test_word_of_a_million_odd_blanks(tokens):
+    """The library's own search for pieces runs out of stack on it."""
+    n, entropy, n_pieces, n_bytes = tokens.stats(["\u00a0".encode() * 1_000_000, b"end"])
+    assert n == 2_000_001 and n_bytes == 0 < n_pieces and entropy == pytest.approx(1.0, abs=1e-4)
+    few = "\u00a0" * 5000
+    assert tokens.stats([few.encode()])[0] == len(tokens.encoder.encode_ordinary(" " + few))
+
+
+def test_texts_without_words_beside_a_band(spark):
+    """They have no tokens; judging them must not divide by that number."""
+    rng = np.random.default_rng(2)
+    vocabulary = ["".join(rng.choice(list("abcdefghilmnoprst"), rng.integers(2, 8))) for _ in range(400)]
+    texts = [" ".join(rng.choice(vocabulary, 150)) for _ in range(20)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    rows += [(20, None, "en"), (21, "", "en"), (22, " \n\t ", "de"), (23, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    measured = stored(fertility.measure(docs).drop("text"))
+    judged = fertility.judge(measured, fertility.fit_bands(measured))
+    found = {r["doc_id"]: r for r in judged.collect()}
+    assert len(found) == 24 and sum(r["kept"] for r in found.values()) >= 18
+    assert all(found[i]["base_failed"] and found[i]["n_tokens"] == 0 and not found[i]["kept"]
+               for i in range(20, 24))
+    assert {(r["kept"], r["base_failed"]): r["count"]
+            for r in judged.where("n_tokens = 0").groupBy("kept", "base_failed").count().collect()
+            } == {(False, True): 4}
+
+
 def test_rejects_junk_and_keeps_clean(spark):
     rng = np.random.default_rng(0)
     vocabulary = ["".join(rng.choice(list("abcdefghilmnoprst"), rng.integers(2, 8))) for _ in range(400)]

@@ -128,7 +128,9 @@ def judge(measured: DataFrame, bands: DataFrame, lang: str = "lang",
         "_lang string, " + ", ".join(f"_{c} double" for c in names))
     key = F.coalesce(F.col(f"`{lang}`"), F.lit("")) if lang in measured.columns else F.lit("")
     at = {c: F.coalesce(F.col(f"_{c}"), F.lit(float(pooled[c]))) for c in names}
-    wide = spread * F.greatest(F.lit(1.0), F.sqrt(at["tokens"] / F.col("n_tokens")))
+    # one token at least: Spark computes this for texts without words too, whatever base_failed says
+    n_tokens = F.greatest(F.col("n_tokens"), F.lit(1))
+    wide = spread * F.greatest(F.lit(1.0), F.sqrt(at["tokens"] / n_tokens))
 
     def reach(c: str) -> Column:
         return wide * F.greatest(at[f"{c}3"] - at[f"{c}1"], F.lit(LEAST_RANGE[c]))

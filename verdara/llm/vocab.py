@@ -120,7 +120,7 @@ class WordTokens:
         if not words:
             return []
         texts = [w.decode("utf-8", "replace") for w in words]
-        ids = np.array(self.encoder.encode_ordinary(" " + " ".join(texts)), "<u4")
+        ids = np.array(byte_ids(self.encoder, " " + " ".join(texts)), "<u4")
         pieces = np.array(self.pieces.encode(" ".join(texts)))
         at, begin = np.flatnonzero(self.token_starts[ids]), np.flatnonzero(self.piece_starts[pieces])
         if len(words) > 1 and not len(at) == len(begin) == len(words):
